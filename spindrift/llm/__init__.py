@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets, simhash
+from . import audio, bpe, chat, quality, secrets, simhash, warc
 
 _QUERIES = (
+    audio.op1_audio_features,
+    warc.op3_warc_transactions,
+    chat.op4_chat_formatting,
     bpe.op7_bpe_forced_boundaries,
     simhash.op6_simhash_near_dedup,
     quality.op9_quality_rules,
