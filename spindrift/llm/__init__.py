@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, quality, secrets, simhash, warc
+from . import audio, bpe, chat, linededup, packing, quality, secrets, simhash, toxicity, warc
 
 _QUERIES = (
     audio.op1_audio_features,
     warc.op3_warc_transactions,
     chat.op4_chat_formatting,
     bpe.op7_bpe_forced_boundaries,
+    packing.op8_best_fit_packing,
+    linededup.op2_line_dedup,
+    toxicity.op5_toxicity,
     simhash.op6_simhash_near_dedup,
     quality.op9_quality_rules,
     secrets.op10_secret_scans,
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": linededup.OP2_SQL}

@@ -508,7 +508,11 @@ def loss_text(formatted: str, spans: list[tuple[int, int]]) -> str:
 
 # --- tables -----------------------------------------------------------------
 
-_render = functools.lru_cache(maxsize=8)(lambda source: compile_template(source, NAMES))
+@functools.lru_cache(maxsize=8)
+def _render(source: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
+    return compile_template(source, NAMES)
+
+
 FORMATTED = "conv_id long, formatted string, spans array<struct<start:long,end:long>>"
 
 
