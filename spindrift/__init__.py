@@ -1,0 +1 @@
+"""Corpus analytics, retrieval and evaluation on PySpark."""
