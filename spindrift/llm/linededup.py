@@ -66,11 +66,12 @@ def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min
         by_host = found.groupBy("host").agg(F.collect_list("key").alias("__hits"))
         marked = _marked(pages, host, by_host)
     else:
-        row = F.monotonically_increasing_id()
+        # the rows' numbers are written with them: counted anew, they could differ
+        pages = materialise(pages.withColumn("__row", F.monotonically_increasing_id()), "pages")
         keys = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _key), lambda k: k.isNotNull()))
-        lines = pages.select(row.alias("__row"), _host(F.col(host)).alias("host"), F.explode(keys).alias("key"))
+        lines = pages.select("__row", _host(F.col(host)).alias("host"), F.explode(keys).alias("key"))
         hits = lines.join(found.select("host", "key"), ["host", "key"]).groupBy("__row").agg(F.collect_list("key").alias("__hits"))
-        marked = pages.withColumn("__row", row).join(hits, "__row", "left")
+        marked = pages.join(hits, "__row", "left")
     hits = F.coalesce(F.col("__hits"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
     lines = _lines(F.col(text))
 

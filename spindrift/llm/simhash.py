@@ -289,12 +289,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays, of
     repeated rows one; rows without any id in their component keep one as well."""
     held = docs.columns
-    row = F.monotonically_increasing_id()
-    marked = materialise(docs.select(F.col("doc_id"), fingerprint_udf(F.col("text")).alias("fp"), row.alias("row")), "fingerprints")
+    # the rows' numbers are written with them: counted anew, they could differ
+    numbered = docs.withColumns({"__fp": fingerprint_udf(F.col("text")), "__row": F.monotonically_increasing_id()})
+    numbered = materialise(numbered, "numbered")
+    marked = numbered.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
     found = classes(marked.select("doc_id", "fp"))
     # the label tells components without an id apart: their smallest fingerprint
     named = marked.join(found, "fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     chosen = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(key).alias("k"))
     keep = chosen.select(F.col("k.row").alias("__row"))
-    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").select(*held)
+    return numbered.join(keep, "__row", "left_semi").select(*held)
