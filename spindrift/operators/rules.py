@@ -10,7 +10,7 @@ from ..functions.vector import cosine
 
 
 def clean_list(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def search_texts(rule: dict[str, Column]) -> Column:

@@ -21,10 +21,10 @@ def x_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.intersect(s).select(F.lit("common").alias("kind"), "k").unionByName(c.exceptAll(s).distinct().join(s, "k", "left_anti").select(F.lit("customers").alias("kind"), "k"))
 
 
-@Q.add("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 1) AS moving, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders")
+@Q.add("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders")
 def x_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(w.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)), 1).alias("moving"), F.rank().over(w.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)), 2).alias("moving"), F.rank().over(w.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
 
 
 @Q.add("""
