@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Most fragments a worker remembers.
-MEMORY = 300_000
+MEMORY = 200_000
+#: Ids that are decoded at a time.
+BLOCK = 100_000
 #: White space in the widest sense of any library; a cut follows none of it.
 WIDE_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _RUN = re.compile(f"[{WIDE_SPACE}][{WIDE_SPACE}]")
@@ -115,7 +117,15 @@ class Vocabulary:
         return np.frombuffer(b"".join([*map(self._memory.__getitem__, self.fragments(text))]), np.int32)
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        """Texts of lists of ids that lie end to end in ``ids``."""
+        """Texts of lists of ids that lie end to end in ``ids``, some lists at a time."""
+        parts, a = [], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+            parts.append(self._decode_block(ids[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            a = b
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _decode_block(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         lengths = self._lengths[ids]
         ends = np.r_[0, np.cumsum(lengths)]
         at = np.repeat(self._places[ids] - ends[:-1], lengths) + np.arange(ends[-1])
@@ -123,8 +133,8 @@ class Vocabulary:
         bounds = ends[offsets]
         starts = bounds[:-1][bounds[:-1] < len(data)]
         if (data[starts] & 0xC0 == 0x80).any() or not _is_utf8(data):
-            return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.large_string())
-        return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+            return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+        return pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; a cut through a character shows as U+FFFD."""
@@ -172,7 +182,9 @@ def encoder(path: str) -> Callable[[Column], Column]:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        return _arrays([v.encode(x or "") for x in texts.to_pylist()])
+        # a few texts at a time as Python strings, and their ids as one array
+        done = [_arrays([v.encode(x.as_py() or "") for x in texts.slice(k, 64)]) for k in range(0, len(texts), 64)]
+        return pa.concat_arrays(done) if done else _arrays([])
 
     return encode
 
@@ -185,7 +197,7 @@ def decoder(path: str) -> Callable[[Column], Column]:
         v = vocabulary(path)
         filled = pc.fill_null(ids, [])
         out = v.decode_all(filled.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.list_value_length(filled).to_numpy(zero_copy_only=False))])
-        return pc.if_else(ids.is_valid(), out, None).cast(pa.string())
+        return pc.if_else(ids.is_valid(), out, None)
 
     return decode
 
