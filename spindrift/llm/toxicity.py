@@ -41,6 +41,14 @@ LABELLED = 12_000
 VOTERS = {"word": 96, "start": 64}
 #: Terms that the classifier reads at most.
 TERMS = 4000
+#: Least worth of a term: its toxic rows times the log of its lift.
+LEAST = 8.0
+#: Common insults, voters whatever the labelled rows hold, with this
+#: weight in the classifier before training.
+SEEDS = ("idiot", "moron", "loser", "scum", "trash", "clown", "stupid", "worthless", "pathetic", "disgusting", "bastard", "asshole", "bitch", "retard", "dumbass", "imbecile")
+SEED_WEIGHT = 4.0
+#: Steps of the classifier's training, in 10 to 60 rounds.
+VISITS = 150_000
 #: Log odds of a label as one more voter of the label model.
 LABEL_ODDS = 3.5
 #: Share of toxic text taken for granted where nothing is known.
@@ -78,32 +86,54 @@ def patterns(text: str, n_words: int) -> dict[str, bool]:
 # --- the label model --------------------------------------------------------
 
 
-def mine(rows: list[tuple[Counter, int]]) -> tuple[list[str], list[str]]:
-    """Voters, and terms for the classifier: those far more frequent, by documents,
-    in toxic rows than in others."""
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
-    n = [0, 0]
-    for counts, label in rows:
-        n[label] += 1
-        (toxic if label else clean).update(counts.keys())
-    if not n[0] or not n[1]:
-        return [], []
-    found = []
-    for t, a in toxic.items():
-        if a >= 2:
-            p, q = (a + 0.5) / (n[1] + 1), (clean[t] + 0.5) / (n[0] + 1)
-            if p > 3 * q:
-                found.append((a * math.log(p / q), t))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    kinds = {"w": "word", "s": "start", "l": "start"}
-    left, out = dict(VOTERS), []
-    for _, t in found:
-        k = kinds[t[0]]
-        if left[k] > 0:
-            left[k] -= 1
-            out.append(t)
-    return out, [t for _, t in found[:TERMS]]
+class Terms:
+    """Rows as arrays of term numbers and counts: only terms of at least two toxic
+    texts are numbered, so that rows stay small whatever their texts hold."""
+
+    def __init__(self, rows: list[tuple[str, int]]) -> None:
+        toxic: Counter = Counter()
+        for text, label in rows:
+            if label:
+                toxic.update(terms(text).keys())
+        self.names = sorted({t for t, n in toxic.items() if n >= 2} | {f"w:{x}" for x in SEEDS})
+        del toxic
+        number = {t: k for k, t in enumerate(self.names)}
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.shouts: list[tuple[bool, ...]] = []
+        for text, _ in rows:
+            counts = terms(text)
+            held = [(number[t], n) for t, n in counts.items() if t in number]
+            self.rows.append((np.array([k for k, _ in held], np.int32), np.array([n for _, n in held], np.float32)))
+            self.shouts.append(tuple(patterns(text, sum(n for t, n in counts.items() if t[0] == "w")).values()))
+        self.labels = np.array([y for _, y in rows], np.float64)
+
+    def select(self) -> tuple[list[int], list[int]]:
+        """Numbers of the voters, and of the terms for the classifier: those far more
+        frequent, by documents, in toxic rows than in others."""
+        by = [np.zeros(len(self.names)), np.zeros(len(self.names))]
+        for (at, _), y in zip(self.rows, self.labels):
+            by[int(y)][at] += 1
+        n1, n0 = self.labels.sum(), (1 - self.labels).sum()
+        if not n0 or not n1:
+            return [], []
+        lift = ((by[1] + 0.5) / (n1 + 1)) / ((by[0] + 2) / (n0 + 4))
+        worth = by[1] * np.log(lift)
+        seeds = {f"w:{x}" for x in SEEDS}
+        known = np.array([n in seeds for n in self.names])
+        found = [k for k in np.lexsort((-worth, ~known)).tolist() if known[k] or (lift[k] > 2 and worth[k] >= LEAST)]
+        left, voters = dict(VOTERS), []
+        for k in found:
+            kind = "word" if self.names[k][0] == "w" else "start"
+            if left[kind] > 0:
+                left[kind] -= 1
+                voters.append(k)
+        return voters, found[:TERMS]
+
+    def table(self, chosen: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places among the chosen terms, and 1 + log of the counts."""
+        place = np.full(len(self.names), -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        return [(place[at[m]], 1 + np.log(n[m].astype(np.float64))) for at, n in self.rows for m in (place[at] >= 0,)]
 
 
 class LabelModel:
@@ -151,27 +181,16 @@ class LabelModel:
         self.weight = 1 / tied.sum(axis=1)
 
 
-def votes_of(counts: Counter, text: str, voters: list[str]) -> list[int]:
-    shouts = patterns(text, sum(v for k, v in counts.items() if k[0] == "w"))
-    return [int(v in counts) if v[0] != "p" else int(shouts[v]) for v in voters]
-
-
 # --- the classifier ---------------------------------------------------------
 
 
-def vector(counts: Counter, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the terms that the classifier reads: 1 + log of a count."""
-    held = [(places[t], 1 + math.log(n)) for t, n in counts.items() if t in places]
-    return np.array([k for k, _ in held], np.int64), np.array([v for _, v in held], np.float64)
-
-
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n: int, rounds: int = 15, rate: float = 0.3, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, start: np.ndarray, rate: float = 0.3, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets, by adaptive gradient steps row by row in
-    a fixed order; rows of the rarer side weigh more."""
-    w, g, bias, gb = np.zeros(n), np.full(n, 1e-1), 0.0, 1e-1
+    a fixed order, from the weights ``start``; rows of the rarer side weigh more."""
+    w, g, bias, gb = start.copy(), np.full(len(start), 1e-1), 0.0, 1e-1
     share = float(np.clip(target.mean(), 0.1, 0.9)) if len(target) else 0.5
     rng = np.random.default_rng(5)
-    for _ in range(rounds):
+    for _ in range(int(np.clip(VISITS // max(1, len(rows)), 10, 60))):
         for k in rng.permutation(len(rows)):
             at, x = rows[k]
             p = 1 / (1 + math.exp(-max(-40.0, min(40.0, bias + float(w[at] @ x)))))
@@ -217,17 +236,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, label) rows, which the caller has bounded. Copies of a text
     count once, else one of its words would look like a sign of its label."""
     rows = sorted(set(rows))
-    counted = [(terms(t), y) for t, y in rows]
-    voters, read = mine(counted)
+    held = Terms(rows)
+    voters, read = held.select()
     if not voters:
         return Model({}, math.log(PRIOR / (1 - PRIOR)), [])
-    voters += ["p:bangs", "p:capitals", "p:address"]
-    votes = np.array([votes_of(c, t, voters) for (c, _), (t, _) in zip(counted, rows)], np.float64)
-    labels = np.array([y for _, y in rows], np.float64)
-    target = LabelModel(len(voters), PRIOR).fit(votes, labels).posterior(votes, labels)
-    places = {t: k for k, t in enumerate(read)}
-    weights, bias = train([vector(c, places) for c, _ in counted], target, len(read))
-    return Model({t: float(w) for t, w in zip(read, weights) if w}, bias, voters)
+    votes = np.zeros((len(rows), len(voters) + len(held.shouts[0])))
+    for k, (at, _) in enumerate(held.table(voters)):
+        votes[k, at] = 1
+    votes[:, len(voters) :] = held.shouts
+    target = LabelModel(votes.shape[1], PRIOR).fit(votes, held.labels).posterior(votes, held.labels)
+    names = [held.names[k] for k in read]
+    start = np.array([SEED_WEIGHT if t[2:] in SEEDS and t[0] == "w" else 0.0 for t in names])
+    weights, bias = train(held.table(read), target, start)
+    return Model({t: float(w) for t, w in zip(names, weights) if w}, bias, [held.names[k] for k in voters])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[tuple[str, int]]:
