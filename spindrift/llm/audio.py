@@ -184,15 +184,16 @@ MEDIA = T.StructType([T.StructField(n, k) for n, k in (("media", T.BinaryType())
 
 @F.arrow_udf(MEDIA)
 def audio_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64())
     for texts in batches:
-        out: list[list] = [[], [], [], [], []]
-        for x in texts.cast(pa.binary()).to_pylist():
-            text = x or b""
-            media = encode_wave(payload_of(text))
-            for column, value in zip(out, (media, *features(media), len(text))):
-                column.append(value)
-        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], MEDIA.names)
+        for k in range(0, len(texts), 512):  # files are far larger than rows usually are: a few at a time
+            out: list[list] = [[], [], [], [], []]
+            for x in texts.slice(k, 512).cast(pa.binary()).to_pylist():
+                text = x or b""
+                media = encode_wave(payload_of(text))
+                for column, value in zip(out, (media, *features(media), len(text))):
+                    column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], MEDIA.names)
 
 
 def audio_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
