@@ -19,10 +19,22 @@ fingerprint zero, linked like any other. Equal fingerprints are one node, so cop
 are never paired. A null id takes no part in the smallest id; if a component has
 no other id, its component_id is null. Repeated rows come back as often as they
 came. An empty table gives an empty result. Further columns are not read.
+
+The pipeline stage links, besides, all texts whose sets of five-word shingles have
+a Jaccard similarity of ``SIMILAR`` at least. Of two such texts, at least one of the
+first n - ceil(SIMILAR n) + 1 shingles of each agree in any order common to all, so
+these shingles are shuffled and every candidate lies in one of their buckets. The
+order only decides the work: shingles frequent in a sample come last. Candidates
+whose shingles, counted modulo two in bins, differ too often to be similar are left
+out, and all others are compared by whole texts: first each bucket's members with
+one of them, then all pairs that the links so far have not joined.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -47,6 +59,10 @@ CHUNK = 200_000
 TRIALS, LARGE = 48, 512
 #: Most (query, node) pairs held at once.
 FRONTIER = 4_000_000
+#: Words of a shingle of the pipeline stage, and its least similarity.
+WORDS, SIMILAR = 5, 0.8
+#: One text in SAMPLED is asked for frequent shingles; most of those that are held.
+SAMPLED, FREQUENT = 16, 50_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -267,10 +283,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for every fingerprint. prints: (doc_id, fp)."""
+def classes(prints: DataFrame, more: Callable[[DataFrame], DataFrame] = lambda edges: edges) -> DataFrame:
+    """(fp, component_id) for every fingerprint. prints: (doc_id, fp); more: adds to
+    the links of fingerprints."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    found = components(links(nodes.select("fp")))
+    found = components(more(links(nodes.select("fp"))))
     reached = found.join(nodes, F.col("node") == F.col("fp"))
     least = reached.groupBy("label").agg(F.min("first").alias("least"))
     moved = reached.select("fp", "label").join(least, "label").select("fp", "least")
@@ -285,15 +302,207 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", hexed, "component_id")
 
 
+# --- similar texts of the pipeline stage --------------------------------------
+
+
+@F.arrow_udf(T.LongType())
+def words_udf(texts: pa.Array) -> pa.Array:
+    """One number for equal words, as fingerprints know them."""
+    joined = (b" ".join((x or b"").lower().split()) for x in texts.cast(pa.binary()).to_pylist())
+    return pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64).view(np.int64))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WORDS)).view(np.int64)
+
+
+@F.arrow_udf(T.BinaryType())
+def parity_udf(texts: pa.Array) -> pa.Array:
+    return pa.array([parity(x or b"") for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def parity(text: bytes) -> bytes:
+    """The number of shingles, and of each of as many bins (a power of two) whether
+    it holds an odd number of them."""
+    tokens = shingle_set(text)
+    bins = 1 << max(6, (max(len(tokens), 1) - 1).bit_length())
+    odd = np.bincount(tokens & (bins - 1), minlength=bins) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities_allow(x: bytes, y: bytes) -> bool:
+    """False only of texts that are not similar: two sets differ in at least as many
+    shingles as bins. More bins are folded onto fewer."""
+    n = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    (a, wide), (b, narrow) = sorted(((int.from_bytes(z[8:], "little"), 8 * len(z) - 64) for z in (x, y)), key=lambda z: -z[1])
+    while wide > narrow:
+        wide //= 2
+        a = (a >> wide) ^ (a & ((1 << wide) - 1))
+    return (a ^ b).bit_count() <= (1 - SIMILAR) / (1 + SIMILAR) * n + 1e-9
+
+
+@F.arrow_udf(T.BooleanType())
+def parities_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([parities_allow(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
+def needed(n: int) -> int:
+    """Shingles that a set of n must share with any similar one."""
+    return math.ceil(SIMILAR * n - 1e-9)
+
+
+def _starts(frequent: np.ndarray | None):  # noqa: ANN202
+    """(token, node, n, at) of the first shingles of each text; of all without an order."""
+    order = None if frequent is None else np.sort(frequent[:, 0])
+    weight = None if frequent is None else frequent[np.argsort(frequent[:, 0]), 1]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        seen: set[int] = set()
+        for batch in batches:
+            held = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if node in seen:
+                    continue
+                seen.add(node)
+                tokens = shingle_set(text or b"")
+                n = len(tokens)
+                if order is not None and n:
+                    if len(order):
+                        at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
+                        tokens = tokens[np.argsort(np.where(order[at] == tokens, weight[at], 0), kind="stable")]
+                    tokens = tokens[: n - needed(n) + 1]
+                held.append(np.stack([tokens, np.full(len(tokens), node), np.full(len(tokens), n), np.arange(len(tokens))], axis=1))
+            rows = np.concatenate(held) if held else np.empty((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["token", "node", "n", "at"])
+
+    return run
+
+
+def _whole(batches, width: int):  # noqa: ANN001, ANN202
+    """Runs of rows with whole buckets, which arrive in order of their first column."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+        if sum(map(len, held)) >= CHUNK:
+            rows = np.concatenate(held)
+            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield rows[:cut]
+            held = [rows[cut:]]
+    yield np.concatenate(held) if held else np.empty((0, width), np.int64)
+
+
+def _shared_batches(batches):  # noqa: ANN001, ANN202
+    """Buckets of at least two texts, each text once."""
+    for rows in _whole(batches, 4):
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
+        rows = rows[np.r_[True, ~same]] if len(rows) else rows
+        near = rows[1:, 0] == rows[:-1, 0]
+        rows = rows[np.r_[near, False] | np.r_[False, near]] if len(rows) else rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["token", "node", "n", "at"])
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows (token, node, n, at, group) of one bucket: not yet linked, and enough
+    shingles left if this is the first that both share."""
+    left = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
+    return (x[:, 4] != y[:, 4]) & (left >= SIMILAR / (1 + SIMILAR) * (x[:, 2] + y[:, 2]) - 1e-9)
+
+
+def _pairs(star: bool):  # noqa: ANN202
+    """Candidates (a, b), a < b, of buckets (token, node, n, at, group): all, or only
+    those with a bucket's first text."""
+
+    def out(found: list[np.ndarray]):  # noqa: ANN202
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for rows in _whole(batches, 5):
+            found, held = [np.empty((0, 2), np.int64)], 0
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 1 if star else 2], rows[:, 0]))]
+            if star and len(rows):
+                first = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+                heads = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                ok = may_be_similar(heads, rows)
+                found.append(np.sort(np.stack([heads[ok, 1], rows[ok, 1]], axis=1), axis=1))
+            elif not star:
+                at, step = np.arange(len(rows)), 0
+                while len(at):
+                    step += 1
+                    at = at[at + step < len(rows)]
+                    x, y = rows[at], rows[at + step]
+                    # by size: once a text is too large, all further ones are
+                    on = (x[:, 0] == y[:, 0]) & (x[:, 2] >= SIMILAR * y[:, 2] - 1e-9)
+                    at, x, y = at[on], x[on], y[on]
+                    ok = may_be_similar(x, y)
+                    found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1))
+                    held += int(ok.sum())
+                    if held > CHUNK:
+                        yield out(found)
+                        found, held = [np.empty((0, 2), np.int64)], 0
+            yield out(found)
+
+    return run
+
+
+@F.arrow_udf(T.BooleanType())
+def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    sets = lru_cache(256)(shingle_set)
+    out = []
+    for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()):
+        x, y = sets(x or b""), sets(y or b"")
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+    return pa.array(out, pa.bool_())
+
+
+def similar_buckets(numbered: DataFrame) -> DataFrame:
+    """(token, node, n, at): the first shingles that two texts at least share."""
+    texts = numbered.select(F.col("__node").alias("node"), "text")
+    form = "token long, node long, n long, at long"
+    asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
+    counts = asked.groupBy("token").agg(F.count("*").alias("c")).where("c >= 4").orderBy(F.desc("c"), "token").limit(FREQUENT)
+    frequent = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
+    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token").sortWithinPartitions("token")
+    return materialise(dealt.mapInArrow(_shared_batches, form), "buckets")
+
+
+def similar_links(numbered: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` and further links (a, b) of fingerprints, by which all similar texts
+    are joined. numbered: text, __fp, __node, __odd, __row."""
+    buckets = similar_buckets(numbered)
+    nodes = numbered.groupBy(F.col("__node").alias("node")).agg(F.min("__fp").alias("fp"), F.min("__row").alias("row"), F.min("__odd").alias("odd"))
+    nodes = materialise(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
+    for star in (True, False):
+        labels = components(edges)
+        group = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("label", "fp").alias("group"))
+        dealt = buckets.join(group, "node").select("token", "node", "n", "at", "group").repartition("token").sortWithinPartitions("token")
+        pairs = dealt.mapInArrow(_pairs(star), "a long, b long").distinct()
+        pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
+        pairs = materialise(pairs.where(parities_udf("oa", "ob")).select("a", "b"), "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "fp", F.col("row").alias("__row")), "rows")
+        texts = materialise(numbered.select("__row", "text").join(rows, "__row").select("node", "fp", "text"), "texts")
+        one = texts.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("ta"))
+        two = texts.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("tb"))
+        new = pairs.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        edges = materialise(edges.unionByName(new), "edges")
+    return edges
+
+
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays, of
     repeated rows one; rows without any id in their component keep one as well."""
     held = docs.columns
     # the rows' numbers are written with them: counted anew, they could differ
-    numbered = docs.withColumns({"__fp": fingerprint_udf(F.col("text")), "__row": F.monotonically_increasing_id()})
+    numbered = docs.withColumns({"__fp": fingerprint_udf(F.col("text")), "__node": words_udf(F.col("text")), "__odd": parity_udf(F.col("text")), "__row": F.monotonically_increasing_id()})
     numbered = materialise(numbered, "numbered")
     marked = numbered.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    found = classes(marked.select("doc_id", "fp"))
+    found = classes(marked.select("doc_id", "fp"), lambda edges: similar_links(numbered, materialise(edges, "edges")))
     # the label tells components without an id apart: their smallest fingerprint
     named = marked.join(found, "fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))

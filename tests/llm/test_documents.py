@@ -160,6 +160,35 @@ def test_op6_bk_trees_and_oversized_shards(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200, 300: 200, 250: 200}
 
 
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_set(x.encode()).tolist()) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_first_similar_texts(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(12):
+        words = [f"w{w}" for w in rng.integers(0, 5000, 20 + 25 * k)]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            words = list(words)
+            for at in rng.choice(len(words), rng.integers(1, 2 + len(words) // 40), replace=False):
+                words[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[5], "one line of boilerplate that all have " + texts[3]]
+    prints = [brute_print(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4 or jaccard(texts[i], texts[j]) >= 0.8]
+    # some similar texts are further apart than the fingerprints' radius
+    assert any((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links)
+    odd = [simhash.parity(t.encode()) for t in texts]
+    assert all(simhash.parities_allow(odd[i], odd[j]) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8)
+    label = simhash.merge(np.arange(len(texts)), *np.array(links).T)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(spark, docs, "").collect()}
+    assert kept == set(np.unique(label).tolist())
+
+
 def test_op7(spark, folder):
     tk = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
