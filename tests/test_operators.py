@@ -205,3 +205,22 @@ def test_search_and_context(spark):
         assert hybrid.search(docs, q, c, 2, mode).where("rank = 1").first()["doc"] == 1
     found = hybrid.search(docs, q, c, 2).join(docs, "doc")
     assert hybrid.context(found, F.lit("ref"), F.col("text")).first()["context"].startswith("[Nguồn 1] ref\nred")
+
+
+def test_full_text_asks_whole_questions(spark, tmp_path):
+    import duckdb
+
+    from spindrift import queries as library
+
+    docs = [(1, "red green blue white black grey"), (2, "red green blue and nothing else"), (3, "white birds"), (4, "black birds and grey cats"), (5, "unrelated")]
+    asked = [(1, "red green blue white"), (2, "white black grey"), (3, "white swans"), (4, "white black grey birds cats swans"), (5, "Grey, grey BIRDS!")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name = "r02_fts_whole"
+    rows = library.queries()[name](spark, str(tmp_path)).collect()
+    # 1: the fourth word leaves document 1; 3: any of two terms; 4: six terms and no document has all
+    assert {(r["query"], r["doc"], r["mode"]) for r in rows} == {(1, 1, "and"), (2, 1, "and"), (3, 1, "or"), (3, 3, "or"), (5, 4, "and")}
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(c.execute(library.oracle_sql()[name]).fetchall())
