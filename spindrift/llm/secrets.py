@@ -28,8 +28,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: afterwards, as a short value also uses up its text.
 STRONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Weak parts: (complement kinds, pattern).
-IDENTIFIER = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:access_?key_?id|client_?id|user(?:name)?)\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}"
-SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])|(?i:pass(?:word|wd)?|pwd|secret|token)\x20*[:=]\x20*[\"']?[^\s\"']{4,}"
+IDENTIFIER = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:access_?key_?id|client_?id|user(?:name)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}"
+SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])|(?i:pass(?:word|wd)?|pwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}"
 ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}"
 #: What must be in a text for a pattern to match at all; cheaper than the pattern.
 WEAK = {

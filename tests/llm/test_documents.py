@@ -341,6 +341,16 @@ def test_op10(spark, folder, tmp_path):
     assert grouped(secrets.op10_secret_scans(spark, str(tmp_path)).collect()) == grouped(want)
 
 
+def test_op10_quoted_keywords(spark, tmp_path):
+    texts = ['{"username": "alice", "password": "hunter2222", "host": "https://db.example/x"}', "client_id=abcd1234 api_key=Zx9qLm44Qw"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",")} for r in secrets.op10_secret_scans(spark, str(tmp_path)).collect()}
+    assert got == {0: {"assign", "identifier", "secret", "endpoint"}, 1: {"assign", "identifier", "secret"}}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    hidden = {r["doc_id"]: r["text"] for r in secrets.hide_secrets(spark, docs, "").collect()}
+    assert not [x for x in ("alice", "hunter2222", "db.example", "abcd1234", "Zx9qLm44Qw") if x in hidden[0] + hidden[1]]
+
+
 def test_redact(spark, edge):
     from pyspark.sql import functions as F
 
