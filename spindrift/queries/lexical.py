@@ -75,16 +75,20 @@ def x15_content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents that hold a question verbatim. Questions are a table of bounded size;
-    equal five-word starts are looked up first, so that no document meets all."""
+    equal five-word starts are looked up first, so that no document meets all. Of
+    under six words no window is sure to be whole in the text: such questions are
+    broadcast and searched in every document."""
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = 4
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
     grams = F.array_distinct(X.let(words, windows))
     q = F.filter(F.split(F.col("question"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # the first word may be the end of a longer one in the text: start from the second
-    asked = questions.select("item_id", "question", F.xxhash64(F.slice(q, 2, n)).alias("g"))
+    asked = questions.where(F.size(q) >= n + 2).select("item_id", "question", F.xxhash64(F.slice(q, 2, n)).alias("g"))
     held = docs.select("doc_id", F.explode(grams).alias("g")).join(asked, "g").select("doc_id", "item_id", "question").distinct()
-    return held.join(docs, "doc_id").where(F.contains("text", F.col("question")))
+    long = held.join(docs, "doc_id").where(F.contains("text", F.col("question")))
+    short = questions.where(F.size(q) < n + 2).select("item_id", "question")
+    return long.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("question"))).select(long.columns))
 
 
 @Q.add(f"""

@@ -224,3 +224,13 @@ def test_full_text_asks_whole_questions(spark, tmp_path):
     for t in ("documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(tuple, rows)) == sorted(c.execute(library.oracle_sql()[name]).fetchall())
+
+
+def test_planted_short_questions(spark):
+    from spindrift.queries.lexical import planted
+
+    docs = [(1, "one two three four fivefold six seven"), (2, "a two three"), (3, "zone two three four five six"), (4, None), (5, "")]
+    asked = [(1, "two three"), (2, "one two three four five"), (3, "e"), (4, "one two three four five six"), (5, None), (6, "two three four fivefold")]
+    got = planted(spark.createDataFrame(asked, "item_id long, question string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    want = sorted((d, i) for d, t in docs for i, q in asked if t is not None and q is not None and q in t)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == want
