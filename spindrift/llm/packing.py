@@ -4,10 +4,12 @@ Documents become token pieces of at most ``LENGTH``; whole pieces fill a sequenc
 each and the others are packed. Pieces are dealt into shards of bounded size, and
 every shard is evolved on several islands. An individual is a set of bins. A
 crossover injects whole well-filled bins of one parent into the other, removes the
-bins that hold a piece twice and best-fits the pieces so displaced. After an epoch
-each island's best solution migrates to the next island, which evolves on from
-both. Then each shard keeps its best solution; bins filled well enough are final,
-and the pieces of all other bins meet again, in fewer shards, in the next round.
+bins that hold a piece twice, puts displaced pieces in the place of smaller ones where
+that fills a bin better, and best-fits what is left over. After an epoch each island's
+best solution migrates to the next island, which evolves on from both. An island
+stops as soon as its best solution meets a lower bound. Then each shard keeps its
+best solution; bins filled well enough are final, and the pieces of all other bins
+meet again, in fewer and, in the last round, larger shards.
 
 Defined results: a null text counts as empty; an empty document is its end token
 alone. Rows are told apart by a number of their own, so that repeated rows and
@@ -23,6 +25,7 @@ import json
 import random
 import re
 import unicodedata
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -38,16 +41,18 @@ from .common import materialise, table
 
 LENGTH = 4096
 END_ID = 1
-#: Pieces of a shard, islands of a shard, epochs, generations of an epoch,
-#: individuals of an island.
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3000, 2, 2, 3, 3
+#: Pieces of a shard, islands of a shard, epochs, individuals of an island.
+SHARD, ISLANDS, EPOCHS, POPULATION = 3000, 2, 2, 6
+#: Pieces that an island's generations touch in an epoch, at least LEAST generations.
+WORK, LEAST = 12_000, 3
 #: A bin with at most this many free places is final.
 SPARE = 8
-#: Rounds of packing; in the last one every bin is final.
-ROUNDS = 4
+#: Rounds of packing; in the last one every bin is final, and a shard has up to
+#: LAST times as many pieces.
+ROUNDS, LAST = 4, 8
 #: Stands for the round in the numbers of sequences that one whole piece fills. A
-#: number is the round, the shard and the bin (below 4096, as SHARD is) side by side.
-WHOLE = 7
+#: number is the round, the shard and the bin (below 2 ** BIN_BITS) side by side.
+WHOLE, BIN_BITS = 7, 16
 #: Most words a worker remembers.
 MEMORY = 400_000
 
@@ -121,27 +126,41 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long"
+#: Bytes of ids after which a worker hands on what it has cut.
+HANDED = 8_000_000
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Token pieces of every document: doc_id, piece, start, length, ids (bytes,
-    little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, ids: bool = True) -> DataFrame:
+    """Token pieces of every document: doc_id, piece, start, length, and ids (bytes,
+    little-endian unsigned 32-bit) or else their ids_crc32."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if ids else pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids" if ids else "ids_crc32"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words(path)
         end = array("I", [END_ID]).tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = coder.encode(text or "") + end
-                total = len(ids) // 4
-                rows += [(doc, k, s, min(length, total - s), ids[4 * s : 4 * (s + length)]) for k, s in enumerate(range(0, total, length))]
-            columns = zip(*rows) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, PIECES)
+            held = 0
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                found = coder.encode(text.as_py() or "") + end
+                total = len(found) // 4
+                for k, s in enumerate(range(0, total, length)):
+                    part = found[4 * s : 4 * (s + length)]
+                    rows.append((doc, k, s, min(length, total - s), part if ids else zlib.crc32(part)))
+                    held += len(part) if ids else 64
+                    if held > HANDED:
+                        yield batch(rows)
+                        rows, held = [], 0
+            yield batch(rows)
+
+    last = "ids binary" if ids else "ids_crc32 long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, f"{PIECES}, {last}")
 
 
 # --- the genetic algorithm --------------------------------------------------
@@ -173,9 +192,52 @@ def worth(sizes: list[int], bins: Bins, room: int) -> tuple[int, float]:
     return -len(bins), sum((fill(sizes, b) / room) ** 2 for b in bins)
 
 
+def least_bins(sizes: list[int], room: int) -> int:
+    """A lower bound. Of pieces over room - k none share a bin, nor can pieces from k
+    on go beside them; pieces over half the room do not share one either. The best
+    over all k."""
+    ordered = np.sort(np.asarray(sizes, np.int64))[::-1]
+    total = np.r_[0, np.cumsum(ordered)]
+    best, half = -(-int(total[-1]) // room), int(np.searchsorted(-ordered, -(room // 2), "left"))
+    for k in {int(x) for x in ordered[ordered * 2 <= room]} | {0}:
+        alone = int(np.searchsorted(-ordered, -(room - k), "left"))
+        counted = int(np.searchsorted(-ordered, -k, "right"))
+        spare = (half - alone) * room - int(total[half] - total[alone])
+        small = int(total[counted] - total[half])
+        best = max(best, half + max(0, -(-(small - spare) // room)))
+    return best
+
+
+def replace(sizes: list[int], bins: Bins, displaced: list[int], room: int) -> list[int]:
+    """Each displaced piece, the largest first, takes the place of the smaller piece
+    that leaves its bin fullest. Returns the pieces displaced now, smaller ones."""
+    free = [room - fill(sizes, b) for b in bins]
+    out, todo = [], sorted(displaced, key=lambda i: sizes[i])
+    while todo:
+        i = todo.pop()
+        size, most, where = sizes[i], 0, None
+        for k, left in enumerate(free):
+            if left <= most or left >= size:  # nothing to gain, or it fits as it is
+                continue
+            for at, j in enumerate(bins[k]):
+                gain = size - sizes[j]
+                if most < gain <= left:
+                    most, where = gain, (k, at)
+                    if gain == left:
+                        break
+        if where is None:
+            out.append(i)
+            continue
+        k, at = where
+        j, bins[k][at] = bins[k][at], i
+        free[k] -= most
+        bisect.insort(todo, j, key=lambda x: sizes[x])
+    return out
+
+
 def crossover(sizes: list[int], a: Bins, b: Bins, room: int, rng: random.Random) -> Bins:
     """Well-filled bins of ``b`` go whole into ``a``; bins of ``a`` that hold one of
-    their pieces go, and what else was in these is best-fitted again."""
+    their pieces go, and what else was in these is put back."""
     full = [x for x in b if fill(sizes, x) >= room * 0.995] or sorted(b, key=lambda x: -fill(sizes, x))[: max(1, len(b) // 4)]
     given = [list(x) for x in rng.sample(full, max(1, len(full) // 2))]
     taken = {i for x in given for i in x}
@@ -185,34 +247,46 @@ def crossover(sizes: list[int], a: Bins, b: Bins, room: int, rng: random.Random)
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    return best_fit(sizes, displaced, kept + given, room)
+    return settle(sizes, displaced, kept + given, room)
+
+
+def settle(sizes: list[int], displaced: list[int], bins: Bins, room: int) -> Bins:
+    return best_fit(sizes, replace(sizes, bins, displaced, room), bins, room)
 
 
 def mutate(sizes: list[int], bins: Bins, room: int, rng: random.Random) -> Bins:
-    """The worst-filled bins and a few others are taken apart and best-fitted."""
+    """The worst-filled bins and a few others are taken apart and put back."""
     order = sorted(range(len(bins)), key=lambda k: fill(sizes, bins[k]))
-    gone = set(order[: max(1, len(bins) // 20)]) | set(rng.sample(order, max(1, len(bins) // 20)))
-    return best_fit(sizes, [i for k in gone for i in bins[k]], [list(b) for k, b in enumerate(bins) if k not in gone], room)
+    few = max(1, min(len(bins) // 20, 12))
+    gone = set(order[:few]) | set(rng.sample(order, few))
+    return settle(sizes, [i for k in gone for i in bins[k]], [list(b) for k, b in enumerate(bins) if k not in gone], room)
 
 
-def evolve(sizes: list[int], start: list[Bins], room: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
-    """The best individual after ``generations``, from ``start`` and best fits."""
+def evolve(sizes: list[int], start: list[Bins], room: int, seed: int, work: int = WORK, population: int = POPULATION) -> Bins:
+    """The best individual after as many generations as ``work`` pays for, from
+    ``start`` and best fits; at once if it meets the lower bound."""
     rng = random.Random(seed)
-    least = -(-sum(sizes) // room)
     pool = list(start)
     if not pool:
         pool.append(best_fit(sizes, list(range(len(sizes))), [], room))
-    while len(pool) < population:
-        pool.append(mutate(sizes, pool[0], room, rng))
-    for _ in range(generations):
-        pool.sort(key=lambda x: worth(sizes, x, room), reverse=True)
-        if len(pool[0]) <= least:
+    least = least_bins(sizes, room)
+    value = lambda x: worth(sizes, x, room)
+    pool = sorted(((value(x), x) for x in pool), key=lambda p: p[0], reverse=True)
+    while len(pool[0][1]) > least and len(pool) < population:
+        child = mutate(sizes, pool[0][1], room, rng)
+        pool.append((value(child), child))
+    for _ in range(max(LEAST, work // max(1, len(sizes)))):
+        pool.sort(key=lambda p: p[0], reverse=True)
+        if len(pool[0][1]) <= least:
             break
-        child = crossover(sizes, pool[0], pool[rng.randrange(1, len(pool))], room, rng)
-        pool[-1] = mutate(sizes, child, room, rng)
-        if len(pool) > 2:
-            pool[-2] = crossover(sizes, pool[-2], pool[0], room, rng)
-    return max(pool, key=lambda x: worth(sizes, x, room))
+        # two parents, the first the better of two drawn; the worst two make room
+        one, other = sorted(rng.sample(range(len(pool)), 2))
+        child = crossover(sizes, pool[one][1], pool[other][1], room, rng)
+        grown = mutate(sizes, child, room, rng)
+        pool[-1] = (value(grown), grown)
+        if len(pool) > 2 and all(value(child) != p[0] for p in pool):
+            pool[-2] = (value(child), child)
+    return max(pool, key=lambda p: p[0])[1]
 
 
 # --- islands ----------------------------------------------------------------
@@ -298,8 +372,8 @@ def pack(items: DataFrame, room: int = LENGTH, seed: int = 7, rounds: int = ROUN
         count = left.count()
         if not count:
             break
-        shards = max(1, -(-count // SHARD))
-        last = n == rounds - 1 or shards == 1
+        last = n == rounds - 1 or count <= SHARD
+        shards = max(1, -(-count // (SHARD * LAST if last else SHARD)))
         none = F.lit(-1).cast("long")
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(n)), F.lit(shards).cast("long")))
         best = None
@@ -316,7 +390,7 @@ def pack(items: DataFrame, room: int = LENGTH, seed: int = 7, rounds: int = ROUN
         kept = best.join(winner, ["shard", "island"], "left_semi").select("shard", "bin", "key", "length")
         closed = kept.repartition("shard").sortWithinPartitions("shard", "bin", "key")
         placed = materialise(closed.mapInArrow(_close(room, SPARE, last), "key long, length long, shard long, bin long, offset long"), "placed")
-        number = (F.lit(n << 60) + F.col("shard") * 4096 + F.col("bin")).alias("sequence_id")
+        number = (F.lit(n << 60) + F.shiftleft("shard", BIN_BITS) + F.col("bin")).alias("sequence_id")
         done.append(placed.where("offset >= 0").select("key", number, "offset"))
         left = placed.where("offset < 0").select("key", "length")
     out = done[0]
@@ -334,8 +408,7 @@ def pack_documents(cut: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    cut = pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack_documents(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return pack_documents(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

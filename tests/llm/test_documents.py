@@ -256,6 +256,56 @@ def test_op8_genetic_algorithm():
     assert sorted(i for b in child for i in b) == list(range(300)) and all(packing.fill(sizes, b) <= 100 for b in child)
 
 
+def test_op8_hard_instances():
+    """Triplets that fill their bins exactly: best fit is far from it, evolution is not."""
+    import random
+
+    for n, seed in ((20, 1), (40, 2), (80, 4)):
+        rng, sizes = random.Random(seed), []
+        for _ in range(n):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            sizes += [a, b, 1000 - a - b]
+        rng.shuffle(sizes)
+        first = packing.best_fit(sizes, list(range(3 * n)), [], 1000)
+        best = packing.evolve(sizes, [], 1000, 1)
+        assert sorted(i for b in best for i in b) == list(range(3 * n)) and all(packing.fill(sizes, b) <= 1000 for b in best)
+        assert n <= packing.least_bins(sizes, 1000) <= len(best) <= 1.05 * n + 1 < len(first)
+    # the bound never is above what fits, and sees pieces that cannot share a bin
+    assert packing.least_bins([60, 60, 60, 30, 30, 30], 100) == 3 and packing.least_bins([60, 60, 60, 45], 100) == 4
+    for seed in range(200):
+        rng = random.Random(seed)
+        sizes = [rng.randrange(1, 100) for _ in range(rng.randrange(1, 9))]
+        assert packing.least_bins(sizes, 100) <= fewest(sizes, 100)
+
+
+def fewest(sizes, room):
+    """Bins needed, by trying all places."""
+    best = len(sizes)
+
+    def put(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(sizes):
+            best = len(free)
+            return
+        for f in {*free}:
+            if f >= sizes[k]:
+                i = free.index(f)
+                put(k + 1, [*free[:i], f - sizes[k], *free[i + 1 :]])
+        put(k + 1, [*free, room - sizes[k]])
+
+    put(0, [])
+    return best
+
+
+def test_op8_reaches_the_bound(spark):
+    """On the documents as they are, no sequence more than the tokens need."""
+    rows = packing.op8_best_fit_packing(spark, "/root/testdata/sf0.1").groupBy("sequence_id").sum("length").collect()
+    assert len(rows) == -(-sum(r[1] for r in rows) // 4096) == 2270
+
+
 def test_op8_rounds(spark, monkeypatch):
     """More shards than one, so that bins are taken apart again."""
     monkeypatch.setattr(packing, "SHARD", 40)
