@@ -3,8 +3,6 @@ folder, durable materialisation and small Column idioms."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the
-    session has it; a temporary folder only where it is unset (local tests)."""
+    session has it. Nothing stands in for it, as no other folder is known to be
+    shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -53,3 +52,42 @@ def detached(key: Column) -> Column:
     """The same string key as a new expression, so that a join brings its own
     exchange, which adaptive execution can split when a key is hot."""
     return F.concat(key, F.lit(""))
+
+
+def nested(df: DataFrame, *more: Column) -> DataFrame:
+    """The row as one struct ``d``, so that no column of it clashes with ``more``."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("d"), *more)
+
+
+def unnested(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a nested row again, those in ``new`` replaced."""
+    return df.select(*[new.get(c, F.col("d").getField(c)).alias(c) for c in columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Elements of a block of ``running``.
+BLOCK = 128
+
+
+def running(values: Column, kind: str, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` makes of each element and all before it. An accumulator that is an
+    array would be copied for every element; here blocks are, then one total each."""
+
+    def scan(block: Column) -> Column:
+        empty = F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+        step = lambda a, x: let(op(a["at"], x), lambda y: F.struct(y.alias("at"), F.concat(a["all"], F.array(y)).alias("all")))
+        return F.aggregate(block, empty, step, lambda a: a["all"])
+
+    def joined(blocks: Column) -> Column:
+        totals = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        before = lambda t, i: F.when(i == 0, start.cast(kind)).otherwise(F.get(t, i - 1))
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: let(before(t, i), lambda c: F.transform(b, lambda x: op(c, x))))))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        return let(F.transform(starts, lambda i: scan(F.slice(v, i, BLOCK))), joined)
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast(f"array<{kind}>")).when(F.size(v) <= BLOCK, scan(v)).otherwise(cut(v)))

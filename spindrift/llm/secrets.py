@@ -2,14 +2,16 @@
 
 Strong patterns stand by themselves. Weak parts (a bare identifier, a bare secret,
 an endpoint) are reported only if a complementary part starts within ``SCOPE``
-characters of them in the same text: an interval join over bins of that width, in
-which each side of a bin is reduced to its first and last start beforehand, so
-that the work follows the number of parts and never the number of their pairs.
+characters of them in the same text. That is an interval join of a text's parts with
+themselves, done as a sweep: parts are sorted by their start, and running maxima and
+minima give each the nearest part of every kind before and after it, so that the work
+follows the number of parts and never the number of their pairs. A scope never leaves
+its text; so neither do parts, and nothing is shuffled.
 
 Defined results: a null text counts as empty and has no spans. Null ids, repeated
-rows and further columns pass through; rows are told apart by a number of their
-own, not by their id. An empty table gives an empty result. Texts are scanned
-whole. Spans are in code points, the end exclusive.
+rows and further columns pass through. An empty table gives an empty result. Texts
+are scanned whole, in time near proportional to their length and matches. Spans are
+in code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialise, table
+from .common import let, nested, running, table, unnested
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -51,25 +53,13 @@ def spans(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0)
     tested = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
 
     def laid(found: Column, parts: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            end = begin + x["size"]
-            one = F.array(F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"))).cast(SPAN)
-            return F.struct(
-                end.alias("at"), F.when(x["ok"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans")
-            )
-
-        rows = F.transform(
-            found,
-            lambda m, i: F.struct(
-                F.length(F.get(between, i)).cast("long").alias("gap"),
-                F.length(m).cast("long").alias("size"),
-                (F.length(F.get(parts, i)) >= least).alias("ok"),
-            ),
-        )
-        return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+        sizes = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m)).cast("long"))
+
+        def placed(ends: Column) -> Column:
+            rows = F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(found, i))).cast("long").alias("start"), rank.alias("rank"), e.alias("end")))
+            return F.filter(rows, lambda _, i: F.length(F.get(parts, i)) >= least).cast(SPAN)
+
+        return let(running(sizes, "long", F.lit(0), lambda a, x: a + x), placed)
 
     none = F.array().cast(SPAN)
     return let(
@@ -83,39 +73,52 @@ def _guarded(text: Column, test: Column, value: Column) -> Column:
 
 
 def scan(text: Column) -> Column:
-    """A struct: ``base`` and ``weak`` spans of the whole text."""
-    text = F.coalesce(text, F.lit(""))
+    """A struct of the whole text: ``base`` spans, and ``found``, these and the weak
+    ones that are linked."""
     # each kind of assignment needs one of these letters pairs beside a colon or an equals sign
-    named = text.rlike(r"(?i)[:=]") & text.rlike(r"(?i)passw|secret|token|api_?key")
-    base = F.concat(
-        _guarded(text, named, spans(text, ASSIGN, "assign", 6, 2)),
-        _guarded(text, F.contains(text, F.lit("AKIA")), spans(text, STRONG["access"], "access")),
-        spans(text, STRONG["hex"], "hex"),
-    )
-    parts = F.concat(*[_guarded(text, text.rlike(test), spans(text, p, k)) for k, (p, test) in WEAK.items()])
-    return F.struct(base.alias("base"), parts.alias("weak"))
+    def parts(t: Column) -> Column:
+        named = t.rlike(r"[:=]") & t.rlike(r"(?i)passw|secret|token|api_?key")
+        base = F.concat(
+            _guarded(t, named, spans(t, ASSIGN, "assign", 6, 2)),
+            _guarded(t, F.contains(t, F.lit("AKIA")), spans(t, STRONG["access"], "access")),
+            spans(t, STRONG["hex"], "hex"),
+        )
+        weak = F.concat(*[_guarded(t, t.rlike(test), spans(t, p, k)) for k, (p, test) in WEAK.items()])
+        return F.struct(base.alias("base"), let(weak, linked).alias("linked"))
 
+    made = let(F.coalesce(text, F.lit("")), parts)
+    return let(made, lambda s: F.struct(s["base"].alias("base"), F.concat(s["base"], s["linked"]).alias("found")))
 
-def link(scanned: DataFrame) -> DataFrame:
-    """Weak spans that have a complement in scope: ``__row`` and ``linked``."""
-    part = F.col("p")
-    some = scanned.where(F.size(F.array_distinct(F.transform("__s.weak", lambda x: x["rank"]))) > 1)
-    parts = some.select("__row", F.explode("__s.weak").alias("p")).select(
-        "__row", part["start"].alias("start"), part["end"].alias("end"), part["rank"].alias("rank"), F.floor(part["start"] / SCOPE).alias("bin")
-    )
-    ends = parts.groupBy("__row", F.col("rank").alias("other"), "bin").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    pairs = [(KINDS.index(k), KINDS.index(o)) for k, others in COMPLEMENTS.items() for o in others]
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o).alias("o")) for k, o in pairs])
-    near = (
-        parts.withColumn("w", F.explode(F.filter(wanted, lambda x: x["k"] == F.col("rank"))))
-        .withColumn("other", F.col("w.o"))
-        .withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-        .join(ends, ["__row", "other", "bin"])
-        # of a bin, the start nearest to this one is its first or its last unless both are in one bin, hence in scope
-        .where((F.abs(F.col("first") - F.col("start")) <= SCOPE) | (F.abs(F.col("last") - F.col("start")) <= SCOPE))
-    )
-    found = near.select("__row", "start", "rank", "end").distinct()
-    return found.groupBy("__row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
+
+def linked(weak: Column) -> Column:
+    """Of weak spans, those with a complement whose start is in scope of theirs."""
+    far = 1 << 40
+    kinds = [KINDS.index(k) for k in COMPLEMENTS]
+
+    def nearest(ordered: Column, sign: int) -> dict[int, Column]:
+        """By kind: starts of the nearest span of that kind up to each, in order."""
+        signed = lambda k: lambda x: F.when(x["rank"] == k, x["start"] * sign).otherwise(F.lit(-far))
+        return {k: running(F.transform(ordered, signed(k)), "long", F.lit(-far), F.greatest) for k in kinds}
+
+    def sweep(up: Column) -> Column:
+        n = F.size(up)
+        before, after = nearest(up, 1), nearest(F.reverse(up), -1)
+        near = F.array(*[F.struct(before[k].alias("before"), after[k].alias("after")) for k in kinds])
+
+        def hit(near: Column, x: Column, i: Column) -> Column:
+            def close(k: int) -> Column:
+                of = near[kinds.index(k)]
+                return (x["start"] - F.get(of["before"], i) <= SCOPE) | (-F.get(of["after"], n - 1 - i) - x["start"] <= SCOPE)
+
+            some = F.lit(False)
+            for k, others in COMPLEMENTS.items():
+                some = some | ((x["rank"] == KINDS.index(k)) & (close(KINDS.index(others[0])) | close(KINDS.index(others[1]))))
+            return some
+
+        return let(near, lambda m: F.filter(up, lambda x, i: hit(m, x, i)))
+
+    several = F.size(F.array_distinct(F.transform(weak, lambda x: x["rank"]))) > 1
+    return F.when(several, let(F.array_sort(weak), sweep)).otherwise(F.array().cast(SPAN))
 
 
 def _digest(found: Column) -> Column:
@@ -125,55 +128,51 @@ def _digest(found: Column) -> Column:
     )
 
 
-def scanned(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` with ``__s.base`` (strong spans), and ``__all``:
-    these and the linked weak spans. What was found is written once, since both the
-    linking and the result need it."""
-    found = docs.select(*keep, scan(docs[text_col]).alias("__s")).withColumn("__row", F.monotonically_increasing_id())
-    found = materialise(found, "spans")
-    links = link(found.select("__row", "__s"))
-    joined = found.join(links, "__row", "left")
-    return joined.withColumn("__all", F.array_union("__s.base", F.coalesce(F.col("linked").cast(SPAN), F.array().cast(SPAN)))).drop("__row", "linked")
-
-
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    base = F.col("__s.base")
+    found = table(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("s"))
 
     def count(kind: str) -> Column:
         rank = KINDS.index(kind)
-        return F.size(F.filter(base, lambda x: x["rank"] == rank)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("s.base", lambda x: x["rank"] == rank)).cast("long").alias(f"n_{kind}")
 
-    return scanned(docs, ["doc_id"]).select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("__all")).alias("spans")
-    )
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(_digest(F.col("s.base")), 256).alias("base_sha256"), _digest(F.col("s.found")).alias("spans"))
+
+
+#: Characters of the blocks that a text is cut into, to be cut again within them.
+CUT = 1024
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, overlapping ones as one, replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, read in the blocks that hold them."""
+        first, last = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
+        head = lambda k, at, n: F.substring(F.get(blocks, k), (at + 1).cast("int"), n.cast("int"))
+        one = head(first, F.pmod(a, F.lit(CUT)), b - a)
+        middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        several = F.concat(head(first, F.pmod(a, F.lit(CUT)), F.lit(CUT)), middle, head(last, F.lit(0), b - last * CUT))
+        return F.when(b <= a, "").when(first == last, one).otherwise(several)
+
+    def cut(s: Column) -> Column:
+        length = F.length(text).cast("long")
+        ends = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(s, lambda x: x["end"]), "long", F.lit(0), F.greatest))
+
+        def pieces(blocks: Column, e: Column) -> Column:
+            one = lambda x, i: let(F.get(e, i), lambda at: F.when(x["start"] >= at, F.concat(between(blocks, at, x["start"]), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(F.transform(s, one), ""), between(blocks, F.element_at(e, -1), length))
 
-    def end(acc: Column) -> Column:
-        rest = F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(acc["out"], ""), rest)
+        blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CUT), F.lit(0))
+        return let(blocks, lambda b: let(ends, lambda e: pieces(b, e)))
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(F.array_sort(found), start, step, end))
+    return F.when(F.size(found) == 0, text).otherwise(let(F.array_sort(found), cut))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every span, strong or linked, is replaced in the text, and
     ``n_chars`` follows. No document is dropped."""
-    held = [c for c in docs.columns if c != "__found"]
-    found = scanned(docs, docs.columns)
-    text = redact(F.col("text"), F.col("__all"))
-    out = found.withColumn("text", F.when(F.size("__all") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*held)
+    t = docs["text"]
+    hidden = let(scan(t), lambda s: F.when(F.size(s["found"]) > 0, redact(F.coalesce(t, F.lit("")), s["found"])))
+    found = nested(docs, hidden.alias("hidden"))
+    n = F.coalesce(F.length("hidden").cast("long"), F.col("d").getField("n_chars")) if "n_chars" in docs.columns else F.lit(0)
+    return unnested(found, docs.columns, text=F.coalesce(F.col("hidden"), F.col("d").getField("text")), n_chars=n)
