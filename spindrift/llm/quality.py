@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, materialise, table
+from .common import SPACE, WORD, let, materialise, nested, table, unnested
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -120,7 +120,8 @@ def votes(q: Column) -> list[Column]:
         _vote(never, q["n_symbols"] * 10 > n),
         _vote(never, q["n_dup_lines"] * 10 > q["n_lines"] * 4),
         _vote(never, q["n_repeat_words"] * 4 > n),
-        _vote((n <= 2000) & (q["n_distinct"] * 2 >= n), (n >= 30) & (n <= 2000) & (q["n_distinct"] * 10 < n * 3)),
+        # distinct words grow with the text up to a hundred words, and with its root beyond
+        _vote((q["n_distinct"] * 2 >= n) | (q["n_distinct"] >= F.sqrt(n) * 5), (n >= 30) & (q["n_distinct"] * 10 < n * 3) & (q["n_distinct"] < F.sqrt(n) * 3)),
         _vote(never, q["n_bangs"] * 10 > n),
         _vote(never, q["n_upper"] * 10 > n * 4),
         _vote(q["n_stops"] * 60 >= n, (n >= 50) & (q["n_stops"] * 200 < n)),
@@ -205,36 +206,27 @@ def _model(voted: DataFrame, rules: list[str]) -> dict:
     return fit([(tuple(x[r] for r in rules), x["n"]) for x in counts], len(rules))
 
 
-def score(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__q`` of counts, votes, ``base_failed``,
-    ``posterior`` and ``kept``. The counts are written once, beside the
-    documents' columns, and read for fitting and for the verdict."""
-    q = F.col("__q")
+def judged(counted: DataFrame) -> DataFrame:
+    """``counted``, which has a struct ``q`` of counts and has been written, with
+    ``base_failed``, ``posterior`` and ``kept``. The driver sees counted vote
+    patterns alone."""
+    q = F.col("q")
     rules = [f"v{k}" for k in range(len(votes(q)))]
-    counted = materialise(docs.withColumn("__q", features(docs[text_col])), "quality")
-    voted = counted.select("__q").select(*[v.alias(r) for v, r in zip(votes(q), rules)], base_failed(q).alias("failed"))
+    voted = counted.select(*[v.alias(r) for v, r in zip(votes(q), rules)], base_failed(q).alias("failed"))
     p = posterior(votes(q), _model(voted, rules))
-    extra = [base_failed(q).alias("base_failed"), p.alias("posterior"), (~base_failed(q) & (p >= 0.5)).alias("kept")]
-    return counted.withColumn("__q", F.struct("__q.*", *[v.alias(r) for v, r in zip(votes(q), rules)], *extra))
+    return counted.select("*", base_failed(q).alias("base_failed"), p.alias("posterior"), (~base_failed(q) & (p >= 0.5)).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     # the counts alone are written: the text is not needed again
-    q = F.col("__q")
-    rules = [f"v{k}" for k in range(len(votes(q)))]
-    counted = materialise(docs.select("doc_id", features(F.col("text")).alias("__q")), "quality")
-    voted = counted.select(*[v.alias(r) for v, r in zip(votes(q), rules)], base_failed(q).alias("failed"))
-    p = posterior(votes(q), _model(voted, rules))
-    return counted.select(
-        "doc_id",
-        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base_failed(q).alias("base_failed"),
-        (~base_failed(q) & (p >= 0.5)).alias("kept"),
-        F.round(p, 6).alias("posterior"),
-    )
+    counted = materialise(docs.select("doc_id", features(F.col("text")).alias("q")), "quality")
+    counts = [F.col("q").getField(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged(counted).select("doc_id", *counts, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose posterior quality is at least one half."""
-    return score(docs).where(F.col("__q.kept")).select(*docs.columns)
+    """Pipeline stage: documents whose posterior quality is at least one half. The
+    counts are written once, beside the rows, and read for fitting and the verdict."""
+    counted = materialise(nested(docs, features(docs["text"]).alias("q")), "quality")
+    return unnested(judged(counted).where("kept"), docs.columns)

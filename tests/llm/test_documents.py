@@ -363,6 +363,42 @@ def test_op9_posterior(spark):
     assert quality.fit([], 3)["prior"] == 0.85
 
 
+def test_op9_expectation_maximisation():
+    """The fit and the posterior, spelled out document by document."""
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.8
+    pats = [tuple(int(x) for x in np.where(g, rng.choice([1, 0, -1], 3, p=[0.6, 0.395, 0.005]), rng.choice([1, 0, -1], 3, p=[0.2, 0.3, 0.5]))) for g in good]
+    model = quality.fit(list(Counter(pats).items()), 3, rounds=3)
+    rules, prior = [dict(quality.BELIEF) for _ in range(3)], 0.85
+    odds = lambda p: np.log(p / (1 - p))
+    chance = lambda r, v, c: r[f"up_{c}"] if v > 0 else r[f"down_{c}"] if v < 0 else 1 - r[f"up_{c}"] - r[f"down_{c}"]
+    for _ in range(3):
+        p = np.array([1 / (1 + np.exp(-odds(prior) - sum(np.log(chance(r, v, "good") / chance(r, v, "bad")) for r, v in zip(rules, x)))) for x in pats])
+        of, held = {"good": p.sum(), "bad": (1 - p).sum()}, quality.STRENGTH * len(pats)
+        for k, r in enumerate(rules):
+            for side, sign in (("up", 1), ("down", -1)):
+                for c, w in (("good", p), ("bad", 1 - p)):
+                    n = sum(x for x, y in zip(w, pats) if y[k] == sign)
+                    h = held * of[c] / len(pats)
+                    r[f"{side}_{c}"] = min(quality.MOST_WRONG if (side, c) == ("down", "good") else 0.97, max(1e-4, (n + h * quality.BELIEF[f"{side}_{c}"]) / (of[c] + h + 1e-9)))
+            for c in ("good", "bad"):
+                r[f"up_{c}"] = min(r[f"up_{c}"], 0.985 - r[f"down_{c}"])
+        prior = of["good"] / len(pats)
+    assert abs(model["prior"] - prior) < 1e-9
+    assert all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(model["rules"], rules) for k in b)
+
+
+def test_op9_long_texts_are_judged(spark):
+    """The rule on distinct words has no length beyond which it is silent."""
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{k % 40}x{k % 7}" for k in range(5000)), " ".join(f"w{k * 7919 % 3000}" for k in range(5000)), " ".join(f"a{k % 5}" for k in range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(quality.features(F.col("text")).alias("q"))
+    assert [r[0] for r in df.select(quality.votes(F.col("q"))[5]).collect()] == [0, 1, -1]
+    few = spark.createDataFrame([(" ".join(f"w{k % 100}" for k in range(5000)),)], "text string").select(quality.features(F.col("text")).alias("q"))
+    assert few.select(quality.votes(F.col("q"))[5]).first()[0] == -1
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(secrets.ASSIGN, t):
