@@ -39,7 +39,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete what materialise() has written, once all that needs it is written too."""
+    for df in written:
+        path = getattr(df, "written_to", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

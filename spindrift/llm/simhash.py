@@ -26,8 +26,11 @@ first n - ceil(SIMILAR n) + 1 shingles of each agree in any order common to all,
 these shingles are shuffled and every candidate lies in one of their buckets. The
 order only decides the work: shingles frequent in a sample come last. Candidates
 whose shingles, counted modulo two in bins, differ too often to be similar are left
-out, and all others are compared by whole texts: first each bucket's members with
-one of them, then all pairs that the links so far have not joined.
+out, and all others are compared by whole texts: in some rounds each bucket's members
+with one of them, another in every round, then all pairs that the links so far have
+not joined. Rounds with one member are joins, which adaptive execution splits where
+a bucket is hot; so are all pairs of a bucket over ``HOT`` rows, others are paired in
+a task that holds them.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import discard, materialise, nested, table, unnested
 
 SHINGLE = 4
 SEED = 42
@@ -63,6 +66,9 @@ FRONTIER = 4_000_000
 WORDS, SIMILAR = 5, 0.8
 #: One text in SAMPLED is asked for frequent shingles; most of those that are held.
 SAMPLED, FREQUENT = 16, 50_000
+#: Rounds in which a bucket's members meet one of them; rows of a bucket that no
+#: task holds whole.
+ROUNDS, HOT = 3, 50_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -263,35 +269,40 @@ def links(codes: DataFrame, shard: int = SHARD) -> DataFrame:
     return dealt.select("key", "part", "fp").mapInArrow(_link_batches, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, label), the label being a component's smallest
     node. Labels spread along the links and are then followed to their own labels,
     so that the rounds grow with the logarithm of the longest path. Each round is
-    written to the shared folder."""
+    written to the shared folder and replaces the one before."""
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(rounds):
+    held = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        labels = held.select("node", "label")
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
         after = spread.join(up, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "up").alias("label"))
         after = materialise(after, "labels")
-        changed = after.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        discard(held)
+        held = after
+        if not after.where(F.col("old") != F.col("label")).limit(1).count():
+            discard(both)
+            return after
 
 
 def classes(prints: DataFrame, more: Callable[[DataFrame], DataFrame] = lambda edges: edges) -> DataFrame:
-    """(fp, component_id) for every fingerprint. prints: (doc_id, fp); more: adds to
-    the links of fingerprints."""
+    """(fp, component_id) for every fingerprint, written. prints: (doc_id, fp); more:
+    adds to the links of fingerprints."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = components(more(links(nodes.select("fp"))))
-    reached = found.join(nodes, F.col("node") == F.col("fp"))
+    reached = found.select("node", "label").join(nodes, F.col("node") == F.col("fp"))
     least = reached.groupBy("label").agg(F.min("first").alias("least"))
     moved = reached.select("fp", "label").join(least, "label").select("fp", "least")
-    return nodes.join(moved, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    # written, so that the join of all rows with it has exchanges of its own on both
+    # sides, of which adaptive execution splits a hot fingerprint
+    out = materialise(nodes.join(moved, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "classes")
+    discard(nodes, found)
+    return out
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,8 +362,14 @@ def needed(n: int) -> int:
     return math.ceil(SIMILAR * n - 1e-9)
 
 
+#: A row of a bucket: shingle, text, its number of shingles, the place of this one
+#: among them, and its sketch.
+BUCKET = ["token", "node", "n", "at", "sketch"]
+
+
 def _starts(frequent: np.ndarray | None):  # noqa: ANN202
-    """(token, node, n, at) of the first shingles of each text; of all without an order."""
+    """(token, node, n, at, sketch) of the first shingles of each text; of all without
+    an order. sketch: of 64 bins, those with an odd number of its shingles."""
     order = None if frequent is None else np.sort(frequent[:, 0])
     weight = None if frequent is None else frequent[np.argsort(frequent[:, 0]), 1]
 
@@ -366,14 +383,16 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
                 seen.add(node)
                 tokens = shingle_set(text or b"")
                 n = len(tokens)
+                odd = np.bincount(tokens & 63, minlength=64) & 1
+                sketch = int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
                 if order is not None and n:
                     if len(order):
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
                         tokens = tokens[np.argsort(np.where(order[at] == tokens, weight[at], 0), kind="stable")]
                     tokens = tokens[: n - needed(n) + 1]
-                held.append(np.stack([tokens, np.full(len(tokens), node), np.full(len(tokens), n), np.arange(len(tokens))], axis=1))
-            rows = np.concatenate(held) if held else np.empty((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["token", "node", "n", "at"])
+                held.append(np.stack([tokens, np.full(len(tokens), node), np.full(len(tokens), n), np.arange(len(tokens)), np.full(len(tokens), sketch)], axis=1))
+            rows = np.concatenate(held) if held else np.empty((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
 
     return run
 
@@ -396,57 +415,89 @@ def _whole(batches, width: int):  # noqa: ANN001, ANN202
 
 def _shared_batches(batches):  # noqa: ANN001, ANN202
     """Buckets of at least two texts, each text once."""
-    for rows in _whole(batches, 4):
+    for rows in _whole(batches, len(BUCKET)):
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
         rows = rows[np.r_[True, ~same]] if len(rows) else rows
         near = rows[1:, 0] == rows[:-1, 0]
         rows = rows[np.r_[near, False] | np.r_[False, near]] if len(rows) else rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["token", "node", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
 
 
 def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For rows (token, node, n, at, group) of one bucket: not yet linked, and enough
-    shingles left if this is the first that both share."""
-    left = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
-    return (x[:, 4] != y[:, 4]) & (left >= SIMILAR / (1 + SIMILAR) * (x[:, 2] + y[:, 2]) - 1e-9)
+    """For rows (token, node, n, at, sketch, group) of one bucket: not yet linked,
+    enough shingles left if this is the first that both share, and sketches that do
+    not differ in more bins than similar texts differ in shingles."""
+    total, left = x[:, 2] + y[:, 2], np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
+    near = np.bitwise_count((x[:, 4] ^ y[:, 4]).view(np.uint64)) <= (1 - SIMILAR) / (1 + SIMILAR) * total + 1e-9
+    return (x[:, 5] != y[:, 5]) & near & (left >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
 
 
-def _pairs(star: bool):  # noqa: ANN202
-    """Candidates (a, b), a < b, of buckets (token, node, n, at, group): all, or only
-    those with a bucket's first text."""
+def _pairs(batches):  # noqa: ANN001, ANN202
+    """All candidates (a, b), a < b, of buckets (token, node, n, at, sketch, group)."""
 
     def out(found: list[np.ndarray]):  # noqa: ANN202
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for rows in _whole(batches, 5):
-            found, held = [np.empty((0, 2), np.int64)], 0
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 1 if star else 2], rows[:, 0]))]
-            if star and len(rows):
-                first = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
-                heads = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                ok = may_be_similar(heads, rows)
-                found.append(np.sort(np.stack([heads[ok, 1], rows[ok, 1]], axis=1), axis=1))
-            elif not star:
-                at, step = np.arange(len(rows)), 0
-                while len(at):
-                    step += 1
-                    at = at[at + step < len(rows)]
-                    x, y = rows[at], rows[at + step]
-                    # by size: once a text is too large, all further ones are
-                    on = (x[:, 0] == y[:, 0]) & (x[:, 2] >= SIMILAR * y[:, 2] - 1e-9)
-                    at, x, y = at[on], x[on], y[on]
-                    ok = may_be_similar(x, y)
-                    found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1))
-                    held += int(ok.sum())
-                    if held > CHUNK:
-                        yield out(found)
-                        found, held = [np.empty((0, 2), np.int64)], 0
-            yield out(found)
-
-    return run
+    for rows in _whole(batches, len(BUCKET) + 1):
+        found, held = [np.empty((0, 2), np.int64)], 0
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        at, step = np.arange(len(rows)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(rows)]
+            x, y = rows[at], rows[at + step]
+            # by size: once a text is too large, all further ones are
+            on = (x[:, 0] == y[:, 0]) & (x[:, 2] >= SIMILAR * y[:, 2] - 1e-9)
+            at, x, y = at[on], x[on], y[on]
+            ok = may_be_similar(x, y)
+            found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1))
+            held += int(ok.sum())
+            if held > CHUNK:
+                yield out(found)
+                found, held = [np.empty((0, 2), np.int64)], 0
+        yield out(found)
+
+
+def left_over() -> Column:
+    """As may_be_similar(), of a bucket's row and another one (node2, n2, ...)."""
+    total, left = F.col("n") + F.col("n2"), F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= total * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
+    return (F.col("node") != F.col("node2")) & near & (left >= total * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+
+
+def second(*more: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}2") for c in (*BUCKET[1:], *more)]
+
+
+def star_pairs(buckets: DataFrame, order: int) -> DataFrame:
+    """(a, b), a < b: each bucket's members with one of them, in the first round the
+    same for as many buckets as may be, then one that differs by bucket and order."""
+    first = F.col("node") if not order else F.xxhash64("token", "node", F.lit(order))
+    chosen = buckets.groupBy("token").agg(F.min(F.struct(first.alias("o"), *BUCKET[1:])).alias("p")).select("token", "p.*").drop("o")
+    chosen = materialise(chosen.select("token", *second()), "pivots")
+    pairs = materialise(buckets.join(chosen, "token").where(left_over()).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "stars")
+    discard(chosen)
+    return pairs
+
+
+def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
+    """(a, b), a < b: all candidates of a bucket that are in different groups."""
+    dealt = materialise(buckets.join(group, "node").select(*BUCKET, "group"), "dealt")
+    counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"))
+    several = materialise(counted.where("groups > 1").select("token", "major", "rows"), "several")
+    few = dealt.join(several.where(F.col("rows") <= hot).select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
+    pairs = few.mapInArrow(_pairs, "a long, b long").distinct()
+    large = several.where(F.col("rows") > hot)
+    if not large.isEmpty():
+        # of two groups, one is not the bucket's largest
+        minor = materialise(dealt.join(large, "token").where(F.col("group") != F.col("major")).select("token", *second("group")), "minor")
+        more = dealt.join(minor, "token").where((F.col("group") != F.col("group2")) & left_over())
+        pairs = pairs.unionByName(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+    out = materialise(pairs, "pairs")
+    discard(dealt, several)
+    return out
 
 
 @F.arrow_udf(T.BooleanType())
@@ -461,9 +512,9 @@ def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def similar_buckets(numbered: DataFrame) -> DataFrame:
-    """(token, node, n, at): the first shingles that two texts at least share."""
-    texts = numbered.select(F.col("__node").alias("node"), "text")
-    form = "token long, node long, n long, at long"
+    """Rows of buckets: the first shingles that two texts at least share."""
+    texts = numbered.select("node", "text")
+    form = ", ".join(f"{c} long" for c in BUCKET)
     asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
     counts = asked.groupBy("token").agg(F.count("*").alias("c")).where("c >= 4").orderBy(F.desc("c"), "token").limit(FREQUENT)
     frequent = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
@@ -471,41 +522,46 @@ def similar_buckets(numbered: DataFrame) -> DataFrame:
     return materialise(dealt.mapInArrow(_shared_batches, form), "buckets")
 
 
-def similar_links(numbered: DataFrame, edges: DataFrame) -> DataFrame:
+def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> DataFrame:
     """``edges`` and further links (a, b) of fingerprints, by which all similar texts
-    are joined. numbered: text, __fp, __node, __odd, __row."""
+    are joined. numbered: text, fp, node, odd, row."""
     buckets = similar_buckets(numbered)
-    nodes = numbered.groupBy(F.col("__node").alias("node")).agg(F.min("__fp").alias("fp"), F.min("__row").alias("row"), F.min("__odd").alias("odd"))
+    nodes = numbered.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("odd").alias("odd"))
     nodes = materialise(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
-    for star in (True, False):
+    for order in [*range(ROUNDS), None]:
         labels = components(edges)
-        group = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("label", "fp").alias("group"))
-        dealt = buckets.join(group, "node").select("token", "node", "n", "at", "group").repartition("token").sortWithinPartitions("token")
-        pairs = dealt.mapInArrow(_pairs(star), "a long, b long").distinct()
-        pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
-        pairs = materialise(pairs.where(parities_udf("oa", "ob")).select("a", "b"), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "fp", F.col("row").alias("__row")), "rows")
-        texts = materialise(numbered.select("__row", "text").join(rows, "__row").select("node", "fp", "text"), "texts")
+        known = labels.select(F.col("node").alias("fp"), "label")
+        group = materialise(nodes.select("node", "fp", "odd").join(known, "fp", "left").select("node", "odd", F.coalesce("label", "fp").alias("group")), "groups")
+        pairs = all_pairs(buckets, group.select("node", "group"), hot) if order is None else star_pairs(buckets, order)
+        one, two = (group.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+        open_ = pairs.join(one, "a").join(two, "b").where(F.col("ga") != F.col("gb"))
+        asked = materialise(open_.where(parities_udf("oa", "ob")).select("a", "b"), "asked")
+        wanted = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
+        rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "fp", "row"), "rows")
+        texts = materialise(numbered.select("row", "text").join(rows, "row").select("node", "fp", "text"), "texts")
         one = texts.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("ta"))
         two = texts.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("tb"))
-        new = pairs.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-        edges = materialise(edges.unionByName(new), "edges")
+        new = asked.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        more = materialise(edges.unionByName(new), "edges")
+        discard(labels, group, pairs, asked, rows, texts, edges)
+        edges = more
+    discard(buckets, nodes)
     return edges
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays, of
     repeated rows one; rows without any id in their component keep one as well."""
-    held = docs.columns
     # the rows' numbers are written with them: counted anew, they could differ
-    numbered = docs.withColumns({"__fp": fingerprint_udf(F.col("text")), "__node": words_udf(F.col("text")), "__odd": parity_udf(F.col("text")), "__row": F.monotonically_increasing_id()})
-    numbered = materialise(numbered, "numbered")
-    marked = numbered.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    found = classes(marked.select("doc_id", "fp"), lambda edges: similar_links(numbered, materialise(edges, "edges")))
+    t = docs["text"]
+    numbered = materialise(nested(docs, fingerprint_udf(t).alias("fp"), words_udf(t).alias("node"), parity_udf(t).alias("odd"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = numbered.select(F.col("d").getField("text").alias("text"), "fp", "node", "odd", "row")
+    marked = numbered.select(F.col("d").getField("doc_id").alias("doc_id"), "fp", "row")
+    found = classes(marked.select("doc_id", "fp"), lambda edges: similar_links(texts, materialise(edges, "edges")))
     # the label tells components without an id apart: their smallest fingerprint
     named = marked.join(found, "fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     chosen = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(key).alias("k"))
-    keep = chosen.select(F.col("k.row").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").select(*held)
+    keep = materialise(chosen.select(F.col("k.row").alias("row")), "kept")
+    discard(found)
+    return unnested(numbered.join(keep, "row", "left_semi"), docs.columns)

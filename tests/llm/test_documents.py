@@ -164,7 +164,7 @@ def test_op6_bk_trees_and_oversized_shards(spark):
         got = simhash.merge(np.arange(len(codes)), np.array([at[r.a] for r in rows]), np.array([at[r.b] for r in rows]))
         assert (got == truth).all()
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (200, 300), (300, 250)]
-    got = dict(simhash.components(spark.createDataFrame(chain, "a long, b long")).collect())
+    got = dict(simhash.components(spark.createDataFrame(chain, "a long, b long")).select("node", "label").collect())
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200, 300: 200, 250: 200}
 
 
@@ -197,6 +197,23 @@ def test_keep_first_similar_texts(spark):
     assert kept == set(np.unique(label).tolist())
 
 
+def test_similar_pairs_of_hot_buckets(spark):
+    """Joins find what a task finds that holds a bucket whole."""
+    rng = np.random.default_rng(9)
+    rows = [(int(t), node, int(rng.integers(5, 30)), 0, int(rng.integers(0, 16))) for node in range(120) for t in rng.choice(8, 3, replace=False)]
+    buckets = spark.createDataFrame(rows, "token long, node long, n long, at long, sketch long")
+    group = spark.createDataFrame([(k, k % 9) for k in range(120)], "node long, group long")
+    want = set()
+    for t, a, n, _, x in rows:
+        for u, b, m, _, y in rows:
+            if t == u and a < b and a % 9 != b % 9 and (x ^ y).bit_count() <= 0.2 / 1.8 * (n + m) + 1e-9 and min(n, m) >= 0.8 / 1.8 * (n + m) - 1e-9:
+                want.add((a, b))
+    runs = [{tuple(r) for r in simhash.all_pairs(buckets, group, hot).collect()} for hot in (10**6, 5)]
+    assert runs[0] == runs[1] == want
+    star = {tuple(r) for order in range(3) for r in simhash.star_pairs(buckets, order).collect()}
+    assert {p for p in star if p[0] % 9 != p[1] % 9} <= want and len(star) > 100
+
+
 def test_op7(spark, folder):
     tk = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []

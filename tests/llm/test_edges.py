@@ -40,3 +40,38 @@ def test_pipeline_edges(spark, edge, empty):
         out.collect()
     rows = corpus_pipeline.run(spark, edge).collect()
     assert rows
+
+
+def inner_names():
+    """Every name that the sources give a column, and some more."""
+    import re
+    from pathlib import Path
+
+    source = "".join(p.read_text() for p in Path(llm.__file__).parent.glob("*.py"))
+    found = {m for m in re.findall(r'"([A-Za-z_]\w*)"', source)} | {"linked", "d", "r", "__s", "__row", "__all", "__found", "__hits", "__of", "__lines", "__cut", "__host", "__fp", "__q", "a.b", "x y"}
+    own = {"doc_id", "text", "lang", "source", "n_chars"}
+    return sorted(n for n in found if n.lower() not in own)
+
+
+def test_stages_keep_clashing_columns(spark, edge):
+    """Columns of any name pass through every stage and change nothing."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    plain = spark.read.parquet(f"{edge}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    lower = {}
+    for n in inner_names():
+        lower.setdefault(n.lower(), n)
+    names = sorted(lower.values())
+    assert len(names) > 100
+    more = plain.select("*", *[F.lit(f"x {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(map(repr, stage(spark, plain, edge).collect()))
+        out = stage(spark, more, edge)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert sorted(repr(r) for r in out.select(*plain.columns).collect()) == want, name
+        assert all(r[n] == f"x {n}" for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1]
+    places = lambda df: sorted((r["doc_id"] or 0, r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert places(last(spark, more, edge)) == places(last(spark, plain, edge))
