@@ -2,8 +2,10 @@
 
 A payload is stored losslessly as 8-bit mono PCM in a RIFF/WAVE file, read back,
 resampled with a polyphase filter, turned into overlapped log-mel filterbanks and
-cut into energy segments with hysteresis. The filterbanks are stored as an Arrow
-table of fixed-shape tensors, one row a window of frames, with its time span.
+cut into energy segments with hysteresis, each with its time span. The filterbanks
+are stored as an Arrow table of fixed-shape tensors, one row a window of frames, with
+its time span. Frames cover the signal to its last sample, the last one filled up
+with silence.
 
 Defined results: a null text counts as empty; an empty text is one unit of padding.
 Equal texts give equal bytes in every column, as each text is computed by itself
@@ -24,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 
 UNIT = 576
 PAD = b"\xff"
 RATE = 16_000
 #: The signal is resampled by UP / DOWN before the filterbanks.
-UP, DOWN, TAPS = 1, 2, 16
-FRAME, HOP, FFT, MELS = 200, 80, 256, 24
+UP, DOWN, TAPS = 5, 8, 16
+FRAME, HOP, FFT, MELS = 250, 100, 256, 24
 #: Frames of a tensor.
 WINDOW = 64
 #: Frames computed at a time.
@@ -65,32 +67,37 @@ def decode_wave(media: bytes) -> tuple[bytes, int]:
 
 
 @functools.cache
-def _phases() -> np.ndarray:
-    """Taps of the windowed-sinc low-pass by phase: [UP, taps of a phase]."""
-    n = TAPS * max(UP, DOWN) + 1
-    n += -n % UP
-    x = np.arange(n) - (n - 1) / 2
-    cut = 1 / max(UP, DOWN)
+def _taps(up: int, down: int) -> np.ndarray:
+    """A windowed-sinc low-pass at the lower of both rates, of odd length."""
+    n = TAPS * max(up, down) + 1
+    x = np.arange(n) - n // 2
+    cut = 1 / max(up, down)
     taps = np.sinc(x * cut) * cut * np.kaiser(n, 6.0)
-    taps *= UP / taps.sum()
-    return np.ascontiguousarray(taps.reshape(-1, UP).T)
-
-
-def resample(signal: np.ndarray) -> np.ndarray:
-    """By UP / DOWN. Output k takes the phase k * DOWN mod UP alone: the samples
-    that a plain interpolation would insert or drop are never computed."""
-    phases = _phases()
-    width = phases.shape[1]
-    half = width // 2
-    padded = np.concatenate([np.zeros(half), signal, np.zeros(width)])
-    views = np.lib.stride_tricks.sliding_window_view(padded, width)
-    total = (len(signal) * UP + DOWN - 1) // DOWN
+    return taps * (up / taps.sum())
+
+
+@functools.cache
+def _phases(up: int, down: int) -> np.ndarray:
+    """[up, taps of a phase], each backwards: phase p has the taps p, p + up, ..."""
+    taps = _taps(up, down)
+    full = np.r_[taps, np.zeros(-len(taps) % up)]
+    return np.ascontiguousarray(full.reshape(-1, up).T[:, ::-1])
+
+
+def resample(signal: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """By up / down. Output k takes one phase of the filter alone: the samples that
+    a plain interpolation would insert or drop are never computed."""
+    phases = _phases(up, down)
+    width, delay = phases.shape[1], len(_taps(up, down)) // 2
+    total = -(-len(signal) * up // down)
+    reach = delay // up + down + 1
+    padded = np.concatenate([np.zeros(width - 1), signal, np.zeros(reach)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, width)  # view b ends with sample b
     out = np.empty(total)
-    for p in range(UP):
-        k = np.arange(p, total, UP) if UP > 1 else slice(None)
-        at = (np.arange(total) if UP == 1 else k) * DOWN
-        rows = at // UP
-        out[k] = views[rows[0] : rows[-1] + 1 : max(1, DOWN // UP)] @ phases[0][::-1] if UP == 1 else (views[rows] * phases[at[0] % UP][::-1]).sum(axis=1)
+    for p in range(min(up, total)):
+        at = p * down + delay
+        n = len(range(p, total, up))
+        out[p::up] = views[at // up :: down][:n] @ phases[at % up]
     return out
 
 
@@ -112,8 +119,8 @@ def _hann() -> np.ndarray:
 
 def log_mel(signal: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """[frames, MELS] rounded log filterbank energies, and each frame's log energy."""
-    if len(signal) < FRAME:
-        signal = np.concatenate([signal, np.zeros(FRAME - len(signal), signal.dtype)])
+    n = max(0, -(-(len(signal) - FRAME) // HOP)) * HOP + FRAME
+    signal = np.concatenate([signal, np.zeros(n - len(signal), signal.dtype)])
     frames = np.lib.stride_tricks.sliding_window_view(signal.astype(np.float32), FRAME)[::HOP]
     mels, energy = [], []
     for k in range(0, len(frames), BLOCK):
@@ -166,46 +173,53 @@ def read_tensors(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def features(media: bytes) -> tuple[bytes, bytes, str]:
-    """Payload read back, tensors, and energy segments as ``first-last`` frames."""
+def spans(found: list[tuple[int, int]], rate: int, n: int) -> list[tuple[float, float]]:
+    """First and last second of runs of frames; ``n``: samples of the signal."""
+    return [(a * HOP / rate, min((b - 1) * HOP + FRAME, n) / rate) for a, b in found]
+
+
+def features(media: bytes) -> tuple[bytes, bytes, list[tuple[float, float]]]:
+    """Payload read back, tensors, and energy segments in seconds."""
     payload, rate = decode_wave(media)
     signal = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     low = resample(signal)
     mels, energy = log_mel(low, rate * UP // DOWN)
-    return payload, tensors(mels, rate * UP // DOWN), ",".join(f"{a}-{b}" for a, b in segments(energy))
+    return payload, tensors(mels, rate * UP // DOWN), spans(segments(energy), rate * UP // DOWN, len(low))
 
 
 def payload_of(text: bytes) -> bytes:
     return text + PAD * (-len(text) % UNIT if text else UNIT)
 
 
-MEDIA = T.StructType([T.StructField(n, k) for n, k in (("media", T.BinaryType()), ("payload", T.BinaryType()), ("tensors", T.BinaryType()), ("segments", T.StringType()), ("n_bytes", T.LongType()))])
+MEDIA = T.StructType([T.StructField(n, k) for n, k in (("media", T.BinaryType()), ("payload", T.BinaryType()), ("tensors", T.BinaryType()), ("segments", T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))), ("n_bytes", T.LongType()))])
 
 
 @F.arrow_udf(MEDIA)
 def audio_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = (pa.binary(), pa.binary(), pa.binary(), span, pa.int64())
     for texts in batches:
         for k in range(0, len(texts), 512):  # files are far larger than rows usually are: a few at a time
             out: list[list] = [[], [], [], [], []]
             for x in texts.slice(k, 512).cast(pa.binary()).to_pylist():
                 text = x or b""
                 media = encode_wave(payload_of(text))
-                for column, value in zip(out, (media, *features(media), len(text))):
+                payload, stored, found = features(media)
+                for column, value in zip(out, (media, payload, stored, [{"start_s": a, "end_s": b} for a, b in found], len(text))):
                     column.append(value)
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], MEDIA.names)
 
 
-def audio_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__media``: the stored file, the payload read back from
-    it, the tensors (see read_tensors), the segments and the unpadded length."""
-    return docs.withColumn("__media", audio_udf(docs[text_col]))
+def audio_features(docs: DataFrame, text_col: str = "text", into: str = "__media") -> DataFrame:
+    """``docs`` with a struct named ``into``: the stored file, the payload read back
+    from it, the tensors (see read_tensors), the segments and the unpadded length."""
+    return docs.withColumn(into, audio_udf(docs[text_col]))
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     m = F.col("__media")
-    return audio_features(docs).select(
+    made = audio_features(docs).select(
         "doc_id",
         m["n_bytes"].alias("n_bytes"),
         F.length(m["payload"]).cast("long").alias("payload_bytes"),
@@ -213,5 +227,11 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(m["payload"], -32, 32)).alias("tail_crc32"),
         F.length(m["media"]).cast("long").alias("media_bytes"),
         F.sha2(m["media"], 256).alias("media_sha256"),
-        F.concat_ws(":", F.sha2(m["tensors"], 256), m["segments"]).alias("feature"),
+        m["tensors"].alias("tensors"),
+        m["segments"].alias("segments"),
     )
+    # the tensors and spans are stored; what is returned of them is read back
+    stored = materialise(made, "audio")
+    seconds = F.transform("segments", lambda x: F.concat_ws("-", F.format_number(x["start_s"], 3), F.format_number(x["end_s"], 3)))
+    feature = F.concat_ws(":", F.sha2("tensors", 256), F.array_join(seconds, ","))
+    return stored.select(*[c for c in stored.columns if c not in ("tensors", "segments")], feature.alias("feature"), F.size("segments").alias("n_segments"))

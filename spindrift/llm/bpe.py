@@ -2,10 +2,12 @@
 
 A byte pair that occurs inside no token of the vocabulary can never be merged, so
 the text may be cut there and the fragments encoded independently: their ids,
-concatenated, are those of the whole text. The pairs are read off the vocabulary.
-A cut is used only where the pre-tokenizer divides as well whatever stands around:
-before an ASCII space or line feed that follows a character which is no white
-space. Fragments repeat a lot, so that a worker encodes most of them once.
+concatenated, are those of the whole text. The pairs are read off the vocabulary, and
+cuts are made in two steps. Across the text, where the pre-tokenizer divides as well
+whatever stands around: before an ASCII space or line feed that follows a character
+which is no white space. These parts repeat a lot, so that a worker encodes most of
+them once. Then each pre-token of a part is cut at every forced pair, between bytes
+of a character as well, and its fragments are merged each by itself.
 
 Defined results: a null text counts as empty; an empty text has no ids. Strings of
 special tokens inside a text become those tokens, as in the library. Ids decode to
@@ -15,7 +17,6 @@ empty table gives an empty result. Texts are encoded whole.
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
 import re
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ BLOCK = 100_000
 #: White space in the widest sense of any library; a cut follows none of it.
 WIDE_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _RUN = re.compile(f"[{WIDE_SPACE}][{WIDE_SPACE}]")
+#: White space other than the four that all libraries agree on.
+_ODD = re.compile(f"[{WIDE_SPACE}]".replace("\t-\r", "\x0b\x0c").replace("\x1c-\x20", "\x1c-\x1f"))
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,7 +79,8 @@ class Vocabulary:
         order = list(dict.fromkeys([*single, *products]))
         self._ids = None if all(ids[t] == r for r, t in enumerate(order)) else [ids[t] for t in order]
         coder = tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
-        self._ordinary = coder._core_bpe.encode_ordinary
+        self._ordinary, self._single = coder._core_bpe.encode_ordinary, coder._core_bpe.encode_single_piece
+        self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # characters whose last byte does occur before a space or a line feed inside a token
         kept = {b for b in range(256) if not (self.forced[b, 32] and self.forced[b, 10])}
@@ -105,6 +110,19 @@ class Vocabulary:
                 out += ranks if self._ids is None else [self._ids[r] for r in ranks]
         return out
 
+    def forced_parts(self, piece: bytes) -> list[bytes]:
+        """A pre-token, cut at every byte pair that is inside no token."""
+        b = np.frombuffer(piece, np.uint8)
+        cuts = np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1
+        return [piece[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)])]
+
+    def encode_part(self, part: str) -> list[int]:
+        """Ids of a part, its pre-tokens cut at their forced boundaries."""
+        if _ODD.search(part) or (self._split and self._split.search(part)):
+            return self.encode_whole(part)
+        ranks = [r for piece in self._pieces(part) for x in self.forced_parts(piece.encode()) for r in self._single(x)]
+        return ranks if self._ids is None else [self._ids[r] for r in ranks]
+
     def fragments(self, text: str) -> list[str]:
         """The text, cut at its forced boundaries."""
         if "\0" in text or "\1" in text or _RUN.search(text):
@@ -148,7 +166,7 @@ class _Fragments(dict):
         self._owner = owner
 
     def __missing__(self, fragment: str) -> bytes:
-        ids = array("i", self._owner.encode_whole(fragment)).tobytes()
+        ids = array("i", self._owner.encode_part(fragment)).tobytes()
         if len(self) >= MEMORY:
             self.clear()
         if len(fragment) <= 64:
@@ -213,9 +231,3 @@ def op7_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
-def ranks_of(path: str) -> dict[bytes, int]:
-    """Ranks of a tiktoken file, for comparison in tests."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

@@ -78,7 +78,9 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
 
 # --- parsing ----------------------------------------------------------------
 
-_TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+#: A tag, whose end is not looked for inside its strings.
+_INNER = r"""(?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|.)*?"""
+_TAG = re.compile(rf"(\{{\{{-?{_INNER}-?\}}\}}|\{{%-?{_INNER}-?%\}}|\{{\#.*?\#\}})", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<number>\d+)|(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-+<>\[\].|(),=]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 
@@ -157,6 +159,9 @@ class _Parser:
         if (kind == "sign" and value in ("==", "!=", "<", ">", "<=", ">=")) or (kind, value) == ("name", "in"):
             self.at += 1
             return ("op", value, left, self.sum())
+        if (kind, value) == ("name", "not") and self.tokens[self.at + 1 : self.at + 2] == [("name", "in")]:
+            self.at += 2
+            return ("not", ("op", "in", left, self.sum()))
         return left
 
     def sum(self) -> tuple:
@@ -280,6 +285,32 @@ _OPERATIONS: dict[str, Callable[[Any, Any], Any]] = {
 }
 
 
+def operate(sign: str, a: Any, b: Any) -> Any:
+    try:
+        return _OPERATIONS[sign](a, b)
+    except TypeError as e:
+        raise TemplateError(f"{sign}: {e}") from e
+
+
+def filtered(name: str, value: Any) -> Any:
+    """A filter's value; null counts as empty text, as where it is shown."""
+    if name != "length":
+        return FILTERS[name](_shown(value))
+    try:
+        return len("" if value is None else value)
+    except TypeError as e:
+        raise TemplateError(f"length: {e}") from e
+
+
+def computed(e: tuple, value: Callable[[], Any]) -> tuple:
+    """A constant, or the expression as it is if it has no value: then it fails where
+    it is rendered, if it is."""
+    try:
+        return ("const", value())
+    except TemplateError:
+        return e
+
+
 def fold(e: tuple, names: dict[str, Any]) -> tuple:
     """An expression with its constant parts computed; ``names`` are fixed values."""
     kind = e[0]
@@ -290,7 +321,7 @@ def fold(e: tuple, names: dict[str, Any]) -> tuple:
         if e[1] in ("and", "or") and a[0] == "const":
             return b if bool(a[1]) == (e[1] == "and") else a
         if a[0] == b[0] == "const" and e[1] in _OPERATIONS:
-            return ("const", _OPERATIONS[e[1]](a[1], b[1]))
+            return computed(("op", e[1], a, b), lambda: operate(e[1], a[1], b[1]))
         return ("op", e[1], a, b)
     if kind == "not":
         a = fold(e[1], names)
@@ -302,7 +333,7 @@ def fold(e: tuple, names: dict[str, Any]) -> tuple:
         return ("if", test, fold(e[2], names), fold(e[3], names))
     if kind == "filter":
         a = fold(e[2], names)
-        return ("const", FILTERS[e[1]](a[1])) if a[0] == "const" else ("filter", e[1], a)
+        return computed(("filter", e[1], a), lambda: filtered(e[1], a[1])) if a[0] == "const" else ("filter", e[1], a)
     if kind == "get":
         return ("get", fold(e[1], names), fold(e[2], names))
     return e
@@ -394,15 +425,15 @@ def _expression(e: tuple) -> Callable[[dict], Any]:
         test, a, b = map(_expression, e[1:])
         return lambda env: a(env) if test(env) else b(env)
     if kind == "filter":
-        f, a = FILTERS[e[1]], _expression(e[2])
-        return lambda env: f(_shown(a(env)) if f is not len else a(env))
+        name, a = e[1], _expression(e[2])
+        return lambda env: filtered(name, a(env))
     a, b = _expression(e[2]), _expression(e[3])
     if e[1] == "and":
         return lambda env: a(env) and b(env)
     if e[1] == "or":
         return lambda env: a(env) or b(env)
-    f = _OPERATIONS[e[1]]
-    return lambda env: f(a(env), b(env))
+    sign = e[1]
+    return lambda env: operate(sign, a(env), b(env))
 
 
 class _Out:

@@ -3,6 +3,8 @@ folder, durable materialisation and small Column idioms."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the
-    session has it. Nothing stands in for it, as no other folder is known to be
-    shared."""
+    session has it. Only where it is unset and all runs in one local process, as in
+    tests, a temporary folder is set; on a cluster none is known to be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{tempfile.gettempdir()}/spindrift-checkpoints"
     return found.rstrip("/")
 
 

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import detached, shared_path, table
+from .common import detached, materialise, shared_path, table
 
 END = "\r\n\r\n"
-#: Records of an archive file at most.
-FILE_RECORDS = 6000
+#: Records of an archive file at most, and bytes of their payloads: files are read
+#: whole, so the longest page decides how many there may be.
+FILE_RECORDS, FILE_BYTES = 6000, 256_000_000
 DATE = "2026-01-01T00:00:00Z"
 
 
@@ -104,8 +105,11 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archives of ``pages`` under ``path``, compressed as a whole each."""
-    out = records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
+    """Archives of ``pages`` under ``path``, compressed as a whole each. Numbers of
+    rows come from scans alone, which a task that is run again repeats."""
+    longest = pages.select(F.max(F.octet_length("html"))).first()[0] or 0
+    some = max(3, min(FILE_RECORDS, 3 * FILE_BYTES // max(1, longest)))
+    out = records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", some)
     out.text(path)
 
 
@@ -202,7 +206,8 @@ def assemble(found: DataFrame) -> DataFrame:
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_archives(spark, path))
+    # taken apart once: requests, answers and metadata are then read by their columns
+    captures = assemble(materialise(read_archives(spark, path), "records"))
     r = F.col("response")
     page = F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d+)", 1)
     return captures.select(

@@ -48,12 +48,17 @@ def test_op1_payload(spark, folder):
 
 def test_op1_features():
     rng = np.random.default_rng(1)
-    signal = rng.normal(size=1001)
-    taps = audio._phases().T.ravel()
-    half = audio._phases().shape[1] // 2
-    plain = np.convolve(np.concatenate([np.zeros(half), signal, np.zeros(half)]), taps, "valid")[:: audio.DOWN]
-    got = audio.resample(signal)
-    assert len(got) == 501 and np.allclose(got, plain[: len(got)])
+    for up, down in ((1, 2), (3, 5), (5, 8), (160, 147), (3, 1), (1, 1)):
+        taps = audio._taps(up, down)
+        for n in (1, 2, 100, 1001):
+            signal = rng.normal(size=n)
+            full = np.zeros(n * up)
+            full[::up] = signal  # zeros between samples, filtered, every down-th kept
+            plain = np.convolve(full, taps)[len(taps) // 2 :][: n * up][::down]
+            got = audio.resample(signal, up, down)
+            assert len(got) == len(plain) and np.allclose(got, plain), (up, down, n)
+    tone = np.sin(np.arange(4000) * 0.05)
+    assert np.allclose(audio.resample(tone)[300:2000], np.sin(np.arange(300, 2000) * 0.05 * audio.DOWN / audio.UP), atol=1e-3)
     payload = audio.payload_of(b"abc" * 5000)
     media = audio.encode_wave(payload)
     back, tensors, _ = audio.features(media)
@@ -61,8 +66,21 @@ def test_op1_features():
     table = audio.read_tensors(tensors)
     assert table.schema.field("mel").type.shape == [audio.WINDOW, audio.MELS]
     low = audio.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
-    frames = 1 + (len(low) - audio.FRAME) // audio.HOP
+    frames = 1 + -(-(len(low) - audio.FRAME) // audio.HOP)  # the last one covers the end
     assert sum(table["frames"].to_pylist()) == frames
+    assert table["end_s"].to_pylist()[-1] * audio.RATE * audio.UP / audio.DOWN >= len(low)
+    # filterbanks, spelled out: windowed frames, plain Fourier sums, triangles
+    rate = audio.RATE * audio.UP // audio.DOWN
+    mel = np.array(table["mel"].to_pylist(), np.float32).reshape(-1, audio.MELS)[:frames]
+    filled = np.r_[low.astype(np.float32), np.zeros(audio.FRAME, np.float32)].astype(np.float64)
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), audio.MELS + 2) / 2595) - 1)
+    for k in (0, 7, frames - 1):
+        x = filled[k * audio.HOP : k * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME)
+        power = [abs((x * np.exp(-2j * np.pi * f * np.arange(audio.FRAME) / audio.FFT)).sum()) ** 2 for f in range(audio.FFT // 2 + 1)]
+        for m in range(audio.MELS):
+            total = sum(w * max(0.0, min((f * rate / audio.FFT - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f * rate / audio.FFT) / (edges[m + 2] - edges[m + 1]))) for f, w in enumerate(power))
+            assert abs(np.log(total + 1e-6) - mel[k, m]) < 0.02
+    assert all(0 <= a < b <= len(low) / rate for a, b in audio.features(media)[2])
     assert table["start_s"].to_pylist() == sorted(table["start_s"].to_pylist())
 
     def brute(e):
@@ -232,6 +250,11 @@ def test_op7_pieces_and_cuts():
         t = "".join(rng.choice(letters, rng.integers(0, 14)))
         assert v.encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
         assert "".join(v.fragments(t)) == t
+        assert v.encode_part(t) == v.encode_whole(t), repr(t)
+    # cuts between letters, and between the bytes of one
+    parts = v.forced_parts("zq\u0416xj\U0001f642".encode())
+    assert b"".join(parts) == "zq\u0416xj\U0001f642".encode() and len(parts) > 2
+    assert all(x not in t for t in v.tokens.values() for x in [a[-1:] + b[:1] for a, b in zip(parts, parts[1:])])
     ids = [[15496, 11], [], [128, 257]]
     out = v.decode_all(np.array([15496, 11, 128, 257], np.int32), np.array([0, 2, 2, 4]))
     assert out.to_pylist() == [v.decode(x) for x in ids]

@@ -75,3 +75,17 @@ def test_stages_keep_clashing_columns(spark, edge):
     last = corpus_pipeline.STAGES[-1][1]
     places = lambda df: sorted((r["doc_id"] or 0, r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert places(last(spark, more, edge)) == places(last(spark, plain, edge))
+
+
+def test_shared_folder():
+    """As the session has it; none is made up on a cluster."""
+    from types import SimpleNamespace
+
+    from spindrift.llm.common import shared_dir
+
+    made = lambda master, **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k.replace(".", "_"), d)), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(made("spark://x:1", spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    assert shared_dir(made("local[4]")).endswith("checkpoints")
+    for master in ("spark://x:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(made(master))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -85,6 +86,18 @@ def test_op4_language():
     for bad in ("{{ a() }}", "{{ a.b.__class__() }}", "{% include 'x' %}", "{{ a | nofilter }}", "{% if a %}", "{{ 1 $ 2 }}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
+    assert run("{{ '}}' }}{{ \"%}\" }}{% if 'b' not in 'ac' %}x{% endif %}") == "}}%}x"
+    # folded or not, an expression has the same value and fails in the same way
+    for e in ("none | upper", "3 | string", "none | length", "'ab' | length", "1 + 2", "none == 1", "'a' in 'ab'", "'a' | escape | upper", "not none", "1 if 0 else 'x'"):
+        name = {"none": "n", "3": "t", "1": "o", "'ab'": "w", "'a'": "l"}
+        first = re.match(r"'\w+'|\w+", e.removeprefix("not "))[0]
+        slow = e.replace(first, name[first], 1)
+        assert run("{{ %s }}" % e) == run("{{ %s }}" % slow, n=None, t=3, o=1, w="ab", l="a"), e
+    for bad in ("{{ 'a' + 1 }}", "{{ x + 1 }}", "{{ 3 | length }}", "{{ 'a' < 1 }}", "{{ 1 in 2 }}"):
+        render = chat.compile_template(bad)
+        with pytest.raises(chat.TemplateError):
+            render({"x": "a"})
+    assert run("{% if false %}{{ 'a' + 1 }}{% endif %}ok") == "ok"
     assert run("{{ a.__class__ }}|{{ 'x'.upper }}", a=[1]) == "|"
 
 
