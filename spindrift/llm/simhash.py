@@ -71,10 +71,14 @@ SAMPLED, FREQUENT = 16, 50_000
 ROUNDS, HOT = 3, 50_000
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the text's shingles, repeats included. bytes.lower() and
-    bytes.split() know just A-Z and the six ASCII spaces, as the contract does."""
-    words = text.lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    """bytes.lower() and bytes.split() know just A-Z and the six ASCII spaces, as the
+    contract does."""
+    return text.lower().split()
+
+
+def hashes_of(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the shingles of these words, repeats included."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
@@ -88,9 +92,12 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.array([one(joined[i:j], SEED) for i, j in zip(starts, ends[size - 1 :].tolist())], np.uint64)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """Bit i is set if it is set in over half of the shingle hashes (as a signed long)."""
-    hashes = shingle_hashes(text, size)
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    return hashes_of(words_of(text), size)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes (as a signed long)."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536]
@@ -98,9 +105,19 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, size))
+
+
+def each(texts: pa.Array):  # noqa: ANN201
+    """Bytes of texts, one at a time; null is empty."""
+    for x in texts.cast(pa.binary()):
+        yield x.as_py() or b""
+
+
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(x or b"") for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+    return pa.array([fingerprint(x) for x in each(texts)], pa.int64())
 
 
 # --- BK-trees ---------------------------------------------------------------
@@ -316,26 +333,25 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similar texts of the pipeline stage --------------------------------------
 
 
-@F.arrow_udf(T.LongType())
-def words_udf(texts: pa.Array) -> pa.Array:
-    """One number for equal words, as fingerprints know them."""
-    joined = (b" ".join((x or b"").lower().split()) for x in texts.cast(pa.binary()).to_pylist())
-    return pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64).view(np.int64))
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("odd", T.BinaryType())]))
+def marks_udf(texts: pa.Array) -> pa.Array:
+    """The fingerprint, a number for equal words, and the parity of the shingles."""
+    rows = []
+    for x in each(texts):
+        words = words_of(x)
+        node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        rows.append((majority(hashes_of(words, SHINGLE)), node - (node >> 63 << 64), parity(np.unique(hashes_of(words, WORDS)).view(np.int64))))
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["fp", "node", "odd"])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS)).view(np.int64)
 
 
-@F.arrow_udf(T.BinaryType())
-def parity_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([parity(x or b"") for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
-
-
-def parity(text: bytes) -> bytes:
+def parity(tokens: np.ndarray) -> bytes:
     """The number of shingles, and of each of as many bins (a power of two) whether
     it holds an odd number of them."""
-    tokens = shingle_set(text)
     bins = 1 << max(6, (max(len(tokens), 1) - 1).bit_length())
     odd = np.bincount(tokens & (bins - 1), minlength=bins) & 1
     return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -373,15 +389,22 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
     order = None if frequent is None else np.sort(frequent[:, 0])
     weight = None if frequent is None else frequent[np.argsort(frequent[:, 0]), 1]
 
+    def batch(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held) if held else np.empty((0, len(BUCKET)), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
+
     def run(batches):  # noqa: ANN001, ANN202
         seen: set[int] = set()
-        for batch in batches:
-            held = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        held: list[np.ndarray] = []
+        size = 0
+        for given in batches:
+            for node, text in zip(given.column(0).to_pylist(), each(given.column(1))):
                 if node in seen:
                     continue
+                if len(seen) >= CHUNK:  # what comes twice is dropped in its bucket
+                    seen.clear()
                 seen.add(node)
-                tokens = shingle_set(text or b"")
+                tokens = shingle_set(text)
                 n = len(tokens)
                 odd = np.bincount(tokens & 63, minlength=64) & 1
                 sketch = int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
@@ -390,9 +413,13 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
                         tokens = tokens[np.argsort(np.where(order[at] == tokens, weight[at], 0), kind="stable")]
                     tokens = tokens[: n - needed(n) + 1]
-                held.append(np.stack([tokens, np.full(len(tokens), node), np.full(len(tokens), n), np.arange(len(tokens)), np.full(len(tokens), sketch)], axis=1))
-            rows = np.concatenate(held) if held else np.empty((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
+                k = len(tokens)
+                held.append(np.stack([tokens, np.full(k, node), np.full(k, n), np.arange(k), np.full(k, sketch)], axis=1))
+                size += k
+                if size > CHUNK // 4:
+                    yield batch(held)
+                    held, size = [], 0
+        yield batch(held)
 
     return run
 
@@ -504,8 +531,8 @@ def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
 def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     sets = lru_cache(256)(shingle_set)
     out = []
-    for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()):
-        x, y = sets(x or b""), sets(y or b"")
+    for x, y in zip(each(a), each(b)):
+        x, y = sets(x), sets(y)
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
     return pa.array(out, pa.bool_())
@@ -554,7 +581,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows one; rows without any id in their component keep one as well."""
     # the rows' numbers are written with them: counted anew, they could differ
     t = docs["text"]
-    numbered = materialise(nested(docs, fingerprint_udf(t).alias("fp"), words_udf(t).alias("node"), parity_udf(t).alias("odd"), F.monotonically_increasing_id().alias("row")), "numbered")
+    numbered = nested(docs, marks_udf(t).alias("m"), F.monotonically_increasing_id().alias("row"))
+    numbered = materialise(numbered.select("d", "m.*", "row"), "numbered")
     texts = numbered.select(F.col("d").getField("text").alias("text"), "fp", "node", "odd", "row")
     marked = numbered.select(F.col("d").getField("doc_id").alias("doc_id"), "fp", "row")
     found = classes(marked.select("doc_id", "fp"), lambda edges: similar_links(texts, materialise(edges, "edges")))
