@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Folded words too common in legal questions to carry content.
 CONTENT_STOPWORDS = ("nghi", "dinh", "nd", "cp", "so", "ve", "cua", "theo", "tai", "trong", "quy", "dieu", "khoan")
-#: Document identifiers such as 45/2019/QH14 or 100/2015/NĐ-CP.
-IDENTIFIER = r"(?iu)\b\d{1,4}/\d{4}(?:/[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)?\b"
-ARTICLE = r"(?iu)\b(?:điều|dieu|article)\s+(\d+[a-z]?)\b"
+#: Document identifiers such as 45/2019/QH14 or 100/2015/NĐ-CP, as they
+#: are searched for and as answers cite them, and articles such as Điều 12a.
+IDENTIFIER = r"(?iU)\b\d{1,4}\s*[/\-]\s*\d{4}\s*[/\-]\s*[A-Za-zÀ-ỹĐđ]+(?:\s*[-/]\s*[A-Za-zÀ-ỹĐđ0-9]+)*\b"
+CITED_NUMBER = r"(?iU)\b\d{1,4}\s*/\s*\d{4}\s*/\s*[A-ZÀ-ỸĐ]+(?:[-/][A-ZÀ-ỸĐ0-9]+)*\b"
+ARTICLE = r"(?iU)\b(?:điều|dieu|article)\s+(\d+[a-z]?)\b"
 
 
 def let(value: Column, body) -> Column:  # noqa: ANN001
@@ -93,9 +95,14 @@ def eval_tokens(c: Column) -> Column:
     return F.filter(F.split(fold_eval(c), " "), lambda t: F.length(t) >= 2)
 
 
+def search_words(c: Column) -> Column:
+    """Words as the full-text analyzer sees them."""
+    return F.filter(F.split(fold_search(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def search_tokens(c: Column) -> Column:
-    """Distinct tokens of a full-text query, in order."""
-    return F.array_distinct(F.filter(F.split(fold_search(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    """Distinct words of a full-text query, in order."""
+    return F.array_distinct(search_words(c))
 
 
 def identifiers(c: Column) -> Column:
@@ -139,7 +146,7 @@ def clip_words(c: Column, n: int) -> Column:
     """At most n characters of the squeezed text, cut before a word that would not fit."""
     flat = squeeze(c)
     head = F.substring(flat, 1, n)
-    return F.when(F.length(flat) <= n, flat).otherwise(falsy_coalesce(F.trim(F.regexp_replace(head, r" [^ ]*$", "")), F.trim(head)))
+    return F.when(F.length(flat) <= n, flat).otherwise(falsy_coalesce(F.trim(F.regexp_replace(head, r" [^ ]*\z", "")), F.trim(head)))
 
 
 def clean_lines(c: Column) -> Column:
@@ -157,11 +164,15 @@ def safe_name(c: Column, n: int = 150) -> Column:
     return F.substring(F.btrim(F.regexp_replace(squeeze(c), r'[<>:"/\\|?*\x00-\x1f]+', "_"), F.lit(" ._")), 1, n)
 
 
-def trim_embedding_input(c: Column, limit: int = 6000) -> Column:
-    """Text cut at the last line end within ``limit``, unless that loses half of it."""
+def trim_embedding_input(c: Column, provider: str = "openai", limit: int = 6000) -> Column:
+    """(text, trimmed): for the provider that bounds its input, text over ``limit`` is
+    cut at the last line end within it, unless that loses half, and stripped."""
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
     head = F.substring(text_of(c), 1, limit)
-    at_line = F.regexp_replace(head, r"\n[^\n]*$", "")
-    return F.when(F.length(text_of(c)) <= limit, text_of(c)).when(F.length(at_line) < limit // 2, head).otherwise(at_line)
+    at_line = strip(F.regexp_replace(head, r"\n[^\n]*\z", ""))
+    long = (F.length(text_of(c)) > limit) & F.lit(provider == "openai")
+    cut = F.when(F.length(at_line) < limit // 2, strip(head)).otherwise(at_line)
+    return F.struct(F.when(long, cut).otherwise(text_of(c)).alias("text"), long.alias("trimmed"))
 
 
 def searchable_text(**fields: Column) -> Column:
@@ -211,8 +222,9 @@ def document_number(c: Column) -> Column:
 
 
 def sentences(c: Column, n: int = 3, least: int = 25, most: int = 240) -> Column:
-    parts = F.filter(F.transform(F.split(text_of(c), r"(?<=[.!?])\s+"), squeeze), lambda s: F.length(s) >= least)
-    return F.slice(F.transform(parts, lambda s: F.substring(s, 1, most)), 1, n)
+    """The first sentences that are long enough, clipped; dashes at their ends go."""
+    parts = F.transform(F.split(squeeze(c), r"(?<=[.!?])\s+"), lambda s: F.btrim(s, F.lit(" -")))
+    return F.slice(F.transform(F.filter(parts, lambda s: F.length(s) >= least), lambda s: F.trim(F.substring(s, 1, most))), 1, n)
 
 
 def json_object(c: Column) -> Column:
@@ -223,9 +235,10 @@ def json_object(c: Column) -> Column:
 
 
 def uploaded_text(c: Column) -> Column:
-    """Line ends unified, hyphenated breaks joined, spaces and blank lines collapsed."""
-    steps = (("\r\n?", "\n"), (r"(?U)(\w)-\n(\w)", "$1$2"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, text_of(c)))
+    """Line ends unified, hyphenated breaks joined, spaces and blank lines collapsed.
+    Compose texts first (see ``legal.composed``) where marks may stand apart."""
+    steps = (("\r\n?", "\n"), (r"(?U)(?<=\w)-\n(?=\w)", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+\z", ""))
+    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, text_of(c))
 
 
 def metadata_block(*labelled: tuple[str, Column]) -> Column:

@@ -23,8 +23,3 @@ def normalize(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     n = norm(a) * norm(b)
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
-
-
-def token_bucket(token: Column, size: int) -> Column:
-    """The place of a token in a feature-hashed vector."""
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 4), 16, 10).cast("int") % size

@@ -115,6 +115,22 @@ def sliding_windows(c: Column, most: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(cut, lambda x: x != ""))
 
 
+def rechunk(records: DataFrame, sizes: Sizes = Sizes(), reported: int = 5500, searchable: Callable[[Column], Column] | None = None, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Records with ``:part:n`` rows merged, split again and given unique ids, and one
+    row of statistics: counts and longest lengths before and after, and how many are
+    over ``reported`` as they are searched (which limits nothing)."""
+    shown = searchable or (lambda t: t)
+    merged = merge_parts(records, seq=seq)
+    out = unique_ids(split(merged, sizes), seq=seq)
+    n = lambda df, name: df.agg(F.count("*").alias(f"{name}_count"), F.coalesce(F.max(F.length("text")), F.lit(0)).cast("long").alias(f"{name}_longest"))
+    after = out.agg(
+        F.count("*").alias("output_count"), F.coalesce(F.max(F.length("text")), F.lit(0)).cast("long").alias("output_longest"), F.count("parent_chunk_id").alias("split_children"),
+        F.coalesce(F.max(F.length(shown(F.col("text")))), F.lit(0)).cast("long").alias("searchable_longest"), F.count_if(F.length(shown(F.col("text"))) > reported).alias("searchable_over"),
+        F.count_if(F.coalesce(F.size("merged_chunk_ids"), F.lit(0)) > 0).alias("merged_short"),
+    )
+    return out, n(records, "input").crossJoin(n(merged, "merged")).crossJoin(after)  # one row each
+
+
 def quality_report(chunks: DataFrame, most: int = 3500, id_col: str = "chunk_id", text: str = "text") -> DataFrame:
     n = F.length(X.text_of(F.col(text)))
     return chunks.agg(
@@ -211,10 +227,11 @@ def _parts(text: str, level: str) -> list[tuple[str | None, str]]:
 Piece = dict
 
 
-def split_chunk(chunk_id: str, text: str, sizes: Sizes = Sizes()) -> list[Piece]:
+def split_chunk(chunk_id: str, text: str, sizes: Sizes = Sizes(), measure: Callable[[str], int] = len) -> list[Piece]:
     """Pieces of one chunk: id, clause and point numbers, text, and whether it was
     cut by size. Ids hang on the whole chunk's, so that those of points can repeat
-    between clauses: unique_ids() settles that."""
+    between clauses: unique_ids() settles that. ``measure``: the length that must not
+    be over ``sizes.most``, such as that of what is made of a piece to be searched."""
     lines = [" ".join(x.split()) for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
     text = "\n".join(x for x in lines if x)
     if not text:
@@ -224,7 +241,8 @@ def split_chunk(chunk_id: str, text: str, sizes: Sizes = Sizes()) -> list[Piece]
     def piece(i: str, t: str, clause: str | None, point: str | None, cut: bool = False) -> Piece:
         return {"id": i, "text": t, "clause": clause, "point": point, "cut": cut, "merged": []}
 
-    if len(text) <= sizes.most:
+    fits = lambda t: max(len(t), measure(t)) <= sizes.most
+    if fits(text):
         return [piece(chunk_id, text, None, None)]
 
     def by_size(t: str, clause: str | None, point: str | None, overlap: int) -> Iterator[Piece]:
@@ -245,7 +263,7 @@ def split_chunk(chunk_id: str, text: str, sizes: Sizes = Sizes()) -> list[Piece]
             seen[name] = seen.get(name, 0) + 1
             name += f":repeat:{seen[name]}" if seen[name] > 1 else ""
             own = (number, None) if level == "clause" else (clause, number)
-            if len(x) <= sizes.most:
+            if fits(x):
                 yield piece(f"{base}:{level}:{name}", x, *own)
             elif level == "clause" and len(_parts(x, "point")) > 1:
                 yield from by_structure(x, "point", number)
@@ -288,27 +306,29 @@ PIECES = T.ArrayType(
 )
 
 
-def _splitter(sizes: Sizes) -> Callable[..., Column]:
+def _splitter(sizes: Sizes, measure: Callable[[str], int] = len) -> Callable[..., Column]:
     kind = pa.list_(pa.struct([(n, pa.string()) for n in ("chunk_id", "text", "clause_number", "point_number")] + [("fallback_split", pa.bool_()), ("merged_chunk_ids", pa.list_(pa.string()))]))
 
     @F.arrow_udf(PIECES)
     def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
         rows = []
         for i, t in zip(ids.to_pylist(), texts.to_pylist()):
-            rows.append([{"chunk_id": p["id"], "text": p["text"], "clause_number": p["clause"], "point_number": p["point"], "fallback_split": p["cut"], "merged_chunk_ids": p["merged"]} for p in split_chunk(i or "", t or "", sizes)])
+            rows.append([{"chunk_id": p["id"], "text": p["text"], "clause_number": p["clause"], "point_number": p["point"], "fallback_split": p["cut"], "merged_chunk_ids": p["merged"]} for p in split_chunk(i or "", t or "", sizes, measure)])
         return pa.array(rows, kind)
 
     return run
 
 
-def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", text: str = "text") -> DataFrame:
+def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", text: str = "text", length: Callable[[Column], Column] = F.length, measure: Callable[[str], int] = len) -> DataFrame:
     """Chunks of at most ``sizes.most`` characters, other columns repeated, with
-    parent_chunk_id, part_index, part_count and what split_chunk() says."""
+    parent_chunk_id, part_index, part_count and what split_chunk() says. ``length``
+    and ``measure``: a length of one's own, in the JVM for all and in Python for what
+    is too long."""
     flat = chunks.withColumn(text, X.clean_lines(F.col(text))).where(F.col(text) != "")
-    fits = F.length(text) <= sizes.most
+    fits = F.greatest(F.length(text), length(F.col(text))) <= sizes.most
     others = [c for c in chunks.columns if c not in (id_col, text)]
     s = F.col("s")
-    cut = flat.where(~fits).withColumn("p", _splitter(sizes)(F.col(id_col), F.col(text))).select("*", F.posexplode("p").alias("k", "s"))
+    cut = flat.where(~fits).withColumn("p", _splitter(sizes, measure)(F.col(id_col), F.col(text))).select("*", F.posexplode("p").alias("k", "s"))
     cut = cut.select(
         s["chunk_id"].alias(id_col), s["text"].alias(text), *others, F.col(id_col).alias("parent_chunk_id"), (F.col("k") + 1).alias("part_index"), F.size("p").alias("part_count"),
         s["clause_number"].alias("clause_number"), s["point_number"].alias("point_number"), s["fallback_split"].alias("fallback_split"), s["merged_chunk_ids"].alias("merged_chunk_ids"),

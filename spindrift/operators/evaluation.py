@@ -170,6 +170,95 @@ def compare(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFram
     return wide.select(F.explode(rows).alias("r")).select("r.*").withColumn("delta", F.round(F.col("after") - F.col("before"), 3))
 
 
+def by_phrase(rows: DataFrame, question: Column, phrase: str, metrics: list[str]) -> DataFrame:
+    """Means of the cases whose id or question has the phrase, and of the others."""
+    return rows.groupBy(F.when(F.contains(F.lower(question), F.lit(phrase.lower())), phrase).otherwise("standard").alias("kind")).agg(F.count("*").alias("cases"), *[F.round(F.avg(F.col(m).cast("double")), 3).alias(m) for m in metrics])
+
+
+def category_counts(rows: DataFrame, category: str) -> DataFrame:
+    """(category, n), the most frequent first."""
+    return rows.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(category))
+
+
+def numeric_means(rows: DataFrame, ignored: tuple[str, ...] = ("question", "answer", "contexts", "ground_truth", "case_id"), decimals: int = 4) -> DataFrame:
+    """(metric, mean) of every numeric column that has a value; NaN is none."""
+    kinds = [f.name for f in rows.schema if f.name not in ignored and f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "decimal")]
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    wide = rows.agg(*[F.round(F.avg(number(c)), decimals).alias(c) for c in kinds])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("mean")) for c in sorted(kinds)])).alias("r")).select("r.*").where("mean IS NOT NULL")
+
+
+def problem_cases(rows: DataFrame) -> DataFrame:
+    """Cases with a low overall score or groundedness, or incomplete recall. A score
+    of zero counts as missing, hence as good, as ``value or default`` has it."""
+    of = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(float(default)))
+    return rows.where((of("overall", 5) < 4) | (of("groundedness", 5) <= 3) | (of("recall_at_5", 1) < 1))
+
+
+def reference_text(points: Column, terms: Column) -> Column:
+    """What a case's answer is held against: its points, else its required terms."""
+    none = F.array().cast("array<string>")
+    lines = lambda c: F.array_join(F.filter(F.transform(F.coalesce(c, none), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    return F.when(F.size(F.coalesce(points, none)) > 0, lines(points)).otherwise(lines(terms))
+
+
+def judge_rows(results: DataFrame, dataset: DataFrame, contexts: int = 5, chars: int = 1500) -> DataFrame:
+    """Rows for a semantic judge: question, answer, the first contexts that say
+    anything, and the reference of the case. results: case_id, question, answer,
+    sources (structs with text and preview); dataset: id, answer_points,
+    required_terms."""
+    ref = dataset.select(F.col("id").cast("string").alias("__id"), reference_text(F.col("answer_points"), F.col("required_terms")).alias("ground_truth"))
+    said = F.filter(F.transform(F.slice("sources", 1, contexts), lambda s: F.trim(X.text_of(X.falsy_coalesce(s["text"], s["preview"])))), lambda t: t != "")
+    j = results.join(ref, F.col("case_id").cast("string") == F.col("__id"), "left")
+    return j.select("case_id", F.trim(X.text_of(F.col("question"))).alias("question"), F.trim(X.text_of(F.col("answer"))).alias("answer"), F.transform(said, lambda t: F.substring(t, 1, chars)).alias("contexts"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
+
+
+def case_rows(scored: DataFrame, errors: DataFrame, metrics: list[str]) -> DataFrame:
+    """Rows of a run: scored cases, and failed ones with an overall score of one and no
+    other score. errors: (case_id, category, question, error)."""
+    failed = errors.withColumns({m: F.lit(1.0 if m == "overall" else None).cast("double") for m in metrics})
+    good = scored.select("case_id", "category", "question", F.lit(None).cast("string").alias("error"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    return good.unionByName(failed.select(*good.columns))
+
+
+def latency(rows: DataFrame) -> DataFrame:
+    """One row: mean and greatest latency of the cases that have one."""
+    return rows.agg(F.round(F.avg("latency_ms"), 2).alias("latency_average_ms"), F.max("latency_ms").alias("latency_max_ms"))
+
+
+def slowest(timings: Column) -> Column:
+    """The most milliseconds of a request's queries; zero without any."""
+    return F.coalesce(F.array_max(F.transform(timings, lambda t: F.coalesce(t["ms"].cast("long"), F.lit(0).cast("long")))), F.lit(0).cast("long"))
+
+
+#: Claims that no generated case allows.
+FORBIDDEN = ("chắc chắn không bị xử lý", "không cần căn cứ pháp luật", "luôn luôn")
+
+
+def generated_cases(cases: DataFrame, anchors: DataFrame, answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Evaluation cases out of a corpus. cases: (id, category, question, doc_hint,
+    article); anchors and answers: (query = case id, rank, doc), the best chunks for
+    the case's article and for its question; chunks: (doc, document_title, doc_number,
+    source_file, article_number, text). A case without an anchor of its article is
+    left out."""
+    c = chunks.select("doc", X.fold_eval(F.concat_ws(" ", "source_file", "document_title", "doc_number")).alias("__who"), X.fold_eval(F.col("article_number")).alias("__article"), "document_title", "doc_number", "text")
+    wanted = cases.select(F.col("id").alias("query"), "category", "question", "doc_hint", "article", X.fold_eval(F.col("doc_hint")).alias("__hint"), X.fold_eval(F.col("article")).alias("__wanted"))
+    same = F.contains(F.col("__who"), F.col("__hint")) & (F.col("__article") == F.col("__wanted"))
+    met = lambda lists: lists.join(c, "doc").join(wanted, "query").where(same)
+    source = met(anchors).groupBy("query").agg(F.min_by(F.struct("doc", "document_title", "doc_number", "text"), "rank").alias("s"))
+    rank = met(answers).groupBy("query").agg(F.min("rank").alias("question_rank"))
+    x = wanted.join(source, "query").join(rank, "query", "left")
+    head = X.falsy_coalesce(F.trim(F.regexp_extract(X.text_of(F.col("s.text")), r"^[^\r\n]*", 0)), F.concat(F.lit("Điều "), F.col("article")))
+    first = F.concat(F.lit("Cần đối chiếu "), head, F.lit(" trong "), X.text_of(F.col("s.document_title")), F.lit("."))
+    found = F.coalesce(F.col("question_rank").cast("string"), F.lit("not_in_top_30"))
+    notes = F.concat(F.lit("Generated from corpus chunk_id="), F.col("s.doc").cast("string"), F.lit(", doc_number="), F.coalesce(F.col("s.doc_number"), F.lit("None")), F.lit(", question_bm25_rank="), found, F.lit("."))
+    return x.select(
+        F.col("query").alias("id"), "category", "question", F.slice(F.concat(F.array(first), X.sentences(F.col("s.text"))), 1, 4).alias("answer_points"),
+        F.array(F.struct(F.col("doc_hint").alias("document_title_contains"), F.col("article").alias("article_number"))).alias("expected_sources"),
+        F.array(F.concat(F.lit("Điều "), F.col("article")), F.col("doc_hint")).alias("required_terms"), F.array(*map(F.lit, FORBIDDEN)).alias("forbidden_claims"), notes.alias("notes"),
+    )
+
+
 def lowest(rows: DataFrame, score: str, n: int = 12) -> DataFrame:
     return rows.orderBy(F.asc(score), F.asc("case_id")).limit(n)
 

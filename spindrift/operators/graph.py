@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..stores import stored
 
 
 def last_by(df: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -87,14 +92,52 @@ def audit(rules: DataFrame, chunks: DataFrame, examples: int = 3) -> DataFrame:
     )
 
 
-def flatten_hierarchy(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """Nodes (id, parent_id, title) of trees with depth and path, level by level."""
+def flatten_hierarchy(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, parent_id, title) of trees with depth and path, however deep: level
+    by level, each written before the next is joined to it."""
     level = nodes.where("parent_id IS NULL").select("id", "parent_id", "title", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out = level
-    for d in range(1, depth):
+    out, d = None, 0
+    while True:
+        level, written = stored(level, "level")
+        if not written:
+            return level if out is None else out
+        out = level if out is None else out.unionByName(level)
         up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("p"))
+        d += 1
         level = nodes.join(up, "parent_id").select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("p", F.array("id")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+
+
+#: What a node of a table of contents may name its parts.
+NODE_ID, NODE_TITLE, NODE_TYPE, NODE_NUMBER = ("id", "provisionId", "key"), ("title", "name", "label", "text"), ("type", "provisionType", "nodeType"), ("articleNumber", "number")
+NODE_CHILDREN = ("children", "childrens", "items", "provisions")
+TOC = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "depth" else T.StringType()) for n in ("id", "parent_id", "depth", "title", "type", "article_number")]))
+
+
+@F.arrow_udf(TOC)
+def flatten_toc(trees: pa.Array) -> pa.Array:
+    """JSON tables of contents to their nodes, each before its children; a child of a
+    node without an id belongs to the nearest one above that has one."""
+    kind = pa.list_(pa.struct([(n, pa.int32() if n == "depth" else pa.string()) for n in ("id", "parent_id", "depth", "title", "type", "article_number")]))
+    return pa.array([toc_nodes(x) for x in trees.to_pylist()], kind)
+
+
+def toc_nodes(tree: str | None) -> list[dict]:
+    try:
+        top = json.loads(tree or "[]")
+    except ValueError:
+        return []
+    first = lambda node, keys: next((node[k] for k in keys if node.get(k)), None)
+    text = lambda x: None if x is None else str(x)
+    out: list[dict] = []
+    todo = [(top, 0, None)]
+    while todo:
+        nodes, depth, parent = todo.pop()
+        for k, node in enumerate(nodes if isinstance(nodes, list) else []):
+            if not isinstance(node, dict):
+                continue
+            own, title = text(first(node, NODE_ID)), first(node, NODE_TITLE)
+            out.append({"id": own, "parent_id": parent, "depth": depth, "title": " ".join(str(title).split()) if title else None, "type": text(first(node, NODE_TYPE)), "article_number": text(first(node, NODE_NUMBER))})
+            if below := first(node, NODE_CHILDREN):
+                todo += [(nodes[k + 1 :], depth, parent), (below, depth + 1, own or parent)]
+                break
     return out

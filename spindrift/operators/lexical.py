@@ -1,10 +1,12 @@
 """Lexical retrieval: postings and two BM25 variants, for batches of questions.
 
-The inverted index is three tables: postings (term, doc, tf), a dictionary (term,
-df) and document lengths; statistics are one row. A batch of questions meets only
-the postings of its own terms, by one equi-join on the term, and is summed by
-(question, document) with partial aggregation. Both variants cut each question to
-its best k with a ranking window that Spark limits before its shuffle.
+The inverted index is three tables: postings (term, doc, tf, dl), a dictionary (term,
+df) and one row of statistics. They are written once and read by every batch of
+questions (see ``stored_index``). A batch meets only the postings of its own terms, by
+one equi-join on the term, and is summed by (question, document) with partial
+aggregation. Its weighted terms are broadcast if they are few, as counted. Both
+variants cut each question to its best k with a ranking window that Spark limits
+before its shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import stores as S
 from ..functions import text as X
 
 
@@ -44,6 +47,38 @@ def build_index(docs: DataFrame, id_col: str, analyzed: Column) -> Index:
     return Index(postings, document_frequencies(postings), corpus_stats(base.select("dl")))
 
 
+#: Version of the index's form; a stored one of another version is built anew.
+VERSION = 1
+#: Most terms of a batch of questions that are broadcast to the postings.
+FEW_TERMS = 200_000
+
+
+def stored_index(docs: DataFrame, id_col: str, analyzed: Column, name: str) -> Index:
+    """The index of ``docs``, which is a table of files: as it is stored, if it is of
+    these files, else built and stored. Postings are sorted by term, so that a
+    question's terms read few row groups. Documents are tokenised once."""
+    spark = docs.sparkSession
+    key = f"{name}-{S.signature(docs, id_col, str(VERSION))}"
+
+    def make() -> dict[str, DataFrame]:
+        base, _ = S.stored(docs.select(F.col(id_col).alias("doc"), analyzed.alias("terms")).withColumn("dl", F.size("terms")), "terms")
+        postings = base.select("doc", "dl", F.explode("terms").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+        written = S.kept(spark, f"{key}-postings", lambda: {"postings": postings.repartition("term").sortWithinPartitions("term")})["postings"]
+        return {"dictionary": document_frequencies(written), "stats": corpus_stats(base.select("dl"))}
+
+    more = S.kept(spark, key, make)
+    postings = S.kept(spark, f"{key}-postings", dict)["postings"]
+    return Index(postings, more["dictionary"], more["stats"])
+
+
+def choose_index(backends: dict[str, Index | None], order: tuple[str, ...] = ("fts", "bm25")) -> tuple[str, Index]:
+    """The first backend in ``order`` that has an index."""
+    for name in order:
+        if (found := backends.get(name)) is not None:
+            return name, found
+    raise ValueError("no index; build one first")
+
+
 def question_terms(questions: DataFrame, id_col: str, analyzed: Column) -> DataFrame:
     """(query, term, n): n counts a term that a question repeats."""
     return questions.select(F.col(id_col).alias("query"), F.explode(analyzed).alias("term")).groupBy("query", "term").agg(F.count("*").alias("n"))
@@ -65,7 +100,8 @@ def scores(index: Index, terms: DataFrame, idf, k1: float, b: float) -> DataFram
     """(query, doc, score, matched): matched counts distinct terms."""
     n, df = F.col("s.n"), F.col("df")
     weighted = terms.join(index.dictionary, "term").crossJoin(index.stats.alias("s")).select("query", "term", "times", idf(n, df).alias("idf"), F.col("s.avgdl").alias("avgdl"))
-    hit = weighted.join(index.postings, "term")
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    hit = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
     part = F.col("times") * F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return hit.groupBy("query", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
@@ -89,9 +125,12 @@ def full_text(index: Index, questions: DataFrame, id_col: str, text_col: str, k:
     q = questions.select(F.col(id_col).alias("query"), X.search_tokens(F.col(text_col)).alias("terms")).withColumn("wanted", F.size("terms"))
     terms = q.select("query", F.explode("terms").alias("term"), F.lit(1).alias("times"))
     s = scores(index, terms, idf_floor, k1, b).join(q.select("query", "wanted"), "query")
-    every = F.max(F.col("matched") == F.col("wanted")).over(Window.partitionBy("query"))
-    s = s.withColumn("every", every).where(F.when(F.col("every"), F.col("matched") == F.col("wanted")).otherwise(F.col("wanted") <= or_terms))
-    return top(s, k, F.desc("score"), F.asc("doc")).select("query", "rank", "doc", F.round("score", 4).alias("score"), F.when(F.col("every"), "and").otherwise("or").alias("mode"))
+    s = s.withColumn("whole", F.col("matched") == F.col("wanted")).where(F.col("whole") | (F.col("wanted") <= or_terms))
+    # the best k of either kind, before one of the kinds is chosen
+    order = Window.partitionBy("query", "whole").orderBy(F.desc("score"), F.asc("doc"))
+    s = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    s = s.withColumn("every", F.max("whole").over(Window.partitionBy("query"))).where(F.col("whole") == F.col("every"))
+    return s.withColumnRenamed("n", "rank").select("query", "rank", "doc", F.round("score", 4).alias("score"), F.when(F.col("every"), "and").otherwise("or").alias("mode"))
 
 
 def restrict_to_document(ranked: DataFrame, query_text: Column, haystack: Column, text: Column, k: int) -> DataFrame:

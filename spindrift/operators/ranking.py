@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import legal as G
 from ..functions import text as X
 
+#: Most distinct articles that chunks with a target are compared with.
+MOST_ARTICLES = 10_000
 #: Shares of the features in the rerank score.
 WEIGHTS = {"rrf": 0.38, "lexical": 0.20, "article": 0.12, "issue": 0.15, "coverage": 0.05, "pinned": 0.10}
 
@@ -40,6 +43,12 @@ def fuse(ranked: DataFrame, k: int | None = None, constant: int = 60, source: st
     return (g if k is None else g.where(F.col("rank") <= k)).select("query", "rank", "doc", "rrf", "sources")
 
 
+def single_list(ranked: DataFrame, k: int, constant: int = 60, source: str = "source") -> DataFrame:
+    """One ranked list as fuse() gives several: its own order, and a score by rank."""
+    x = ranked.where(F.col("rank") <= k).select("query", "rank", "doc", F.round(F.lit(1.0) / (F.lit(constant) + F.col("rank")), 12).alias("rrf"), F.array(F.coalesce(F.col(source), F.lit("unknown"))).alias("sources"))
+    return x
+
+
 def lexical_overlap(question: Column, item_text: Column) -> Column:
     q = F.array_distinct(X.rank_tokens(question))
     t = F.array_distinct(X.rank_tokens(item_text))
@@ -128,19 +137,35 @@ def cap_per_group(rows: DataFrame, group: list[str], seq: str, most: int) -> Dat
 
 
 def pinned_documents(questions: DataFrame, docs: DataFrame, query_text: str, haystack: Column, group: str, seq: str, most: int = 4) -> DataFrame:
-    """Chunks of the documents that a question names by identifier, ``most`` of each
-    source. Identifiers are few and equal on both sides once formed: a join on them
-    replaces comparing every question with every chunk."""
-    wanted = questions.select("query", F.explode(X.identifiers(F.col(query_text))).alias("identifier"))
-    named = docs.withColumn("identifier", F.explode(X.identifiers(haystack)))
-    hit = named.join(wanted, "identifier")
-    return cap_per_group(hit.dropDuplicates(["query", group, seq]), ["query", group], seq, most)
+    """Chunks whose ``haystack`` contains the form of a document number that a question
+    names, ``most`` of each source. A number's form is digits and then letters: where
+    it is contained, its digits end a run of digits. So chunks meet questions by a
+    join on the ends of their runs, and no question meets every chunk."""
+    wanted = questions.select("query", F.explode(G.legal_numbers(F.col(query_text))).alias("identifier")).withColumn("__run", F.regexp_extract("identifier", r"^\d+", 0))
+    named = docs.withColumn("__form", X.identifier_form(haystack))
+    ends = lambda run: F.transform(F.sequence(F.lit(5), F.least(F.lit(8), F.length(run))), lambda n: F.right(run, n))
+    runs = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("__form", F.lit(r"\d{5,}"), F.lit(0)), ends)))
+    hit = named.withColumn("__run", F.explode(runs)).join(wanted, "__run").where(F.contains(F.col("__form"), F.col("identifier")))
+    return cap_per_group(hit.drop("__run", "__form").dropDuplicates(["query", group, seq]), ["query", group], seq, most)
 
 
 def pinned_issues(issues: DataFrame, chunks: DataFrame, title: Column, seq: str, most: int = 3) -> DataFrame:
-    """Chunks of an issue's preferred articles under a title that one of its hints
-    names, ``most`` an issue. issues: (query, label, preferred_articles, hints)."""
-    wanted = issues.withColumn("article", F.explode(F.transform("preferred_articles", X.fold)))
-    hit = chunks.withColumn("article", X.fold(F.col("article_number"))).withColumn("__title", X.fold(title)).join(wanted, "article")
+    """Chunks of an issue's preferred articles, or that change such an article, under a
+    title that one of its hints names, ``most`` an issue. issues: (query, label,
+    preferred_articles, hints); chunks: article_number and, if any, target_article.
+    Articles meet by equality; of the few chunks with a target, each meets the
+    articles of the authored rules, whose number is checked."""
+    wanted = issues.withColumn("article", F.explode(F.array_distinct(F.transform("preferred_articles", X.fold))))
+    c = chunks.withColumns({"__title": X.fold(title), "__article": X.fold(F.col("article_number"))})
+    equal = c.join(wanted, F.col("__article") == F.col("article"))
+    hit = equal
+    if "target_article" in chunks.columns:
+        articles = wanted.select("article").where("article <> ''").distinct()
+        if articles.limit(MOST_ARTICLES + 1).count() > MOST_ARTICLES:
+            raise ValueError(f"more than {MOST_ARTICLES} preferred articles; split the issues")
+        changed = c.withColumn("__target", X.fold(F.col("target_article"))).where("__target <> ''")
+        named = changed.join(F.broadcast(articles.withColumnRenamed("article", "__named")), F.contains(F.col("__target"), F.col("__named"))).drop("__target")
+        hit = equal.unionByName(named.join(wanted, F.col("__named") == F.col("article")).drop("__named"))
     hinted = F.exists(F.transform("hints", X.fold), lambda h: (h != "") & F.contains(F.col("__title"), h))
-    return cap_per_group(hit.where(hinted).drop("__title"), ["query", "label"], seq, most)
+    once = hit.where(hinted).drop("__title", "__article", "article").dropDuplicates(["query", "label", seq])
+    return cap_per_group(once, ["query", "label"], seq, most)

@@ -9,6 +9,10 @@ from ..functions import text as X
 from ..functions.vector import cosine
 
 
+#: Most entries of rules that every question is compared with.
+MOST_ENTRIES = 20_000
+
+
 def clean_list(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
 
@@ -24,8 +28,12 @@ def rule_entries(rules: DataFrame) -> DataFrame:
 
 def match(questions: DataFrame, entries: DataFrame, rules: DataFrame, least: float = 0.78, most: int = 3) -> DataFrame:
     """(query, label, score, confidence), the best entry a label, at most ``most``
-    labels. Rules are an authored table; a question meets all of them."""
+    labels. Rules are an authored table, whose size is checked before it is broadcast;
+    a question meets all of them."""
+    if entries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} rule entries; search them as vectors")
     q = questions.select("query", F.col("embedding").alias("qv"))
+    entries = F.broadcast(entries)
     scored = q.crossJoin(entries.select("label", F.col("embedding").alias("ev"))).select("query", "label", F.round(cosine(F.col("qv"), F.col("ev")), 6).alias("score"))
     best = scored.where(F.col("score") >= least).groupBy("query", "label").agg(F.max("score").alias("score"))
     held = best.join(rules.select("label", F.col("confidence").alias("own")), "label", "left")
@@ -59,7 +67,40 @@ def plan(questions: DataFrame, matches: DataFrame, rules: DataFrame, sure: float
     )
 
 
-def sane_rewrites(rewrites: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Rewritten questions that share a token with the original or a vocabulary."""
+#: Folded words of legal questions that any rewritten question may have.
+LEGAL_WORDS = ("luat", "phap", "dieu", "khoan", "hinh", "su", "toi", "thuong", "tich", "trach", "nhiem", "xu", "ly")
+
+
+def sane_rewrites(rewrites: DataFrame, vocabulary: tuple[str, ...] = LEGAL_WORDS) -> DataFrame:
+    """Rewritten questions that share a word with the original or the vocabulary; all
+    that say anything, if the original has no word."""
+    words = lambda c: F.filter(F.split(X.fold(c), r"(?U)\s+"), lambda w: w != "")
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    return rewrites.where(F.arrays_overlap(X.rank_tokens(F.col("rewrite")), F.concat(X.rank_tokens(F.col("question")), known)))
+    original = words(F.col("question"))
+    kept = (F.size(original) == 0) | F.arrays_overlap(words(F.col("rewrite")), F.concat(original, known))
+    return rewrites.where((X.squeeze(F.col("rewrite")) != "") & kept)
+
+
+def rewrite_source(mode: Column, high_confidence: Column, has_rules: Column) -> Column:
+    """Which questions are searched for: the rules' alone, or a model's as well."""
+    return F.when(mode == "none", "rules_only").when(high_confidence, "rules_high_confidence").when(has_rules, "llm_with_rule_hints").otherwise("llm")
+
+
+def match_payload(rule: dict[str, Column], has_distinguish: Column, confidence: Column, source: Column, score: Column, query: Column) -> Column:
+    """What a matched rule is handed on as; ``avoid_articles`` stand in for articles
+    to distinguish from where the rule does not state any."""
+    strip = lambda c: F.trim(X.text_of(c))
+    said = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    trimmed = lambda c: F.transform(said(c), lambda x: F.trim(x))
+    return F.struct(
+        F.trim(X.falsy_coalesce(rule["label"], rule["issue_type"], F.lit(""))).alias("label"),
+        *[strip(rule[k]).alias(k) for k in ("issue_type", "display_name", "issue_type_name", "description")],
+        confidence.alias("confidence"),
+        said(rule["retrieval_queries"]).alias("retrieval_queries"),
+        *[trimmed(rule[k]).alias(k) for k in ("semantic_queries", "preferred_articles")],
+        F.when(has_distinguish, trimmed(rule["distinguish_from_articles"])).otherwise(trimmed(rule["avoid_articles"])).alias("distinguish_from_articles"),
+        trimmed(rule["document_title_hints"]).alias("document_title_hints"),
+        source.alias("match_source"),
+        F.round(score, 6).alias("semantic_score"),
+        F.nullif(query, F.lit("")).alias("semantic_query"),
+    )

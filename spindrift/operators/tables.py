@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: New rows of a manifest whose places are counted in one task.
+FEW = 10_000
 
 
 def keep_first(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -28,9 +33,19 @@ def upsert_counts(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def upsert_front(old: DataFrame, new: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
     """As upsert, the new rows before all others by ``seq``."""
     low = old.agg(F.coalesce(F.min(seq), F.lit(0)).alias("__low"))
-    n = F.row_number().over(Window.orderBy(F.desc("__o")))  # a manifest's new items are a handful
-    placed = new.withColumn("__o", F.monotonically_increasing_id()).withColumn("__n", n).crossJoin(low).withColumn(seq, (F.col("__low") - F.col("__n")).cast("long"))
-    return upsert(old, placed.drop("__o", "__n", "__low"), key)
+    placed = new.withColumn("__o", F.monotonically_increasing_id())
+    # places of a few new rows are next to one another; those of many need only be in order
+    if new.limit(FEW + 1).count() <= FEW:
+        placed = placed.withColumn("__o", F.row_number().over(Window.orderBy("__o")) - 1)
+    placed = placed.crossJoin(low)  # one row
+    placed = placed.withColumn(seq, (F.col("__low") - 1 - F.col("__o")).cast("long"))
+    return upsert(old, placed.drop("__o", "__low"), key)
+
+
+def complete(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with the columns of a schema; what they lack is null."""
+    have = set(rows.columns)
+    return rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
 def delete(old: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact vector search and vector tables.
+"""Exact and approximate vector search, and vector tables.
 
 Questions are a bounded batch; the corpus is not. Below ``FEW`` questions they are
 broadcast and scored in the JVM; above, Arrow batches of vectors meet the matrix of
@@ -8,24 +8,31 @@ is shuffled for the final ranking is k rows a question and task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vector import dot, normalize, token_bucket
+from .. import stores as S
+from ..functions import text as X
+from ..functions.vector import dot, normalize
 
 FEW = 32
-MOST = 20_000
+#: Most questions of a batch, and bytes of their vectors; questions that meet a batch
+#: of vectors at a time, and vectors of such a batch.
+MOST, MOST_BYTES, BLOCK, ROWS = 20_000, 256_000_000, 512, 2048
 
 
 def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", decimals: int = 6) -> DataFrame:
     """(query, rank, id, score) by inner product; ties go to the smaller id."""
     n = questions.limit(MOST + 1).count()
-    if n > MOST:
-        raise ValueError(f"at most {MOST} questions a batch; split the questions")
+    size = questions.select(F.max(F.size(vec_col))).first()[0] or 0
+    if n > MOST or n * size * 8 > MOST_BYTES:
+        raise ValueError(f"at most {MOST} questions and {MOST_BYTES} bytes of vectors a batch; split the questions")
     scored = _by_columns(vectors, questions, id_col, vec_col, query_col) if n <= FEW else _by_matrix(vectors, questions, k, id_col, vec_col, query_col, decimals)
     scored = scored.withColumn("score", F.round("score", decimals))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
@@ -44,32 +51,141 @@ def _by_matrix(vectors: DataFrame, questions: DataFrame, k: int, id_col: str, ve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        best: tuple[np.ndarray, ...] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            s = np.round(matrix @ v.T, decimals)
-            i = np.broadcast_to(ids, s.shape)
-            if best is not None:
-                s, i = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], i], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best = (np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1))
-        if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query", "id", "score"])
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * -(-len(names) // BLOCK)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):  # BLOCK questions x ROWS vectors at a time
+                b = whole.slice(start, ROWS)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1).T
+                for n in range(len(best)):
+                    best[n] = merged(best[n], np.round(matrix[n * BLOCK : (n + 1) * BLOCK] @ v, decimals), ids, k)
+        for n, found in enumerate(best):
+            if found is not None:
+                s, i = found
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[n * BLOCK : (n + 1) * BLOCK], s.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], ["query", "id", "score"])
 
     return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "query long, id long, score double")
 
 
+def merged(best: tuple[np.ndarray, np.ndarray] | None, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores a row, and their ids, of those so far and new ones; ties go
+    to smaller ids. Only what reaches the k-th best score is sorted."""
+    i = np.broadcast_to(ids, s.shape)
+    if best is not None:
+        s, i = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], i], axis=1)
+    if s.shape[1] > 4 * k:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
+        width = int((s >= least[:, None]).sum(axis=1).max())
+        at = np.argpartition(-s, min(width, s.shape[1]) - 1, axis=1)[:, :width]
+        s, i = np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
+    order = np.lexsort((i, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hashed(tokens: pa.Array, sizes: pa.Array) -> pa.Array:
+    size = sizes[0].as_py() if len(sizes) else 0
+    known: dict[str, int] = {}
+    out = np.zeros((len(tokens), size))
+    for k, words in enumerate(tokens):
+        for t in words.as_py() or ():
+            b = known.get(t)
+            if b is None:
+                b = known[t] = int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % size
+            out[k, b] += 1
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    out /= np.where(length == 0, 1, length)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * size, pa.int32()), pa.array(out.ravel()))
+
+
 def hash_embed(docs: DataFrame, id_col: str, terms, size: int = 64) -> DataFrame:  # noqa: ANN001
     """A deterministic stand-in for an embedding service: unit vectors of hashed
-    token counts, (id, embedding)."""
-    counted = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("t")).groupBy("id", token_bucket(F.col("t"), size).alias("b")).agg(F.count("*").alias("n"))
-    made = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))  # at most ``size`` entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double"))
-    return made.select("id", normalize(dense).alias("embedding"))
+    token counts, (id, embedding), a row a document with any token. Nothing is
+    shuffled."""
+    some = docs.select(F.col(id_col).alias("id"), terms.alias("t")).where(F.size("t") > 0)
+    return some.select("id", _hashed(F.col("t"), F.lit(size)).alias("embedding"))
+
+
+def embed(docs: DataFrame, id_col: str, text: Column, model: Callable[[list[str]], list[list[float]]], provider: str = "openai", limit: int = 6000, batch: int = 100) -> DataFrame:
+    """(id, embedding, embedding_text, trimmed) by a model that takes texts, ``batch``
+    at a time; inputs are trimmed as the provider asks for."""
+    cut = X.trim_embedding_input(text, provider, limit)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pa.Array) -> pa.Array:
+        out: list[list[float]] = []
+        for k in range(0, len(texts), batch):
+            out += model([x or "" for x in texts.slice(k, batch).to_pylist()])
+        m = np.array(out, np.float64).reshape(len(texts), -1)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return pa.array(list(m / np.where(length == 0, 1, length)), pa.list_(pa.float64()))
+
+    made = docs.select(F.col(id_col).alias("id"), cut.alias("c"))
+    return made.select("id", run(F.col("c.text")).alias("embedding"), F.col("c.text").alias("embedding_text"), F.col("c.trimmed").alias("trimmed"))
+
+
+def stored_vectors(docs: DataFrame, make: Callable[[], DataFrame], name: str, **manifest: str | int) -> tuple[DataFrame, DataFrame]:
+    """The vector table of ``docs`` and its one-row manifest (provider, model,
+    dimension, count and whatever else is given): as stored, if it is of these files
+    and settings, else made and stored."""
+    key = f"{name}-{S.signature(docs, *[f'{k}={v}' for k, v in sorted(manifest.items())])}"
+
+    def build() -> dict[str, DataFrame]:
+        vectors = S.kept(docs.sparkSession, f"{key}-vectors", lambda: {"vectors": make()})["vectors"]
+        one = vectors.agg(F.count("*").alias("count"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))
+        return {"manifest": one.withColumns({k: F.lit(v) for k, v in manifest.items()})}
+
+    held = S.kept(docs.sparkSession, key, build)
+    return S.kept(docs.sparkSession, f"{key}-vectors", dict)["vectors"], held["manifest"]
+
+
+def usable(manifests: DataFrame, provider: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Manifests of built indexes with a provider, the asked one if any; a provider
+    that needs a key is left out unless ``keys`` has it."""
+    p = F.lower(X.falsy_coalesce(F.col("provider"), F.lit("")))
+    ok = (p != "") & F.coalesce(F.col("built"), F.lit(False))
+    if provider:
+        ok = ok & (p == provider.lower())
+    if "openai" not in keys:
+        ok = ok & (p != "openai")
+    return manifests.where(ok)
+
+
+def rows_of(metadata: DataFrame, places: DataFrame, place: str = "vec_idx") -> DataFrame:
+    """Metadata of vectors by their places; places below zero have none."""
+    return places.where(F.col(place) >= 0).join(metadata, place)
+
+
+def approximate(vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, tables: int = 24, bits: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", seed: int = 11) -> DataFrame:
+    """As top_k(), but of each question only the ``candidates`` (20 k, 100 at least)
+    vectors that share the most hash buckets with it are compared: signs of random
+    projections, ``bits`` a bucket, in ``tables`` tables; buckets that differ in one
+    bit count as well. Recall is what tests measure."""
+    size = questions.select(F.max(F.size(vec_col))).first()[0] or 0
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, size))
+
+    def keys(near: bool):  # noqa: ANN202
+        @F.arrow_udf(T.ArrayType(T.LongType()))
+        def run(v: pa.Array) -> pa.Array:
+            m = np.array([x or [0.0] * size for x in v.to_pylist()], np.float64).reshape(len(v), size)
+            code = ((m @ planes.T > 0).reshape(len(v), tables, bits) << np.arange(bits)).sum(axis=2)
+            if near:
+                code = np.concatenate([code[..., None], code[..., None] ^ (1 << np.arange(bits))], axis=2)
+            else:
+                code = code[..., None]
+            return pa.array((code + (np.arange(tables) << bits)[:, None]).reshape(len(v), -1).tolist(), pa.list_(pa.int64()))
+
+        return run
+
+    q = questions.select(F.col(query_col).alias("query"), F.col(vec_col).alias("qv"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    asked = q.select("query", F.explode(keys(True)("qv")).alias("key"))
+    met = v.select("id", F.explode(keys(False)("v")).alias("key")).join(asked, "key").groupBy("query", "id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("query").orderBy(F.desc("n"), F.asc("id"))
+    few = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= (candidates or max(20 * k, 100))).select("query", "id")
+    scored = few.join(v, "id").join(q, "query").select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def merge_indexes(indexes: list[tuple[str, DataFrame]], id_col: str = "id") -> DataFrame:

@@ -1,14 +1,14 @@
 """Hybrid search for batches of questions, as one lazy plan.
 
-Lexical and vector lists are cut to their best before they are fused; texts join
-only what has survived fusion.
+Indexes and vectors are tables that are read, not made, by a search. Their lists are
+cut to their best before they are fused; texts join only what has survived fusion.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -26,24 +26,64 @@ class Columns:
     source: str | None = None
 
 
-def lists(docs: DataFrame, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid") -> DataFrame:
-    """(query, list, rank, doc, source): list 1 is lexical, 2 by vectors."""
+MODES = ("bm25", "vector", "hybrid")
+
+
+@dataclass(frozen=True)
+class Sources:
+    """What is searched: an index and its kind (``bm25`` or ``fts``), vectors, and
+    those of further workspaces, whose vectors may be missing."""
+
+    index: L.Index | None = None
+    kind: str = "bm25"
+    vectors: DataFrame | None = None
+    more: tuple[Sources, ...] = ()
+    ann: bool = False
+
+
+def stored_sources(docs: DataFrame, c: Columns, kind: str = "bm25") -> Sources:
+    """Index and vectors of a table of files, as stored."""
+    t = X.tokens(F.col(c.text)) if kind == "bm25" else X.search_words(F.col(c.text))
+    vectors, _ = VO.stored_vectors(docs, lambda: VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text))), "vectors", provider="hash", model="md5-64", id=c.doc)
+    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors)
+
+
+def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None) -> DataFrame:
+    """(query, list, rank, doc, source): pinned documents first, then one list for each
+    index, then one for each table of vectors; the order of lists decides ties. pins:
+    (query, position, doc)."""
+    if mode not in MODES:
+        raise ValueError(f"mode: one of {MODES}")
     out = []
+    if pins is not None:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("position"))
+        out.append(pins.select("query", F.lit(0).alias("list"), rank.alias("rank"), "doc", F.lit("document").alias("source")))
+    every = (sources, *sources.more)
     if mode in ("bm25", "hybrid"):
-        index = L.build_index(docs, c.doc, X.tokens(F.col(c.text)))
-        bm = L.bm25(index, questions, c.query, c.question, k)
-        out.append(bm.select("query", F.lit(1).alias("list"), "rank", "doc", F.lit("bm25").alias("source")))
+        for n, s in enumerate(every, 1):
+            if s.index is not None:
+                find = L.bm25 if s.kind == "bm25" else L.full_text
+                out.append(find(s.index, questions, c.query, c.question, k).select("query", F.lit(n).alias("list"), "rank", "doc", F.lit("bm25").alias("source")))
     if mode in ("vector", "hybrid"):
-        d = VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text)))
         q = VO.hash_embed(questions, c.query, X.tokens(F.col(c.question))).withColumnRenamed("id", "query")
-        near = VO.top_k(d, q, k, id_col="id")
-        out.append(near.select("query", F.lit(2).alias("list"), "rank", F.col("id").alias("doc"), F.lit("vector").alias("source")))
+        for n, s in enumerate(every, 1 + len(every)):
+            if s.vectors is not None:
+                near = (VO.approximate if s.ann else VO.top_k)(s.vectors, q, k, id_col="id")
+                out.append(near.select("query", F.lit(n).alias("list"), "rank", F.col("id").alias("doc"), F.lit("vector").alias("source")))
+    if not out:
+        raise ValueError("no index and no vectors to search")
     both = out[0]
     for x in out[1:]:
         both = both.unionByName(x)
     return both
 
 
+def candidates(ranked: DataFrame, k: int) -> DataFrame:
+    """Lists fused. Where a question has a single list, its scores are the same and
+    its order is kept, as single_list() gives them."""
+    return R.fuse(ranked, k)
+
+
 def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, c: Columns, k: int, issues: DataFrame | None = None) -> DataFrame:
     """Feature rerank of fused lists. docs may have article_number, target_article
     and document_title; issues: (query, matches)."""
@@ -70,16 +110,37 @@ def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, c: Columns,
     return out.drop("__body", "__article", "__target", "__title", "__q", "matches")
 
 
-def search(docs: DataFrame, questions: DataFrame, c: Columns, k: int = 5, mode: str = "hybrid", pins: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+def search(sources: Sources, docs: DataFrame, questions: DataFrame, c: Columns, k: int = 5, mode: str = "hybrid", pins: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
     """The k best documents of each question: lists, fusion, rerank, threshold, pins."""
-    per_list, candidates, reranked = max(6 * k, 30), max(8 * k, 40), max(3 * k, 12)
-    fused = R.fuse(lists(docs, questions, c, per_list, mode), candidates)
+    per_list, most, reranked = max(6 * k, 30), max(8 * k, 40), max(3 * k, 12)
+    fused = candidates(lists(sources, questions, c, per_list, mode, pins), most)
     out = R.threshold(rerank(fused, docs, questions, c, reranked, issues), k)
     return R.promote_pins(out, pins, k) if pins is not None else out
 
 
-def context(results: DataFrame, reference: Column, text: Column) -> DataFrame:
-    """(query, context): numbered blocks of reference and text in rank order."""
-    block = F.concat(F.lit("[Nguồn "), F.col("rank").cast("string"), F.lit("] "), reference, F.lit("\n"), text)
+def active_questions(planned: DataFrame, graph: DataFrame, most: int = 3) -> DataFrame:
+    """(query, position, question): a plan's questions, then a graph's, cut together to
+    the first ``most`` that differ. Both: (query, seq, question)."""
+    both = planned.select("query", F.lit(0).alias("o"), "seq", "question").unionByName(graph.select("query", F.lit(1).alias("o"), "seq", "question"))
+    numbered = both.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("o", "seq"))).withColumnRenamed("question", "asked")
+    return R.distinct_questions(numbered, "asked", ["query"], "n", most).select("query", "position", "question")
+
+
+def debug(sources: Sources, docs: DataFrame, questions: DataFrame, c: Columns, k: int = 5) -> dict[str, DataFrame]:
+    """The results of each mode, each a query of its own."""
+    return {mode: search(sources, docs, questions, c, k, mode) for mode in MODES}
+
+
+def context(results: DataFrame, fields: dict[str, Column], text: Column) -> DataFrame:
+    """(query, context): numbered blocks of reference, score and text, in rank order.
+    fields: document_title, doc_number, source_file, article_number, clause_number,
+    target_article, and rerank, rrf or score."""
+    f = lambda name: X.falsy_coalesce(fields[name].cast("string")) if name in fields else F.lit(None).cast("string")
+    head = F.concat_ws(
+        " | ", F.coalesce(f("document_title"), f("doc_number"), f("source_file"), F.lit("")), f("doc_number"), F.concat(F.lit("Điều "), f("article_number")),
+        F.concat(F.lit("khoản "), f("clause_number")), F.concat(F.lit("sửa "), f("target_article")),
+    )
+    label, score = next(((n, fields[key]) for n, key in (("Rerank score", "rerank"), ("RRF score", "rrf"), ("Score", "score")) if key in fields), ("Score", F.lit(0.0)))
+    block = F.concat(F.lit("[Nguồn "), F.col("rank").cast("string"), F.lit("] "), head, F.lit(f"\n{label}: "), F.format_string("%.6f", score), F.lit("\nNội dung: "), X.text_of(text))
     g = results.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))  # at most k rows
     return g.select("query", F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("context"))

@@ -10,6 +10,7 @@ from .base import Registry, fold, fold_eval, fold_search, identifier_form, read,
 
 Q = Registry()
 
+STOP_SQL = ", ".join(f"'{w}'" for w in X.CONTENT_STOPWORDS)
 TF = f"SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM documents) GROUP BY ALL"
 
 
@@ -45,22 +46,31 @@ def x07_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", X.identifier_form(F.col("p_name")).alias("name_form"), X.identifier_form(F.col("p_brand")).alias("brand_form"))
 
 
-@Q.add(r"""
-WITH d AS (SELECT o_orderkey, 'theo ' || (o_orderkey % 900 + 1) || '/' || year(o_orderdate) || '/N' || chr(272) || '-CP, ' || (o_orderkey % 90 + 1) || '/' || year(o_orderdate) AS t FROM orders)
-SELECT o_orderkey, (o_orderkey % 900 + 1) || '' || year(t2) || 'ndcp ' || (o_orderkey % 90 + 1) || year(t2) AS ids
-FROM (SELECT o_orderkey, o_orderdate AS t2 FROM orders)
-""")
+#: Texts that name documents in all the ways that are told apart.
+HARD = (
+    "theo 45/2019/QH14 và 100/2015/NĐ-CP", "100 / 2015 / NĐ - CP, 100/2015/nđ-cp", "số 12-2001-TT và 7/1999/QĐ/BTC", "không có số: 45/2019, 2019/QH14, 12345/2019/QH14",
+    "Điều 5, dieu 12A; Article 7 của luật 1/2020/L", "", "9/2000/A1B 10/2000/AB1", "3/2010/QH-12/X trước, sau 3/2010/QH-12/X", "điều 5 khoản 2 Điều 5", "articles 5 điều7 điều  8b",
+)
+
+
+def hard(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, t) for k, t in enumerate(HARD)], "k long, t string")
+
+
+HARD_SQL = "h(k, t) AS (VALUES " + ", ".join(f"({k}::BIGINT, '{t}')" for k, t in enumerate(HARD)) + ")"
+LETTER = "A-Za-z\\x{C0}-\\x{1EF9}"
+IDS_SQL = f"list_distinct(list_transform(regexp_extract_all(t, '\\b\\d{{1,4}}\\s*[/-]\\s*\\d{{4}}\\s*[/-]\\s*[{LETTER}]+(?:\\s*[-/]\\s*[{LETTER}0-9]+)*\\b'), lambda x: {identifier_form('x')}))"
+
+
+@Q.add(f"WITH {HARD_SQL} SELECT k, array_to_string(list_sort({IDS_SQL}), ' ') AS ids, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(t), '(?:điều|\\bdieu|\\barticle)\\s+(\\d+[a-z]?)\\b', 1), lambda x: x))), ' ') AS articles FROM h")
 def x08_extract_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    y = F.year("o_orderdate").cast("string")
-    a, b = (F.col("o_orderkey") % 900 + 1).cast("string"), (F.col("o_orderkey") % 90 + 1).cast("string")
-    text = F.concat(F.lit("theo "), a, F.lit("/"), y, F.lit("/NĐ-CP, "), b, F.lit("/"), y)
-    return o.select("o_orderkey", F.array_join(X.identifiers(text), " ").alias("ids"))
+    """Identifiers (X08) and articles (X09) of hard cases."""
+    return hard(spark).select("k", F.array_join(F.array_sort(X.identifiers(F.col("t"))), " ").alias("ids"), F.array_join(F.array_sort(X.article_numbers(F.col("t"))), " ").alias("articles"))
 
 
 @Q.add(f"""
 WITH b AS (SELECT item_id, list_distinct(list_filter(list_transform({toks('text')}, lambda t: replace(strip_accents(replace(t, 'ß', 'ss')), 'đ', 'd')), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '\\p{{N}}+')
-  AND t NOT IN ('nghi','dinh','nd','cp','so','ve','cua','theo','tai','trong','quy','dieu','khoan'))) AS w FROM benchmark),
+  AND t NOT IN ({STOP_SQL}))) AS w FROM benchmark),
 q AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b),
 d AS (SELECT doc_id, replace({fold_search('text')}, 'đ', 'd') AS whole, replace({fold_search("regexp_extract(text, '^[^\\r\\n]*')")}, 'đ', 'd') AS head, replace({fold_search('substring(text, 1, 700)')}, 'đ', 'd') AS early FROM documents),
 p AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
@@ -102,12 +112,17 @@ def p04_searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.searchable_text(title=head, source=F.col("source"), type=F.col("lang"), text=F.col("text")).alias("searchable"))
 
 
-@Q.add("""
-SELECT doc_id, CASE WHEN length(text) <= 6000 THEN text WHEN length(cut) < 3000 THEN head ELSE cut END AS input, length(text) > 6000 AS trimmed
-FROM (SELECT doc_id, text, substring(text, 1, 6000) AS head, regexp_replace(substring(text, 1, 6000), '\\n[^\\n]*$', '') AS cut FROM documents)
+TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@Q.add(f"""
+SELECT doc_id, CASE WHEN length(text) <= 6000 THEN text WHEN length(cut) < 3000 THEN {TRIM.format('head')} ELSE cut END AS input, length(text) > 6000 AS trimmed, text AS other
+FROM (SELECT doc_id, text, head, {TRIM.format("regexp_replace(head, '\\n[^\\n]*$', '')")} AS cut FROM (SELECT doc_id, coalesce(text, '') AS text, substring(coalesce(text, ''), 1, 6000) AS head FROM documents))
 """)
 def p08_trim_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", X.trim_embedding_input(F.col("text")).alias("input"), (F.length("text") > 6000).alias("trimmed"))
+    """Trimmed for the provider that bounds its input; another one gets the text."""
+    cut, other = X.trim_embedding_input(F.col("text")), X.trim_embedding_input(F.col("text"), "sentence-transformers")
+    return read(spark, sf_dir, "documents").select("doc_id", cut["text"].alias("input"), cut["trimmed"].alias("trimmed"), other["text"].alias("other"))
 
 
 @Q.add(f"""
@@ -132,8 +147,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 SELECT query, rank::INTEGER AS rank, doc, score FROM r WHERE rank <= """
 
 
-def index(spark: SparkSession, sf_dir: str) -> L.Index:
-    return L.build_index(read(spark, sf_dir, "documents"), "doc_id", X.tokens(F.col("text")))
+def index(spark: SparkSession, sf_dir: str, kind: str = "bm25") -> L.Index:
+    words = X.tokens if kind == "bm25" else X.search_words
+    return L.stored_index(read(spark, sf_dir, "documents"), "doc_id", words(F.col("text")), f"index-{kind}")
 
 
 @Q.add(BM25 + "10")
@@ -141,8 +157,10 @@ def r01_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.bm25(index(spark, sf_dir), read(spark, sf_dir, "benchmark"), "item_id", "text", 10)
 
 
-@Q.add(f"""
-WITH qs AS (SELECT item_id AS query, list_distinct({search_toks("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")}) AS w FROM benchmark),
+def fts_sql(text: str) -> str:
+    """Full-text search with ``text`` of each passage as its question."""
+    return f"""
+WITH qs AS (SELECT item_id AS query, list_distinct({search_toks(text)}) AS w FROM benchmark),
 q AS (SELECT query, len(w) AS wanted, unnest(w) AS term FROM qs),
 p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({search_toks('text')}) AS term FROM documents) GROUP BY ALL),
 dl AS (SELECT doc, sum(tf) AS dl FROM p GROUP BY doc), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -152,20 +170,20 @@ sc AS (SELECT query, doc, wanted, count(*) AS matched, sum(greatest(ln((s.n - df
 e AS (SELECT *, bool_or(matched = wanted) OVER (PARTITION BY query) AS every FROM sc),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM e WHERE CASE WHEN every THEN matched = wanted ELSE wanted <= 5 END)
 SELECT query, rank::INTEGER AS rank, doc, round(score, 4) AS score, CASE WHEN every THEN 'and' ELSE 'or' END AS mode FROM r WHERE rank <= 10
-""")
+"""
+
+
+@Q.add(fts_sql("text"))
 def r02_fts_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analyzed = F.filter(F.split(X.fold_search(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    i = L.build_index(read(spark, sf_dir, "documents"), "doc_id", analyzed)
-    q = read(spark, sf_dir, "benchmark").withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
-    return L.full_text(i, q, "item_id", "text", 10)
+    """Whole passages: all words must match."""
+    return L.full_text(index(spark, sf_dir, "fts"), read(spark, sf_dir, "benchmark"), "item_id", "text", 10)
 
 
-# r02_fts_and_or asks the first three words, as its SQL does; here the passage is asked whole
-@Q.add(Q.sql["r02_fts_and_or"].replace("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')", "text"))
-def r02_fts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analyzed = F.filter(F.split(X.fold_search(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    i = L.build_index(read(spark, sf_dir, "documents"), "doc_id", analyzed)
-    return L.full_text(i, read(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+@Q.add(fts_sql("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') || ' zzunknown' || (item_id % 2)"))
+def r02_fts_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of few words, one of which no document has: any word may match."""
+    q = read(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.array_join(F.slice(F.split("text", " "), 1, 3), " "), F.lit(" zzunknown"), (F.col("item_id") % 2).cast("string")))
+    return L.full_text(index(spark, sf_dir, "fts"), q, "item_id", "text", 10)
 
 
 @Q.add(f"SELECT p_partkey, trim(regexp_replace({fold_search('p_name')}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -189,6 +207,11 @@ def x13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(X.numbers(F.col("text"))), ",").alias("numbers"))
 
 
-@Q.add()
+SQ = squeeze("text")
+
+
+@Q.add(f"""
+SELECT doc_id, list_slice(list_filter(list_transform(string_split(regexp_replace({SQ}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' -')), lambda x: length(x) >= 25), 1, 3) AS s FROM documents
+""".replace("SELECT doc_id, list_slice", "SELECT doc_id, array_to_string(list_transform(s, lambda x: trim(substring(x, 1, 240))), chr(10)) AS sentences FROM (SELECT doc_id, list_slice").replace("FROM documents", "FROM documents)"))
 def x30_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("sentences"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "\n").alias("sentences"))

@@ -27,8 +27,12 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, fir
 )
 
 
+def sources(spark: SparkSession, sf_dir: str) -> H.Sources:
+    return H.stored_sources(read(spark, sf_dir, "documents"), H.Columns("doc_id", "text", "item_id", "text"))
+
+
 def ranked_lists(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
-    return H.lists(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), H.Columns("doc_id", "text", "item_id", "text"), k)
+    return H.lists(sources(spark, sf_dir), read(spark, sf_dir, "benchmark"), H.Columns("doc_id", "text", "item_id", "text"), k)
 
 
 @Q.add(FUSED + "SELECT query, rank::INTEGER AS rank, doc, round(rrf, 9) AS rrf, sources FROM fused")
@@ -100,7 +104,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rerank >= 0.15E0
 SELECT query, place::INTEGER AS rank, doc, round(rerank, 4) AS rerank FROM y WHERE place <= greatest(n, 3) AND place <= 5"""
 )
 def r15_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = H.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), H.Columns("doc_id", "text", "item_id", "text", "source"), 5)
+    out = H.search(sources(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), H.Columns("doc_id", "text", "item_id", "text", "source"), 5)
     return out.select("query", "rank", "doc", F.round("rerank", 4).alias("rerank"))
 
 
@@ -140,26 +144,32 @@ def r05_issue_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add("""
-WITH d AS (SELECT o_orderkey AS seq, o_custkey % 400 AS n, o_custkey % 25 AS l_suppkey FROM orders), q AS (SELECT p_partkey AS query, p_partkey % 400 AS n FROM part),
-h AS (SELECT q.query, d.l_suppkey, d.seq FROM d JOIN q USING (n)), r AS (SELECT *, row_number() OVER (PARTITION BY query, l_suppkey ORDER BY seq) AS k FROM h)
-SELECT query, l_suppkey, seq FROM r WHERE k <= 4
+WITH d AS (SELECT o_orderkey AS seq, o_custkey % 25 AS source, CASE o_orderkey % 3 WHEN 0 THEN 'vbpl_' || (o_custkey % 400 + 1) || '-2001-nd-cp.txt' WHEN 1 THEN (o_custkey % 400 + 1) || ' / 2001/ND-CP' ELSE 'Law ' || (o_custkey % 400 + 1) || '-2001/ND of 1999' END AS hay FROM orders),
+f AS (SELECT *, regexp_replace(lower(hay), '[^a-z0-9]+', '', 'g') AS form FROM d), q AS (SELECT p_partkey AS query, (p_partkey % 400 + 1) || '2001nd' AS id FROM part),
+h AS (SELECT q.query, f.source, f.seq FROM f JOIN q ON contains(f.form, q.id)), r AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY seq) AS k FROM h)
+SELECT query, source, seq FROM r WHERE k <= 4
 """)
 def r13_pinned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = lambda c: F.concat((F.col(c) % 400 + 1).cast("string"), F.lit("/2001/NĐ-CP"))
-    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 25).alias("l_suppkey"), number("o_custkey").alias("doc_number"))
-    q = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.concat(F.lit("theo "), number("p_partkey")).alias("question"))
-    return R.pinned_documents(q, d, "question", F.col("doc_number"), "l_suppkey", "seq").select("query", "l_suppkey", "seq")
+    """Numbers in file names, in numbers with more parts, in titles, and inside longer
+    numbers: whatever contains the asked form."""
+    n, k = (F.col("o_custkey") % 400 + 1).cast("string"), F.col("o_orderkey") % 3
+    hay = F.when(k == 0, F.concat(F.lit("vbpl_"), n, F.lit("-2001-nd-cp.txt"))).when(k == 1, F.concat(n, F.lit(" / 2001/ND-CP"))).otherwise(F.concat(F.lit("Law "), n, F.lit("-2001/ND of 1999")))
+    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 25).alias("source"), hay.alias("hay"))
+    q = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.concat(F.lit("theo "), (F.col("p_partkey") % 400 + 1).cast("string"), F.lit("/2001/ND.")).alias("question"))
+    return R.pinned_documents(q, d, "question", F.col("hay"), "source", "seq").select("query", "source", "seq")
 
 
 @Q.add("""
-WITH i AS (SELECT n_nationkey AS query, n_name AS label, unnest([n_nationkey, n_nationkey + 25]) AS a FROM nation),
-h AS (SELECT query, label, p_partkey FROM part JOIN i ON p_size = a WHERE contains(lower(p_type), 'a')), r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY p_partkey) AS k FROM h)
+WITH i AS (SELECT n_nationkey AS query, n_name AS label, unnest([n_nationkey, n_nationkey + 25])::VARCHAR AS a FROM nation),
+p AS (SELECT p_partkey, p_size::VARCHAR AS n, CASE WHEN p_partkey % 5 = 0 THEN 'dieu ' || (p_partkey % 60) || ' cua luat' END AS target, lower(p_type || ' ' || p_brand) AS title FROM part),
+h AS (SELECT DISTINCT query, label, p_partkey FROM p JOIN i ON n = a OR contains(coalesce(target, ''), a) WHERE contains(title, 'anodized') OR contains(title, '#3')),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY p_partkey) AS k FROM h)
 SELECT query, label, p_partkey FROM r WHERE k <= 3
 """)
 def r14_pinned_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferred articles by their number, or inside the article that a chunk changes."""
     k = F.col("n_nationkey")
-    issues = read(spark, sf_dir, "nation").select(k.alias("query"), F.col("n_name").alias("label"), F.array(k.cast("string"), (k + 25).cast("string")).alias("preferred_articles"), F.array(F.lit("a")).alias("hints"))
-    chunks = read(spark, sf_dir, "part").withColumn("article_number", F.col("p_size").cast("string"))
-    return R.pinned_issues(issues, chunks, F.col("p_type"), "p_partkey").select("query", "label", "p_partkey")
-
-
+    issues = read(spark, sf_dir, "nation").select(k.alias("query"), F.col("n_name").alias("label"), F.array(k.cast("string"), (k + 25).cast("string")).alias("preferred_articles"), F.array(F.lit("ANODIZED"), F.lit("#3")).alias("hints"))
+    target = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Điều "), (F.col("p_partkey") % 60).cast("string"), F.lit(" của luật")))
+    chunks = read(spark, sf_dir, "part").withColumns({"article_number": F.col("p_size").cast("string"), "target_article": target})
+    return R.pinned_issues(issues, chunks, F.concat_ws(" ", "p_type", "p_brand"), "p_partkey").select("query", "label", "p_partkey")

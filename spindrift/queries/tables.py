@@ -94,10 +94,10 @@ def x21_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "block_idx", F.col("b.class").alias("class"), F.col("b.text").alias("text"))
 
 
-TITLE = f"CASE WHEN f IS NULL OR f = '' THEN '' WHEN length(f) > 60 THEN rtrim(substring(f, 1, 60)) || '...' ELSE f END"
+TITLE = f"CASE WHEN f IS NULL THEN '{S.UNTITLED}' WHEN length(f) > 60 THEN substring(f, 1, 60) || '...' ELSE f END"
 
 
-@Q.add(f"SELECT conv_id AS session_id, {TITLE} AS title, n AS n_messages FROM (SELECT conv_id, {squeeze('min_by(text, turn) FILTER (role = ' + chr(39) + 'user' + chr(39) + ')')} AS f, count(*)::INTEGER AS n FROM conversations GROUP BY conv_id)")
+@Q.add(f"SELECT conv_id AS session_id, {TITLE} AS title, n AS n_messages FROM (SELECT conv_id, min_by(t, turn) FILTER (role = 'user' AND t <> '') AS f, count(*)::INTEGER AS n FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id)")
 def z01_session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold_sessions(read(spark, sf_dir, "conversations"), "conv_id", "turn").select("session_id", "title", "n_messages")
 
@@ -114,15 +114,15 @@ def z02_recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("SELECT c_custkey AS session_id, c_nationkey < 5 AS pinned, c_acctbal AS updated_at FROM customer WHERE c_mktsegment <> 'MACHINERY' ORDER BY pinned DESC, updated_at DESC, session_id")
 def t11_session_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), (F.col("c_nationkey") < 5).alias("pinned"), F.col("c_acctbal").alias("updated_at"), (F.col("c_mktsegment") == "MACHINERY").alias("archived"))
-    return S.sorted_sessions(c).drop("archived")
+    return S.sorted_sessions(S.visible(c)).drop("archived")
 
 
 @Q.add("""
-SELECT o_orderkey, CASE WHEN o_custkey % 10 <> o_orderkey % 10 THEN (o_orderkey % 10 + 1) || '/2001/QH10' ELSE '' END AS warnings FROM orders
+SELECT o_orderkey, CASE WHEN o_custkey % 10 <> o_orderkey % 10 THEN 'Answer cites a document not present in retrieved sources: ' || (o_orderkey % 10 + 1) || '/2001/nđ-cp' ELSE '' END AS warnings FROM orders
 """)
 def x29_citation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = lambda c: F.concat((F.col(c) % 10 + 1).cast("string"), F.lit("/2001/QH10"))
-    w = S.citation_warnings(F.concat(F.lit("xem "), number("o_orderkey")), F.array(number("o_custkey")))
+    number = lambda c, glue: F.concat((F.col(c) % 10 + 1).cast("string"), F.lit(f"{glue}2001{glue}NĐ-CP"))
+    w = S.citation_warnings(F.concat(F.lit("xem "), number("o_orderkey", " / "), F.lit(" và 5/2001.")), F.array(number("o_custkey", "/")))
     return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(w, ",").alias("warnings"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import hashlib
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..stores import exists, read_text, write_text
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """Strict: a bad line is an error. Else bad lines are dropped, and a missing path
@@ -26,11 +28,6 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return reader.json(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
-
-
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A file that is one array; what follows its first value is passed over."""
     rows = spark.read.text(path, wholetext=True)
@@ -174,8 +171,10 @@ class _Page(InputPartition):
 
 class PagedSource(DataSource):
     """``format("paged")``: a list that is served in pages, read a partition a page.
-    Options: ``pages`` (their number), ``size``, and ``fetch``, the name
-    ``module:function`` of what takes (page, size) and returns rows as dicts."""
+    Options: ``fetch``, the name ``module:function`` of what takes (page, size) and the
+    filters by name, and returns rows as dicts, or them as ``items`` with the ``total``
+    of all pages; ``size``; ``filters``, a JSON object such as types and states; and
+    ``pages``, their number, which else the total decides."""
 
     @classmethod
     def name(cls) -> str:
@@ -188,20 +187,112 @@ class PagedSource(DataSource):
         return _PagedReader(self.options)
 
 
+def named(function: str) -> Callable:
+    import importlib
+
+    module, _, name = function.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.pages, self.size, self.fetch = int(options["pages"]), int(options.get("size", 20)), options["fetch"]
+        self.pages, self.size, self.fetch = int(options.get("pages", -1)), int(options.get("size", 20)), options["fetch"]
+        self.filters = json.loads(options.get("filters") or "{}")
+
+    def _page(self, number: int) -> tuple[list[dict], int | None]:
+        found = named(self.fetch)(number, self.size, **self.filters)
+        return (found["items"], found.get("total")) if isinstance(found, dict) else (found, None)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(n) for n in range(self.pages)]
+        pages = self.pages
+        if pages < 0:
+            rows, total = self._page(0)
+            pages = -(-(len(rows) if total is None else total) // self.size)
+        return [_Page(n) for n in range(pages)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, name = self.fetch.partition(":")
-        for row in getattr(importlib.import_module(module), name)(partition.number, self.size):
+        for row in self._page(partition.number)[0]:
             yield partition.number, json.dumps(row, ensure_ascii=False, sort_keys=True)
 
 
-def unescape(text: str) -> str:
-    return html.unescape(text)
+def details(ids: DataFrame, fetch: str, schema: str, id_col: str = "id") -> DataFrame:
+    """Ids with their ``detail``: ``fetch`` names what takes an id and returns a dict.
+    An id that cannot be fetched fails the job, which may be run again."""
+
+    @F.arrow_udf(T.StringType())
+    def run(given: pa.Array) -> pa.Array:
+        one = named(fetch)
+        return pa.array([None if i is None else json.dumps(one(i), ensure_ascii=False) for i in given.to_pylist()], pa.string())
+
+    return ids.select(id_col, F.from_json(run(F.col(id_col).cast("string")), schema).alias("detail"))
+
+
+def category_ids(names: list[str], fetched: Callable[[], list[dict]], fallback: dict[str, str]) -> dict[str, str]:
+    """Ids of categories by name: as served, else built-in ones; an unknown name is an
+    error."""
+    known = dict(fallback)
+    try:
+        known |= {x["name"]: x["id"] for x in fetched() if x.get("name") and x.get("id")}
+    except OSError:
+        pass  # not served: what is built in stays
+    if missing := [n for n in names if n not in known]:
+        raise ValueError(f"unknown: {', '.join(missing)}")
+    return {n: known[n] for n in names}
+
+
+# --- authored files -----------------------------------------------------------
+
+
+def objects(spark: SparkSession, path: str, what: str) -> list[dict]:
+    """The objects of a file that has to be an array; none if there is no file."""
+    text = read_text(spark, path)
+    if text is None:
+        return []
+    value = json.loads(text)
+    if not isinstance(value, list):
+        raise ValueError(f"{path}: {what} must be a JSON array")
+    return [x for x in value if isinstance(x, dict)]
+
+
+def rules(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Authored issue rules as rows, and a checksum of their file."""
+    found = objects(spark, path, "rules")
+    rows = [tuple(_as(r.get(f.name), f.dataType) for f in RULE) + ("distinguish_from_articles" in r,) for r in found]
+    kind = T.StructType([*RULE, T.StructField("states_distinguish", T.BooleanType())])
+    return spark.createDataFrame(rows, kind), hashlib.sha256((read_text(spark, path) or "").encode()).hexdigest()
+
+
+def _as(value, kind):  # noqa: ANN001, ANN202
+    if isinstance(kind, T.ArrayType):
+        return [str(x) for x in value if str(x).strip()] if isinstance(value, list) else []
+    if isinstance(kind, T.DoubleType):
+        return float(value) if isinstance(value, (int, float)) else None
+    return None if value is None else str(value)
+
+
+RULE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("label", "issue_type", "display_name", "issue_type_name", "description")]
+    + [T.StructField("confidence", T.DoubleType())]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("semantic_queries", "retrieval_queries", "preferred_articles", "distinguish_from_articles", "avoid_articles", "document_title_hints")]
+)
+
+
+def dataset(spark: SparkSession, path: str, sample: list[dict]) -> list[dict]:
+    """Evaluation cases; where there is no file, the sample is written first."""
+    if read_text(spark, path) is None:
+        write_text(spark, path, json.dumps(sample, ensure_ascii=False, indent=2))
+    return objects(spark, path, "cases")
+
+
+def recovered(spark: SparkSession, path: str, default: object) -> object:
+    """The first JSON value of a file, which is written again without what follows it."""
+    text = read_text(spark, path)
+    if text is None:
+        return default
+    try:
+        value, end = json.JSONDecoder().raw_decode(text.lstrip("\ufeff \t\r\n"))
+    except ValueError:
+        return default
+    if text.lstrip("\ufeff \t\r\n")[end:].strip():
+        write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2))
+    return value

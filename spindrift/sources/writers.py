@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import tempfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..stores import stored, write_text
+
+
+#: Columns of exported records, in order.
+CSV_COLUMNS = (
+    "vbpl_id", "title", "doc_number", "doc_type", "agency_name", "issue_date", "effective_from", "effective_to", "effective_status", "majors", "fields", "signer_title", "signer",
+    "organization", "public_date", "updated_date", "source_url", "text_length", "chunk_count", "toc_count", "chunks_file", "text_file", "html_file", "toc_file",
+)
+
 
 def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns in order, those missing empty, lists joined by `` | ``."""
@@ -20,8 +33,14 @@ def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*map(one, columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    csv_columns(df, columns).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, bom: bool = True) -> None:
+    """Records as CSV; a byte order mark begins each file, as the header's first name
+    has it. No rows give no lines."""
+    columns = columns or list(CSV_COLUMNS)
+    out = csv_columns(df, columns)
+    if bom:
+        out = out.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    out.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, append: bool = False, by: list[str] | None = None) -> None:
@@ -40,6 +59,39 @@ def rewrite_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def rewrite_existing(df: DataFrame, path: str, by: str, backup: str | None = None) -> None:
+    """As rewrite_partitions(), of partitions that the table has; with a copy of what
+    they were, if asked for."""
+    old = df.sparkSession.read.parquet(path)
+    have = df.join(old.select(by).distinct(), by, "left_semi")
+    if backup:
+        old.join(df.select(by).distinct(), by, "left_semi").write.mode("overwrite").partitionBy(by).parquet(backup)
+    staged, _ = stored(have, "rewritten")
+    rewrite_partitions(staged, path, by)
+
+
+def write_corpus(documents: DataFrame, chunks: DataFrame, path: str, **about: str) -> None:
+    """A corpus whole: documents and chunks as lines of JSON, and a manifest of their
+    numbers, which is written last."""
+    write_json(documents, f"{path}/documents")
+    write_json(chunks, f"{path}/all_chunks")
+    spark = documents.sparkSession
+    counts = {"documents": spark.read.text(f"{path}/documents").count(), "chunks": spark.read.text(f"{path}/all_chunks").count()}
+    write_text(spark, f"{path}/manifest.json", json.dumps(about | counts, ensure_ascii=False, indent=2))
+
+
+def write_archive(spark: SparkSession, folder: str, target: str) -> None:
+    """The files below a folder as one zip file, put together on the driver one file
+    at a time: for exports, not for data at large."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").orderBy("path")
+    with tempfile.TemporaryDirectory() as d:
+        with zipfile.ZipFile(f"{d}/out.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for r in files.toLocalIterator():
+                z.writestr(r["path"].partition(folder.partition("://")[2] or folder)[2].lstrip("/") or r["path"].rpartition("/")[2], bytes(r["content"]))
+        p = spark._jvm.org.apache.hadoop.fs.Path
+        p(target).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(p(f"file://{d}/out.zip"), p(target))
+
+
 def write_postings(df: DataFrame, table: str, buckets: int = 64) -> None:
     """Bucketed and sorted by term: questions then meet them without a shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
@@ -58,6 +110,7 @@ def manifest(df: DataFrame, **fields: str | int) -> DataFrame:
 
 
 def answer_stream(df: DataFrame):  # noqa: ANN201
-    """Lines of JSON, one row at a time, without holding the result."""
+    """Lines of JSON, one row at a time through the driver, for an answer that is read
+    as it comes; tables are written by the writers above."""
     for row in df.toJSON().toLocalIterator():
         yield row + "\n"

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.chunking import Sizes, split
-from ..sources.readers import exists
+from ..stores import exists
 
 PARTS = 32
 
