@@ -26,11 +26,11 @@ first n - ceil(SIMILAR n) + 1 shingles of each agree in any order common to all,
 these shingles are shuffled and every candidate lies in one of their buckets. The
 order only decides the work: shingles frequent in a sample come last. Candidates
 whose shingles, counted modulo two in bins, differ too often to be similar are left
-out, and all others are compared by whole texts: in some rounds each bucket's members
-with one of them, another in every round, then all pairs that the links so far have
-not joined. Rounds with one member are joins, which adaptive execution splits where
-a bucket is hot; so are all pairs of a bucket over ``HOT`` rows, others are paired in
-a task that holds them.
+out, and all others are compared by whole texts. Buckets stream through their task in
+order. One of up to ``SMALL`` texts gives all its pairs at once. Of a larger one each
+text meets three of its first, a round each, and then those that the links so far
+have not joined with it: in a task that holds the bucket, or by joins that adaptive
+execution splits if it has over ``HOT`` rows.
 """
 
 from __future__ import annotations
@@ -61,14 +61,14 @@ CHUNK = 200_000
 #: Trial searches in a large shard, and from which size on.
 TRIALS, LARGE = 48, 512
 #: Most (query, node) pairs held at once.
-FRONTIER = 4_000_000
+FRONTIER = 1_000_000
 #: Words of a shingle of the pipeline stage, and its least similarity.
 WORDS, SIMILAR = 5, 0.8
 #: One text in SAMPLED is asked for frequent shingles; most of those that are held.
 SAMPLED, FREQUENT = 16, 50_000
-#: Rounds in which a bucket's members meet one of them; rows of a bucket that no
-#: task holds whole.
-ROUNDS, HOT = 3, 50_000
+#: Most texts of a bucket that gives all its pairs at once; rounds in which a larger
+#: one's members meet one of them; rows of a bucket that no task holds whole.
+SMALL, ROUNDS, HOT = 24, 3, 50_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -378,14 +378,13 @@ def needed(n: int) -> int:
     return math.ceil(SIMILAR * n - 1e-9)
 
 
-#: A row of a bucket: shingle, text, its number of shingles, the place of this one
-#: among them, and its sketch.
-BUCKET = ["token", "node", "n", "at", "sketch"]
+#: A row of a bucket: shingle, text, its number of shingles, the place of this one.
+BUCKET = ["token", "node", "n", "at"]
 
 
 def _starts(frequent: np.ndarray | None):  # noqa: ANN202
-    """(token, node, n, at, sketch) of the first shingles of each text; of all without
-    an order. sketch: of 64 bins, those with an odd number of its shingles."""
+    """(token, node, n, at) of the first shingles of each text; of all without an
+    order."""
     order = None if frequent is None else np.sort(frequent[:, 0])
     weight = None if frequent is None else frequent[np.argsort(frequent[:, 0]), 1]
 
@@ -406,15 +405,13 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
                 seen.add(node)
                 tokens = shingle_set(text)
                 n = len(tokens)
-                odd = np.bincount(tokens & 63, minlength=64) & 1
-                sketch = int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
                 if order is not None and n:
                     if len(order):
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
                         tokens = tokens[np.argsort(np.where(order[at] == tokens, weight[at], 0), kind="stable")]
                     tokens = tokens[: n - needed(n) + 1]
                 k = len(tokens)
-                held.append(np.stack([tokens, np.full(k, node), np.full(k, n), np.arange(k), np.full(k, sketch)], axis=1))
+                held.append(np.stack([tokens, np.full(k, node), np.full(k, n), np.arange(k)], axis=1))
                 size += k
                 if size > CHUNK // 4:
                     yield batch(held)
@@ -440,28 +437,102 @@ def _whole(batches, width: int):  # noqa: ANN001, ANN202
     yield np.concatenate(held) if held else np.empty((0, width), np.int64)
 
 
-def _shared_batches(batches):  # noqa: ANN001, ANN202
-    """Buckets of at least two texts, each text once."""
-    for rows in _whole(batches, len(BUCKET)):
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
-        rows = rows[np.r_[True, ~same]] if len(rows) else rows
-        near = rows[1:, 0] == rows[:-1, 0]
-        rows = rows[np.r_[near, False] | np.r_[False, near]] if len(rows) else rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
+class Buckets:
+    """Takes up rows in order of (token, node) and gives, row by row: pairs of small
+    buckets as (null, a, .., b), and rows of larger ones with the texts that they are
+    to meet, null where these cannot be similar."""
+
+    names = [*BUCKET, *(f"p{k}" for k in range(ROUNDS))]
+
+    def __init__(self) -> None:
+        self.held = np.empty((0, 4), np.int64)
+        #: the bucket that goes on, if it is a large one: its first rows, its last text
+        self.pivots: np.ndarray | None = None
+        self.last = 0
+
+    def take(self, rows: np.ndarray, last: bool = False):  # noqa: ANN201
+        """Batches of all that is known to be complete."""
+        rows = np.concatenate([self.held, rows])
+        if len(rows):
+            same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
+            rows = rows[np.r_[True, ~same]]  # copies of a text
+        if self.pivots is not None:
+            more = int(np.searchsorted(rows[:, 0] != self.pivots[0, 0], True)) if len(rows) else 0
+            fresh = rows[:more][rows[:more, 1] > self.last]
+            self.last = int(fresh[-1, 1]) if len(fresh) else self.last
+            yield self._large(fresh, np.broadcast_to(self.pivots, (len(fresh), *self.pivots.shape)))
+            rows = rows[more:]
+            if len(rows) or last:
+                self.pivots = None
+        if not len(rows):
+            self.held = rows
+            return
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        cut = len(rows) if last else int(starts[-1])
+        if not last and sizes[-1] > SMALL:
+            cut = len(rows)
+            self.pivots, self.last = rows[starts[-1] : starts[-1] + ROUNDS].copy(), int(rows[-1, 1])
+        self.held = rows[cut:].copy()
+        whole = starts < cut
+        starts, sizes = starts[whole], sizes[whole]
+        rows = rows[:cut]
+        owner = np.repeat(np.arange(len(starts)), sizes)
+        large = (sizes > SMALL)[owner]
+        if large.any():
+            firsts = rows[np.minimum(starts[:, None] + np.arange(ROUNDS), len(rows) - 1)]
+            yield self._large(rows[large], firsts[owner[large]])
+        small = np.flatnonzero(~large & (sizes > 1)[owner])
+        ends = (starts + sizes)[owner]
+        found = []
+        for step in range(1, SMALL):
+            small = small[small + step < ends[small]]
+            if not len(small):
+                break
+            x, y = rows[small], rows[small + step]
+            ok = enough_left(x, y)
+            found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0].copy()), none, none, pa.array(pairs[:, 1].copy()), *[none] * (ROUNDS - 1)], self.names)
+
+    def _large(self, rows: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+        """pivots: [row, place, column]."""
+        meet = []
+        for k in range(ROUNDS):
+            y = pivots[:, k] if k < pivots.shape[1] else rows
+            bad = (rows[:, 1] == y[:, 1]) | (rows[:, 0] != y[:, 0]) | ~enough_left(rows, y)
+            meet.append(pa.array(np.ascontiguousarray(y[:, 1]), mask=bad))
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T], *meet], self.names)
+
+
+def _bucket_batches(batches):  # noqa: ANN001, ANN202
+    state, held, size = Buckets(), [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            size += batch.num_rows
+        if size >= CHUNK // 2:
+            yield from state.take(np.concatenate(held))
+            held, size = [], 0
+    yield from state.take(np.concatenate(held) if held else np.empty((0, 4), np.int64), last=True)
+
+
+def enough_left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows (token, node, n, at) of one bucket: enough shingles are left to be
+    similar, if this is the first that both share."""
+    left = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
+    return left >= SIMILAR / (1 + SIMILAR) * (x[:, 2] + y[:, 2]) - 1e-9
 
 
 def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For rows (token, node, n, at, sketch, group) of one bucket: not yet linked,
-    enough shingles left if this is the first that both share, and sketches that do
-    not differ in more bins than similar texts differ in shingles."""
-    total, left = x[:, 2] + y[:, 2], np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
-    near = np.bitwise_count((x[:, 4] ^ y[:, 4]).view(np.uint64)) <= (1 - SIMILAR) / (1 + SIMILAR) * total + 1e-9
-    return (x[:, 5] != y[:, 5]) & near & (left >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
+    """For rows (token, node, n, at, group): not linked yet either."""
+    return (x[:, 4] != y[:, 4]) & enough_left(x, y)
 
 
 def _pairs(batches):  # noqa: ANN001, ANN202
-    """All candidates (a, b), a < b, of buckets (token, node, n, at, sketch, group)."""
+    """All candidates (a, b), a < b, of buckets (token, node, n, at, group)."""
 
     def out(found: list[np.ndarray]):  # noqa: ANN202
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -488,10 +559,9 @@ def _pairs(batches):  # noqa: ANN001, ANN202
 
 
 def left_over() -> Column:
-    """As may_be_similar(), of a bucket's row and another one (node2, n2, ...)."""
+    """As enough_left(), of a bucket's row and another one (node2, n2, at2)."""
     total, left = F.col("n") + F.col("n2"), F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= total * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
-    return (F.col("node") != F.col("node2")) & near & (left >= total * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    return (F.col("node") != F.col("node2")) & (left >= total * (SIMILAR / (1 + SIMILAR)) - 1e-9)
 
 
 def second(*more: str) -> list[Column]:
@@ -499,19 +569,16 @@ def second(*more: str) -> list[Column]:
 
 
 def star_pairs(buckets: DataFrame, order: int) -> DataFrame:
-    """(a, b), a < b: each bucket's members with one of them, in the first round the
-    same for as many buckets as may be, then one that differs by bucket and order."""
-    first = F.col("node") if not order else F.xxhash64("token", "node", F.lit(order))
-    chosen = buckets.groupBy("token").agg(F.min(F.struct(first.alias("o"), *BUCKET[1:])).alias("p")).select("token", "p.*").drop("o")
-    chosen = materialise(chosen.select("token", *second()), "pivots")
-    pairs = materialise(buckets.join(chosen, "token").where(left_over()).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "stars")
-    discard(chosen)
-    return pairs
+    """(a, b), a < b: members of large buckets with one of them; in the first round
+    all pairs of small buckets as well."""
+    other = F.col(f"p{order}")
+    some = buckets.where(other.isNotNull() & ((F.lit(order) == 0) | F.col("token").isNotNull()))
+    return some.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
 def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
-    """(a, b), a < b: all candidates of a bucket that are in different groups."""
-    dealt = materialise(buckets.join(group, "node").select(*BUCKET, "group"), "dealt")
+    """(a, b), a < b: all candidates of a large bucket that are in different groups."""
+    dealt = materialise(buckets.where("token IS NOT NULL").join(group, "node").select(*BUCKET, "group"), "dealt")
     counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"))
     several = materialise(counted.where("groups > 1").select("token", "major", "rows"), "several")
     few = dealt.join(several.where(F.col("rows") <= hot).select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
@@ -539,14 +606,14 @@ def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def similar_buckets(numbered: DataFrame) -> DataFrame:
-    """Rows of buckets: the first shingles that two texts at least share."""
+    """What Buckets gives for the first shingles that two texts at least share."""
     texts = numbered.select("node", "text")
     form = ", ".join(f"{c} long" for c in BUCKET)
     asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
     counts = asked.groupBy("token").agg(F.count("*").alias("c")).where("c >= 4").orderBy(F.desc("c"), "token").limit(FREQUENT)
     frequent = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
-    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token").sortWithinPartitions("token")
-    return materialise(dealt.mapInArrow(_shared_batches, form), "buckets")
+    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token").sortWithinPartitions("token", "node")
+    return materialise(dealt.mapInArrow(_bucket_batches, ", ".join(f"{c} long" for c in Buckets.names)), "buckets")
 
 
 def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> DataFrame:
@@ -554,7 +621,8 @@ def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> Data
     are joined. numbered: text, fp, node, odd, row."""
     buckets = similar_buckets(numbered)
     nodes = numbered.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("odd").alias("odd"))
-    nodes = materialise(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
+    used = buckets.select("node").unionByName(buckets.where("token IS NULL").select(F.col("p0").alias("node"))).distinct()
+    nodes = materialise(nodes.join(used, "node", "left_semi"), "nodes")
     for order in [*range(ROUNDS), None]:
         labels = components(edges)
         known = labels.select(F.col("node").alias("fp"), "label")
@@ -570,7 +638,7 @@ def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> Data
         two = texts.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("tb"))
         new = asked.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
         more = materialise(edges.unionByName(new), "edges")
-        discard(labels, group, pairs, asked, rows, texts, edges)
+        discard(labels, group, pairs if order is None else None, asked, rows, texts, edges)
         edges = more
     discard(buckets, nodes)
     return edges
