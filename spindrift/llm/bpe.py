@@ -71,6 +71,7 @@ class Vocabulary:
                 inside[b[:-1], b[1:]] = True
         #: [a, b]: the pair never occurs inside a token
         self.forced = ~inside
+        self._forced = self.forced.astype(np.uint8).tobytes()
         ids = {t: i for i, t in self.tokens.items()}
         # ranks are the order of merges: the single bytes, then each merge's product
         single = sorted((bytes([b]) for b in range(256)), key=ids.__getitem__)
@@ -82,6 +83,8 @@ class Vocabulary:
         self._ordinary, self._single = coder._core_bpe.encode_ordinary, coder._core_bpe.encode_single_piece
         self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # parts that are left to the library: other white space, special tokens
+        self._other = re.compile("|".join([_ODD.pattern, *map(re.escape, special)]))
         # characters whose last byte does occur before a space or a line feed inside a token
         kept = {b for b in range(256) if not (self.forced[b, 32] and self.forced[b, 10])}
         ascii_kept = {b for b in kept if b < 128}
@@ -112,15 +115,18 @@ class Vocabulary:
 
     def forced_parts(self, piece: bytes) -> list[bytes]:
         """A pre-token, cut at every byte pair that is inside no token."""
-        b = np.frombuffer(piece, np.uint8)
-        cuts = np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1
-        return [piece[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)])]
+        table = self._forced
+        cuts = [k for k, (a, b) in enumerate(zip(piece, piece[1:]), 1) if table[a << 8 | b]]
+        return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of a part, its pre-tokens cut at their forced boundaries."""
-        if _ODD.search(part) or (self._split and self._split.search(part)):
+        if self._other.search(part):
             return self.encode_whole(part)
-        ranks = [r for piece in self._pieces(part) for x in self.forced_parts(piece.encode()) for r in self._single(x)]
+        single, ranks = self._single, []
+        for piece in self._pieces(part):
+            for x in self.forced_parts(piece.encode()):
+                ranks += single(x)
         return ranks if self._ids is None else [self._ids[r] for r in ranks]
 
     def fragments(self, text: str) -> list[str]:
