@@ -53,8 +53,12 @@ def discard(*written: DataFrame | None) -> None:
     for df in written:
         path = getattr(df, "written_to", None)
         if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

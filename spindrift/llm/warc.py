@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import detached, materialise, shared_path, table
+from .common import detached, materialise, remove, shared_path, table
 
 END = "\r\n\r\n"
 #: Records of an archive file at most, and bytes of their payloads: files are read
@@ -207,7 +207,9 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     # taken apart once: requests, answers and metadata are then read by their columns
-    captures = assemble(materialise(read_archives(spark, path), "records"))
+    found = materialise(read_archives(spark, path), "records")
+    remove(spark, path)  # what was in the archives has been read back
+    captures = assemble(found)
     r = F.col("response")
     page = F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d+)", 1)
     return captures.select(
