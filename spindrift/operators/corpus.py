@@ -194,6 +194,12 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def scannable(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Files (path, length) that are looked through for pins: all, unless a greatest
+    length is given."""
+    return files if most is None else files.where(F.col("length") <= most)
+
+
 def checksum(files: DataFrame) -> DataFrame:
     """(path, sha256) of files read as binaryFile."""
     return files.select("path", F.sha2("content", 256).alias("sha256"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..stores import home
+from ..streaming.events import windowed
 from .base import Registry, read
 
 Q = Registry()
@@ -56,3 +60,15 @@ def x_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@Q.add(Q.sql["x_tumbling_windows"])
+def x_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from a stream that takes up what is there and ends."""
+    path = f"{home(spark)}/windows-{uuid.uuid4().hex}"
+    kind = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")
+    windowed(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

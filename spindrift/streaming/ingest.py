@@ -7,15 +7,19 @@ a hash of the source, and a batch rewrites the partitions it touches.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.chunking import Sizes, split
-from ..stores import exists
+from ..stores import exists, remove
 
-PARTS = 32
+#: Parts that a new table is dealt into; a part is what a batch rewrites, so a table
+#: that grows large wants more of them.
+PARTS = 256
 
 
 def chunk_batch(files: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
@@ -31,12 +35,14 @@ def replace_sources(spark: SparkSession, table: str, new: DataFrame) -> None:
         if exists(spark, table):
             old = spark.read.parquet(table).join(new.select("part").distinct(), "part", "left_semi").join(new.select("source_file").distinct(), "source_file", "left_anti")
             new_all = old.unionByName(new, allowMissingColumns=True)
-            staged = f"{table.rstrip('/')}__staged"
-            new_all.write.mode("overwrite").parquet(staged)  # the table cannot be read and overwritten at once
+            staged = f"{table.rstrip('/')}__{uuid.uuid4().hex}"
+            new_all.write.parquet(staged)  # the table cannot be read and overwritten at once
             new_all = spark.read.parquet(staged)
         else:
-            new_all = new
+            staged, new_all = None, new
         new_all.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
+        if staged:
+            remove(spark, staged)
     finally:
         new.unpersist()
 

@@ -367,3 +367,22 @@ def test_engine(spark, tmp_path):
     assert e.chunks.read().where("text LIKE '%sửa%'").count() == 1
     e.delete_processed(["u1"])
     assert e.chunks.read().count() == 2 and e.processed().count() == 0
+
+
+def test_entry_passes_over_removed_modules_alone(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    def missing(name):
+        def load(asked, *more):
+            raise ModuleNotFoundError(f"no {name}", name=name)
+
+        return load
+
+    monkeypatch.setattr(importlib, "import_module", missing("spindrift.llm"))
+    assert entry._found("spindrift.llm") is None and entry._found("corpus_pipeline") is None
+    monkeypatch.setattr(importlib, "import_module", missing("some_library"))
+    for name in ("spindrift.llm", "corpus_pipeline"):
+        with pytest.raises(ModuleNotFoundError):
+            entry._found(name)
