@@ -92,6 +92,11 @@ def audit(rules: DataFrame, chunks: DataFrame, examples: int = 3) -> DataFrame:
     )
 
 
+def audit_totals(audited: DataFrame) -> DataFrame:
+    """One row: how many articles of rules were looked for, found, and missing."""
+    return audited.agg(F.count("*").alias("checks"), F.count_if(F.col("matched") > 0).alias("found"), F.count_if(F.col("matched") == 0).alias("missing"))
+
+
 def flatten_hierarchy(nodes: DataFrame) -> DataFrame:
     """Nodes (id, parent_id, title) of trees with depth and path, however deep: level
     by level, each written before the next is joined to it."""
