@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import legal as G
@@ -27,11 +29,14 @@ Q = Registry()
 STRIP = "regexp_replace(coalesce({}, ''), '^\\s+|\\s+$', '', 'g')"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing is at."""
+    return f"{home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, fmt: str = "json") -> str:
     """A table written below the shared folder, for a reader to read."""
-    import uuid
-
-    path = f"{home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.format(fmt).save(path)
     return path
 
@@ -56,7 +61,7 @@ def s01_strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.readers import json_lines
 
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    path = f"{home(spark)}/strict-{id(d)}-{abs(hash(sf_dir))}"
+    path = fresh(spark, "strict")
     W.write_json(d.where("doc_id % 2 = 0"), path)
     W.write_json(d.where("doc_id % 2 <> 0"), path, append=True)
     return json_lines(spark, path, "doc_id long, text string, source string")
@@ -66,7 +71,7 @@ def s01_strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k06_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by a key, and those of touched keys written anew."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    path = f"{home(spark)}/parts-{id(d)}"
+    path = fresh(spark, "parts")
     W.rewrite_partitions(d, path, "source")
     W.rewrite_existing(d.where("doc_id % 50 = 1").withColumn("doc_id", -F.col("doc_id")), path, "source")
     return spark.read.schema("doc_id long, source string").parquet(path)
@@ -98,7 +103,7 @@ def k16_job_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k20_checked_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata written anew, and its number of rows held against that of vectors."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    path = f"{home(spark)}/metadata-{id(d)}"
+    path = fresh(spark, "metadata")
     W.write_checked(d, path, d.count())
     return spark.read.parquet(path)
 

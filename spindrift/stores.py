@@ -79,7 +79,7 @@ def kept(spark: SparkSession, name: str, make: Callable[[], dict[str, DataFrame]
     are written then. A file that is written last says that they are whole."""
     base = f"{home(spark)}/{name}"
     done = read_text(spark, f"{base}.done")
-    if done is None:
+    if done is None or not exists(spark, json.loads(done)["path"]):
         made, path = make(), f"{base}-{uuid.uuid4().hex}"
         for key, df in made.items():
             df.write.parquet(f"{path}/{key}")
