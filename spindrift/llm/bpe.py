@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Most fragments a worker remembers.
-MEMORY = 200_000
+MEMORY = 500_000
 #: Ids that are decoded at a time.
 BLOCK = 100_000
 #: White space in the widest sense of any library; a cut follows none of it.

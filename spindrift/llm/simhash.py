@@ -27,10 +27,10 @@ these shingles are shuffled and every candidate lies in one of their buckets. Th
 order only decides the work: shingles frequent in a sample come last. Candidates
 whose shingles, counted modulo two in bins, differ too often to be similar are left
 out, and all others are compared by whole texts. Buckets stream through their task in
-order. One of up to ``SMALL`` texts gives all its pairs at once. Of a larger one each
-text meets three of its first, a round each, and then those that the links so far
-have not joined with it: in a task that holds the bucket, or by joins that adaptive
-execution splits if it has over ``HOT`` rows.
+an order that differs by bucket. One of up to ``SMALL`` texts gives all its pairs at
+once. Of a larger one each text meets its first, then the next few, then those that
+the links so far have not joined with it: in a task that holds the bucket, or by joins
+that adaptive execution splits if it has over ``HOT`` rows.
 """
 
 from __future__ import annotations
@@ -66,9 +66,12 @@ FRONTIER = 1_000_000
 WORDS, SIMILAR = 5, 0.8
 #: One text in SAMPLED is asked for frequent shingles; most of those that are held.
 SAMPLED, FREQUENT = 16, 50_000
-#: Most texts of a bucket that gives all its pairs at once; rounds in which a larger
-#: one's members meet one of them; rows of a bucket that no task holds whole.
-SMALL, ROUNDS, HOT = 24, 3, 50_000
+#: Most texts of a bucket that gives all its pairs at once; the first of a larger one
+#: that its others meet, and the rounds of that; rows of a bucket that no task holds
+#: whole.
+SMALL, FIRST, ROUNDS, HOT = 24, 6, ((0,), (1, 2, 3, 4, 5)), 50_000
+#: Most rows whose numbers are broadcast (as longs: 32 MB) to the table of texts.
+FEW = 2_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -421,31 +424,16 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
     return run
 
 
-def _whole(batches, width: int):  # noqa: ANN001, ANN202
-    """Runs of rows with whole buckets, which arrive in order of their first column."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-        if sum(map(len, held)) >= CHUNK:
-            rows = np.concatenate(held)
-            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield rows[:cut]
-            held = [rows[cut:]]
-    yield np.concatenate(held) if held else np.empty((0, width), np.int64)
-
-
 class Buckets:
-    """Takes up rows in order of (token, node) and gives, row by row: pairs of small
-    buckets as (null, a, .., b), and rows of larger ones with the texts that they are
-    to meet, null where these cannot be similar."""
+    """Takes up rows (token, node, n, at, place) in order of token and place, equal
+    for copies alone, and gives, row by row: pairs of small buckets as (null, a, .., b),
+    and rows of larger ones with the texts that they are to meet, null where these
+    cannot be similar."""
 
-    names = [*BUCKET, *(f"p{k}" for k in range(ROUNDS))]
+    names = [*BUCKET, *(f"p{k}" for k in range(FIRST))]
 
     def __init__(self) -> None:
-        self.held = np.empty((0, 4), np.int64)
+        self.held = np.empty((0, 5), np.int64)
         #: the bucket that goes on, if it is a large one: its first rows, its last text
         self.pivots: np.ndarray | None = None
         self.last = 0
@@ -458,8 +446,8 @@ class Buckets:
             rows = rows[np.r_[True, ~same]]  # copies of a text
         if self.pivots is not None:
             more = int(np.searchsorted(rows[:, 0] != self.pivots[0, 0], True)) if len(rows) else 0
-            fresh = rows[:more][rows[:more, 1] > self.last]
-            self.last = int(fresh[-1, 1]) if len(fresh) else self.last
+            fresh = rows[:more][rows[:more, 4] > self.last]
+            self.last = int(fresh[-1, 4]) if len(fresh) else self.last
             yield self._large(fresh, np.broadcast_to(self.pivots, (len(fresh), *self.pivots.shape)))
             rows = rows[more:]
             if len(rows) or last:
@@ -472,7 +460,7 @@ class Buckets:
         cut = len(rows) if last else int(starts[-1])
         if not last and sizes[-1] > SMALL:
             cut = len(rows)
-            self.pivots, self.last = rows[starts[-1] : starts[-1] + ROUNDS].copy(), int(rows[-1, 1])
+            self.pivots, self.last = rows[starts[-1] : starts[-1] + FIRST].copy(), int(rows[-1, 4])
         self.held = rows[cut:].copy()
         whole = starts < cut
         starts, sizes = starts[whole], sizes[whole]
@@ -480,7 +468,7 @@ class Buckets:
         owner = np.repeat(np.arange(len(starts)), sizes)
         large = (sizes > SMALL)[owner]
         if large.any():
-            firsts = rows[np.minimum(starts[:, None] + np.arange(ROUNDS), len(rows) - 1)]
+            firsts = rows[np.minimum(starts[:, None] + np.arange(FIRST), len(rows) - 1)]
             yield self._large(rows[large], firsts[owner[large]])
         small = np.flatnonzero(~large & (sizes > 1)[owner])
         ends = (starts + sizes)[owner]
@@ -495,16 +483,16 @@ class Buckets:
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0].copy()), none, none, pa.array(pairs[:, 1].copy()), *[none] * (ROUNDS - 1)], self.names)
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0].copy()), none, none, pa.array(pairs[:, 1].copy()), *[none] * (FIRST - 1)], self.names)
 
     def _large(self, rows: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
         """pivots: [row, place, column]."""
         meet = []
-        for k in range(ROUNDS):
+        for k in range(FIRST):
             y = pivots[:, k] if k < pivots.shape[1] else rows
             bad = (rows[:, 1] == y[:, 1]) | (rows[:, 0] != y[:, 0]) | ~enough_left(rows, y)
             meet.append(pa.array(np.ascontiguousarray(y[:, 1]), mask=bad))
-        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T], *meet], self.names)
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T[:4]], *meet], self.names)
 
 
 def _bucket_batches(batches):  # noqa: ANN001, ANN202
@@ -516,7 +504,7 @@ def _bucket_batches(batches):  # noqa: ANN001, ANN202
         if size >= CHUNK // 2:
             yield from state.take(np.concatenate(held))
             held, size = [], 0
-    yield from state.take(np.concatenate(held) if held else np.empty((0, 4), np.int64), last=True)
+    yield from state.take(np.concatenate(held) if held else np.empty((0, 5), np.int64), last=True)
 
 
 def enough_left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -532,15 +520,20 @@ def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches):  # noqa: ANN001, ANN202
-    """All candidates (a, b), a < b, of buckets (token, node, n, at, group)."""
-
-    def out(found: list[np.ndarray]):  # noqa: ANN202
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
-
-    for rows in _whole(batches, len(BUCKET) + 1):
+    """Candidates (a, b), a < b, of buckets (token, node, n, at, group, odd): all pairs
+    whose parities allow that they are similar."""
+
+    def out(found: list[np.ndarray], odds: np.ndarray, rows: np.ndarray):  # noqa: ANN202
+        at = np.concatenate(found)
+        nodes = np.sort(rows[at, 1], axis=1)
+        _, once = np.unique(nodes, axis=0, return_index=True)
+        good = [k for k in once.tolist() if parities_allow(odds[at[k, 0]], odds[at[k, 1]])]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in nodes[good].T], ["a", "b"])
+
+    def run(rows: np.ndarray, odds: np.ndarray):  # noqa: ANN202
+        order = np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))
+        rows, odds = rows[order], odds[order]
         found, held = [np.empty((0, 2), np.int64)], 0
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
         at, step = np.arange(len(rows)), 0
         while len(at):
             step += 1
@@ -550,12 +543,26 @@ def _pairs(batches):  # noqa: ANN001, ANN202
             on = (x[:, 0] == y[:, 0]) & (x[:, 2] >= SIMILAR * y[:, 2] - 1e-9)
             at, x, y = at[on], x[on], y[on]
             ok = may_be_similar(x, y)
-            found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1))
+            found.append(np.stack([at[ok], at[ok] + step], axis=1))
             held += int(ok.sum())
             if held > CHUNK:
-                yield out(found)
+                yield out(found, odds, rows)
                 found, held = [np.empty((0, 2), np.int64)], 0
-        yield out(found)
+        yield out(found, odds, rows)
+
+    kept, parities = np.empty((0, 5), np.int64), np.empty(0, object)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)])
+        parities = np.concatenate([parities, np.array([None, *batch.columns[5].to_pylist()], object)[1:]])
+        last = np.flatnonzero(kept[:, 0] != kept[-1, 0]) if len(kept) >= CHUNK // 4 else []
+        if len(last):  # whole buckets, which arrive in order
+            cut = int(last[-1]) + 1
+            yield from run(kept[:cut], parities[:cut])
+            kept, parities = kept[cut:], parities[cut:]
+    if len(kept):
+        yield from run(kept, parities)
 
 
 def left_over() -> Column:
@@ -568,17 +575,18 @@ def second(*more: str) -> list[Column]:
     return [F.col(c).alias(f"{c}2") for c in (*BUCKET[1:], *more)]
 
 
-def star_pairs(buckets: DataFrame, order: int) -> DataFrame:
-    """(a, b), a < b: members of large buckets with one of them; in the first round
-    all pairs of small buckets as well."""
-    other = F.col(f"p{order}")
-    some = buckets.where(other.isNotNull() & ((F.lit(order) == 0) | F.col("token").isNotNull()))
-    return some.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+def star_pairs(buckets: DataFrame, places: tuple[int, ...]) -> DataFrame:
+    """(a, b), a < b: members of large buckets with those at some of the first places;
+    with the very first, all pairs of small buckets as well."""
+    some = buckets if 0 in places else buckets.where("token IS NOT NULL")
+    met = some.select("node", F.explode(F.array_compact(F.array(*[f"p{k}" for k in places]))).alias("other"))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
-    """(a, b), a < b: all candidates of a large bucket that are in different groups."""
-    dealt = materialise(buckets.where("token IS NOT NULL").join(group, "node").select(*BUCKET, "group"), "dealt")
+    """(a, b), a < b: all candidates of a large bucket that are in different groups.
+    group: (node, group, odd)."""
+    dealt = materialise(buckets.where("token IS NOT NULL").join(group, "node").select(*BUCKET, "group", "odd"), "dealt")
     counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"))
     several = materialise(counted.where("groups > 1").select("token", "major", "rows"), "several")
     few = dealt.join(several.where(F.col("rows") <= hot).select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
@@ -586,8 +594,9 @@ def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
     large = several.where(F.col("rows") > hot)
     if not large.isEmpty():
         # of two groups, one is not the bucket's largest
-        minor = materialise(dealt.join(large, "token").where(F.col("group") != F.col("major")).select("token", *second("group")), "minor")
+        minor = materialise(dealt.join(large, "token").where(F.col("group") != F.col("major")).select("token", *second("group", "odd")), "minor")
         more = dealt.join(minor, "token").where((F.col("group") != F.col("group2")) & left_over())
+        more = more.where(parities_udf("odd", "odd2"))
         pairs = pairs.unionByName(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
     out = materialise(pairs, "pairs")
     discard(dealt, several)
@@ -612,10 +621,17 @@ def similar_buckets(numbered: DataFrame) -> DataFrame:
     asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
     counts = asked.groupBy("token").agg(F.count("*").alias("c")).where("c >= 4").orderBy(F.desc("c"), "token").limit(FREQUENT)
     frequent = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
-    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token").sortWithinPartitions("token", "node")
+    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token")
+    dealt = dealt.withColumn("place", F.xxhash64("token", "node")).sortWithinPartitions("token", "place")
     return materialise(dealt.mapInArrow(_bucket_batches, ", ".join(f"{c} long" for c in Buckets.names)), "buckets")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows, marked for broadcast if they are at most FEW, as counted. Else
+    their join with texts has exchanges on both sides."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> DataFrame:
     """``edges`` and further links (a, b) of fingerprints, by which all similar texts
     are joined. numbered: text, fp, node, odd, row."""
@@ -623,22 +639,22 @@ def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> Data
     nodes = numbered.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("odd").alias("odd"))
     used = buckets.select("node").unionByName(buckets.where("token IS NULL").select(F.col("p0").alias("node"))).distinct()
     nodes = materialise(nodes.join(used, "node", "left_semi"), "nodes")
-    for order in [*range(ROUNDS), None]:
+    for places in [*ROUNDS, None]:
         labels = components(edges)
         known = labels.select(F.col("node").alias("fp"), "label")
         group = materialise(nodes.select("node", "fp", "odd").join(known, "fp", "left").select("node", "odd", F.coalesce("label", "fp").alias("group")), "groups")
-        pairs = all_pairs(buckets, group.select("node", "group"), hot) if order is None else star_pairs(buckets, order)
+        pairs = all_pairs(buckets, group, hot) if places is None else star_pairs(buckets, places)
         one, two = (group.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
         open_ = pairs.join(one, "a").join(two, "b").where(F.col("ga") != F.col("gb"))
         asked = materialise(open_.where(parities_udf("oa", "ob")).select("a", "b"), "asked")
         wanted = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
         rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "fp", "row"), "rows")
-        texts = materialise(numbered.select("row", "text").join(rows, "row").select("node", "fp", "text"), "texts")
+        texts = materialise(numbered.select("row", "text").join(few(rows), "row").select("node", "fp", "text"), "texts")
         one = texts.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("ta"))
         two = texts.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("tb"))
         new = asked.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
         more = materialise(edges.unionByName(new), "edges")
-        discard(labels, group, pairs if order is None else None, asked, rows, texts, edges)
+        discard(labels, group, pairs if places is None else None, asked, rows, texts, edges)
         edges = more
     discard(buckets, nodes)
     return edges
@@ -659,5 +675,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     chosen = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(key).alias("k"))
     keep = materialise(chosen.select(F.col("k.row").alias("row")), "kept")
-    discard(found)
-    return unnested(numbered.join(keep, "row", "left_semi"), docs.columns)
+    # those that go are fewer than those that stay
+    gone = materialise(marked.select("row").join(keep, "row", "left_anti"), "gone")
+    discard(found, keep)
+    return unnested(numbered.join(few(gone), "row", "left_anti"), docs.columns)
