@@ -22,7 +22,7 @@ from ..operators import vectors as V
 from ..plans import hybrid as H
 from ..sources import writers as W
 from ..stores import home
-from .base import Registry, fold, fold_eval, identifier_form, read, squeeze, toks
+from .base import Registry, fold, read, squeeze, toks
 from .lexical import HARD_SQL, hard, index
 
 Q = Registry()
