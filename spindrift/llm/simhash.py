@@ -633,8 +633,8 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> DataFrame:
-    """``edges`` and further links (a, b) of fingerprints, by which all similar texts
-    are joined. numbered: text, fp, node, odd, row."""
+    """Links (a, b) of fingerprints that join what ``edges`` join, and all similar
+    texts. numbered: text, fp, node, odd, row."""
     buckets = similar_buckets(numbered)
     nodes = numbered.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("odd").alias("odd"))
     used = buckets.select("node").unionByName(buckets.where("token IS NULL").select(F.col("p0").alias("node"))).distinct()
@@ -646,14 +646,16 @@ def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> Data
         pairs = all_pairs(buckets, group, hot) if places is None else star_pairs(buckets, places)
         one, two = (group.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
         open_ = pairs.join(one, "a").join(two, "b").where(F.col("ga") != F.col("gb"))
-        asked = materialise(open_.where(parities_udf("oa", "ob")).select("a", "b"), "asked")
+        asked = materialise(open_.where(parities_udf("oa", "ob")).select("a", "b", "ga", "gb"), "asked")
         wanted = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
-        rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "fp", "row"), "rows")
-        texts = materialise(numbered.select("row", "text").join(few(rows), "row").select("node", "fp", "text"), "texts")
-        one = texts.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("ta"))
-        two = texts.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("tb"))
-        new = asked.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-        more = materialise(edges.unionByName(new), "edges")
+        rows = materialise(nodes.join(wanted, "node", "left_semi").select("node", "row"), "rows")
+        texts = materialise(numbered.select("row", "text").join(few(rows), "row").select("node", "text"), "texts")
+        one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        new = asked.join(one, "a").join(two, "b").where(similar_udf(F.col("ta"), F.col("tb")))
+        # from here on a group is what each of its nodes is linked to, and groups are linked once
+        new = new.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
+        held = labels.where(F.col("node") != F.col("label")).select(F.col("node").alias("a"), F.col("label").alias("b"))
+        more = materialise(held.unionByName(new), "edges")
         discard(labels, group, pairs if places is None else None, asked, rows, texts, edges)
         edges = more
     discard(buckets, nodes)
