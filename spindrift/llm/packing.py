@@ -54,7 +54,7 @@ ROUNDS, LAST = 4, 8
 #: number is the round, the shard and the bin (below 2 ** BIN_BITS) side by side.
 WHOLE, BIN_BITS = 7, 16
 #: Most words a worker remembers.
-MEMORY = 300_000
+MEMORY = 200_000
 
 # --- tokens -----------------------------------------------------------------
 
