@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, linededup, packing, quality, secrets, simhash, toxicity, warc
+from . import audio, bpe, centroids, chat, linededup, packing, quality, secrets, simhash, substring, toxicity, warc, whitening
 
 _QUERIES = (
     audio.op1_audio_features,
@@ -19,6 +19,9 @@ _QUERIES = (
     simhash.op6_simhash_near_dedup,
     quality.op9_quality_rules,
     secrets.op10_secret_scans,
+    centroids.op11_dual_tree_lloyd,
+    whitening.op12_embedding_whitening,
+    substring.op13_substring_dedup,
 )
 
 
@@ -27,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.OP2_SQL}
+    return {"op2_line_dedup": linededup.OP2_SQL, "op11_dual_tree_lloyd": centroids.OP11_SQL, "op13_substring_dedup": substring.OP13_SQL}

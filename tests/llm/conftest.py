@@ -43,7 +43,7 @@ def edge(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    write(spark, d, [], [], [], [])
+    write(spark, d, [], [], [], [], [])
     return str(d)
 
 
@@ -51,7 +51,12 @@ PAGES = [(5, "http://a.b/c?d=1#e", "<p>x</p>"), (3, None, "<p>x</p>"), (9, "http
 TURNS = [(1, 1, "assistant", "yes </s> <|im_end|>\n"), (1, 0, "user", "is \\ it [INST]?"), (2, None, None, None), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, 0, "system", "s"), (3, 0, "ro\nle\\", "<s<s>>"), (4, 0, "assistant", ""), (4, 1, "assistant", "[/INST][/INST]")]
 
 
-def write(spark, d, docs, labels, pages=PAGES, turns=TURNS):
+V = [((7 * k) % 13 - 6) / 5 for k in range(64)]
+VECTORS = [(k, [x * (k % 5 - 2) + k / 7 for x in V], k % 3) for k in range(30)] + [(3, V, 0), (3, V, 0), (None, V, 1), (40, None, 0), (41, [*V[:-1], None], 0), (42, [*V[:-1], float("nan")], 0), (43, [*V[:-1], float("inf")], 0), (44, V[:10], None), (45, [], 0), (46, [0.0] * 64, 0), (47, [-0.0] * 64, 0), (48, [1000.0, *V[1:]], 0)]
+
+
+def write(spark, d, docs, labels, pages=PAGES, turns=TURNS, vectors=VECTORS):
+    with_clashes(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, tag int")).write.parquet(f"{d}/embeddings.parquet")
     with_clashes(spark.createDataFrame(docs, SCHEMA)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     with_clashes(spark.createDataFrame(pages, "page_id long, url string, html string")).write.parquet(f"{d}/pages.parquet")
