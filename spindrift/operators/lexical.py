@@ -119,16 +119,18 @@ def bm25(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int,
     return top(s, k, F.desc("score"), F.asc("doc")).select("query", "rank", "doc", "score")
 
 
-def full_text(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75, or_terms: int = 5) -> DataFrame:
+def full_text(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75, or_terms: int = 5, own: Column | None = None) -> DataFrame:
     """All distinct terms must match; if none does and the question has at most
-    ``or_terms`` terms, any may. Ordered by the score before it is rounded."""
-    q = questions.select(F.col(id_col).alias("query"), X.search_tokens(F.col(text_col)).alias("terms")).withColumn("wanted", F.size("terms"))
+    ``or_terms`` terms, any may. Ordered by the score before it is rounded. own: how
+    many a question wants, ``k`` at most; all want ``k`` without it."""
+    q = questions.select(F.col(id_col).alias("query"), X.search_tokens(F.col(text_col)).alias("terms"), (F.lit(k) if own is None else own).alias("own")).withColumn("wanted", F.size("terms"))
     terms = q.select("query", F.explode("terms").alias("term"), F.lit(1).alias("times"))
-    s = scores(index, terms, idf_floor, k1, b).join(q.select("query", "wanted"), "query")
+    s = scores(index, terms, idf_floor, k1, b).join(q.select("query", "wanted", "own"), "query")
     s = s.withColumn("whole", F.col("matched") == F.col("wanted")).where(F.col("whole") | (F.col("wanted") <= or_terms))
     # the best k of either kind, before one of the kinds is chosen
     order = Window.partitionBy("query", "whole").orderBy(F.desc("score"), F.asc("doc"))
-    s = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    s = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)  # which Spark limits before its shuffle
+    s = s if own is None else s.where(F.col("n") <= F.col("own"))
     s = s.withColumn("every", F.max("whole").over(Window.partitionBy("query"))).where(F.col("whole") == F.col("every"))
     return s.withColumnRenamed("n", "rank").select("query", "rank", "doc", F.round("score", 4).alias("score"), F.when(F.col("every"), "and").otherwise("or").alias("mode"))
 
@@ -143,3 +145,22 @@ def restrict_to_document(ranked: DataFrame, query_text: Column, haystack: Column
     kept = marked.withColumn("some", some).where("match OR NOT some")
     order = Window.partitionBy("query").orderBy(F.when(F.col("some"), -F.col("overlap")).otherwise(0.0), F.desc("score"), F.asc("doc"))
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("some")
+
+
+#: Of a question that names a document, so many times k candidates are taken, and at least so many.
+OVER_FETCH, LEAST_FETCH = 40, 100
+
+
+def full_text_of_named(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int, docs: DataFrame, haystack: Column, text: Column, doc_col: str = "doc") -> DataFrame:
+    """full_text(), but a question that names a document takes more candidates, and if
+    one of them is of that document, answers from it alone (restrict_to_document()).
+    haystack, text: of ``docs``, where a document's number may stand, and its text."""
+    named = F.size(X.identifiers(F.col(text_col))) > 0
+    wide = max(OVER_FETCH * k, LEAST_FETCH)
+    found = full_text(index, questions, id_col, text_col, wide, own=F.when(named, wide).otherwise(k))
+    asked = questions.select(F.col(id_col).alias("query"), F.col(text_col).alias("__asked"), named.alias("__named"))
+    found = found.join(asked, "query")
+    rest = found.where(~F.col("__named")).select("query", "rank", "doc", "score", "mode")
+    d = docs.select(F.col(doc_col).alias("doc"), haystack.alias("__hay"), text.alias("__text"))
+    of_named = restrict_to_document(found.where("__named").join(d, "doc"), F.col("__asked"), F.col("__hay"), F.col("__text"), k)
+    return rest.unionByName(of_named.select("query", "rank", "doc", "score", "mode"))

@@ -56,8 +56,23 @@ def lexical_overlap(question: Column, item_text: Column) -> Column:
     return F.coalesce(share, F.lit(0.0))
 
 
+def distinct_terms(c: Column) -> Column:
+    """Hashes of the words of a text that overlaps count, each once."""
+    return F.array_distinct(F.transform(X.rank_tokens(c), lambda t: F.xxhash64(t)))
+
+
+def terms_overlap(asked: Column, terms: Column) -> Column:
+    """lexical_overlap() of words that are hashed already."""
+    share = F.size(F.array_intersect(asked, terms)) / F.nullif(F.size(asked), F.lit(0))
+    return F.coalesce(share, F.lit(0.0))
+
+
 def article_match(question: Column, article: Column, target: Column) -> Column:
-    wanted = X.article_numbers(question)
+    return article_match_of(X.article_numbers(question), article, target)
+
+
+def article_match_of(wanted: Column, article: Column, target: Column) -> Column:
+    """wanted: the articles that the questions name."""
     inside = X.let(X.fold(target), lambda t: F.exists(wanted, lambda a: F.contains(t, a)))
     return F.when(F.array_contains(wanted, X.fold(article)), 1.0).when(inside, 0.6).otherwise(0.0)
 

@@ -1,4 +1,4 @@
-"""Exact and approximate vector search, and vector tables.
+"""Exact vector search, and vector tables; ann.py has approximate search.
 
 Questions are a bounded batch; the corpus is not. Below ``FEW`` questions they are
 broadcast and scored in the JVM; above, Arrow batches of vectors meet the matrix of
@@ -156,36 +156,12 @@ def rows_of(metadata: DataFrame, places: DataFrame, place: str = "vec_idx") -> D
     return places.where(F.col(place) >= 0).join(metadata, place)
 
 
-def approximate(vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, tables: int = 24, bits: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", seed: int = 11) -> DataFrame:
-    """As top_k(), but of each question only the ``candidates`` (20 k, 100 at least)
-    vectors that share the most hash buckets with it are compared: signs of random
-    projections, ``bits`` a bucket, in ``tables`` tables; buckets that differ in one
-    bit count as well. Recall is what tests measure."""
-    size = questions.select(F.max(F.size(vec_col))).first()[0] or 0
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, size))
-
-    def keys(near: bool):  # noqa: ANN202
-        @F.arrow_udf(T.ArrayType(T.LongType()))
-        def run(v: pa.Array) -> pa.Array:
-            m = np.array([x or [0.0] * size for x in v.to_pylist()], np.float64).reshape(len(v), size)
-            code = ((m @ planes.T > 0).reshape(len(v), tables, bits) << np.arange(bits)).sum(axis=2)
-            if near:
-                code = np.concatenate([code[..., None], code[..., None] ^ (1 << np.arange(bits))], axis=2)
-            else:
-                code = code[..., None]
-            return pa.array((code + (np.arange(tables) << bits)[:, None]).reshape(len(v), -1).tolist(), pa.list_(pa.int64()))
-
-        return run
+def approximate(vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query") -> DataFrame:
+    """As top_k(), but by the stored index of ``vectors`` (see ann.py): of each question
+    the ``candidates`` (20 k, 100 at least) that are best by their codes are compared."""
+    from . import ann
 
-    q = questions.select(F.col(query_col).alias("query"), F.col(vec_col).alias("qv"))
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    asked = q.select("query", F.explode(keys(True)("qv")).alias("key"))
-    met = v.select("id", F.explode(keys(False)("v")).alias("key")).join(asked, "key").groupBy("query", "id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("query").orderBy(F.desc("n"), F.asc("id"))
-    few = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= (candidates or max(20 * k, 100))).select("query", "id")
-    scored = few.join(v, "id").join(q, "query").select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return ann.search(ann.build(vectors, id_col, vec_col), questions, k, candidates, None, vec_col, query_col)
 
 
 def merge_indexes(indexes: list[tuple[str, DataFrame]], id_col: str = "id") -> DataFrame:

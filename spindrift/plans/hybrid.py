@@ -6,14 +6,17 @@ cut to their best before they are fused; texts join only what has survived fusio
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import stores as S
 from ..functions import text as X
 from ..operators import lexical as L
 from ..operators import ranking as R
+from ..operators import rules as RU
 from ..operators import vectors as VO
 
 
@@ -24,6 +27,8 @@ class Columns:
     query: str
     question: str
     source: str | None = None
+    #: Place of a question among those of its query; without it, a query has one.
+    position: str | None = None
 
 
 MODES = ("bm25", "vector", "hybrid")
@@ -32,23 +37,39 @@ MODES = ("bm25", "vector", "hybrid")
 @dataclass(frozen=True)
 class Sources:
     """What is searched: an index and its kind (``bm25`` or ``fts``), vectors, and
-    those of further workspaces, whose vectors may be missing."""
+    those of further workspaces, whose vectors may be missing; and the distinct terms
+    of each document, which spare a rerank its texts."""
 
     index: L.Index | None = None
     kind: str = "bm25"
     vectors: DataFrame | None = None
     more: tuple[Sources, ...] = ()
     ann: bool = False
+    terms: DataFrame | None = None
+
+
+def body_of(columns: list[str], c: Columns) -> Column:
+    """The text of a document whose words the overlap with questions counts."""
+    named = ("document_title", "article_number", "clause_number", "target_article", "chapter")
+    fields = ([F.col(c.source)] if c.source else []) + [F.col(n) for n in named if n in columns]
+    return F.concat_ws(" ", *fields, F.substring(c.text, 1, 400), F.col(c.text))  # the preview's last word may be a part of one
+
+
+def stored_terms(docs: DataFrame, c: Columns) -> DataFrame:
+    """(doc, terms), as stored, or made and stored."""
+    key = f"terms-{S.signature(docs, c.doc, c.text, str(c.source), '1')}"
+    make = lambda: {"terms": docs.select(F.col(c.doc).alias("doc"), R.distinct_terms(body_of(docs.columns, c)).alias("terms"))}
+    return S.kept(docs.sparkSession, key, make)["terms"]
 
 
 def stored_sources(docs: DataFrame, c: Columns, kind: str = "bm25") -> Sources:
     """Index and vectors of a table of files, as stored."""
     t = X.tokens(F.col(c.text)) if kind == "bm25" else X.search_words(F.col(c.text))
     vectors, _ = VO.stored_vectors(docs, lambda: VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text))), "vectors", provider="hash", model="md5-64", id=c.doc)
-    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors)
+    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors, terms=stored_terms(docs, c))
 
 
-def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None) -> DataFrame:
+def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """(query, list, rank, doc, source): pinned documents first, then one list for each
     index, then one for each table of vectors; the order of lists decides ties. pins:
     (query, position, doc)."""
@@ -62,8 +83,8 @@ def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str
     if mode in ("bm25", "hybrid"):
         for n, s in enumerate(every, 1):
             if s.index is not None:
-                find = L.bm25 if s.kind == "bm25" else L.full_text
-                out.append(find(s.index, questions, c.query, c.question, k).select("query", F.lit(n).alias("list"), "rank", "doc", F.lit("bm25").alias("source")))
+                found = _lexical(s, docs, questions, c.query, c.question, c, k) if docs is not None else (L.bm25 if s.kind == "bm25" else L.full_text)(s.index, questions, c.query, c.question, k)
+                out.append(found.select("query", F.lit(n).alias("list"), "rank", "doc", F.lit("bm25").alias("source")))
     if mode in ("vector", "hybrid"):
         q = VO.hash_embed(questions, c.query, X.tokens(F.col(c.question))).withColumnRenamed("id", "query")
         for n, s in enumerate(every, 1 + len(every)):
@@ -84,40 +105,131 @@ def candidates(ranked: DataFrame, k: int) -> DataFrame:
     return R.fuse(ranked, k)
 
 
-def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, c: Columns, k: int, issues: DataFrame | None = None) -> DataFrame:
-    """Feature rerank of fused lists. docs may have article_number, target_article
-    and document_title; issues: (query, matches)."""
+def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, c: Columns, k: int, issues: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Feature rerank of fused lists, by all questions of a query together. docs may
+    have article_number, target_article and document_title; issues: (query, matches);
+    terms: (doc, terms), taken from the texts of the fused documents if not given."""
     has = set(docs.columns)
 
     def of(name: str) -> Column:
         return F.col(name) if name in has else F.lit(None).cast("string")
 
-    title = F.concat_ws(" ", of("document_title"), of("doc_number"), of("doc_type"), F.col(c.source) if c.source else F.lit(None).cast("string"), F.substring(c.text, 1, 400))
-    fields = [F.col(c.source)] if c.source else []
-    fields += [of(n) for n in ("document_title", "article_number", "clause_number", "target_article", "chapter")]
-    body = F.concat_ws(" ", *fields, F.substring(c.text, 1, 400), F.col(c.text))
-    d = docs.select(F.col(c.doc).alias("doc"), body.alias("__body"), of("article_number").alias("__article"), of("target_article").alias("__target"), title.alias("__title"))
-    q = questions.select(F.col(c.query).alias("query"), F.col(c.question).alias("__q"))
-    x = fused.join(d, "doc").join(q, "query")
+    q = _asked(questions, c)
+    x = fused.join(q, "query")
+    if terms is None:
+        terms = docs.join(fused.select(F.col("doc").alias(c.doc)).distinct(), c.doc).select(F.col(c.doc).alias("doc"), R.distinct_terms(body_of(docs.columns, c)).alias("terms"))
+    x = x.join(terms.select("doc", F.col("terms").alias("__terms")), "doc")
     none = F.array().cast("array<struct<preferred_articles:array<string>,document_title_hints:array<string>>>")
+    if issues is not None or has & {"article_number", "target_article"}:
+        title = F.concat_ws(" ", of("document_title"), of("doc_number"), of("doc_type"), F.col(c.source) if c.source else F.lit(None).cast("string"), F.substring(c.text, 1, 400))
+        d = docs.select(F.col(c.doc).alias("doc"), of("article_number").alias("__article"), of("target_article").alias("__target"), title.alias("__title"))
+        x = x.join(d, "doc")
+    else:
+        x = x.withColumns({n: F.lit(None).cast("string") for n in ("__article", "__target", "__title")})
     x = x.join(issues, "query", "left").withColumn("matches", F.coalesce("matches", none)) if issues is not None else x.withColumn("matches", none)
     out = R.feature_rerank(
         x, k,
-        R.lexical_overlap(F.col("__q"), F.col("__body")),
-        R.article_match(F.col("__q"), F.col("__article"), F.col("__target")),
+        R.terms_overlap(F.col("__asked"), F.coalesce("__terms", F.array().cast("array<bigint>"))),
+        R.article_match_of(F.col("__articles"), F.col("__article"), F.col("__target")),
         R.issue_article(F.col("matches"), F.col("__article"), F.col("__target"), F.col("__title")),
     )
-    return out.drop("__body", "__article", "__target", "__title", "__q", "matches")
+    return out.drop("__terms", "__article", "__target", "__title", "__asked", "__articles", "matches")
+
+
+def _asked(questions: DataFrame, c: Columns) -> DataFrame:
+    """(query, terms and articles of all its questions)."""
+    t = F.col(c.question)
+    each = questions.select(F.col(c.query).alias("query"), R.distinct_terms(t).alias("terms"), X.article_numbers(t).alias("articles"))
+    if c.position is None:
+        return each.select("query", F.col("terms").alias("__asked"), F.col("articles").alias("__articles"))
+    all_of = lambda n: F.array_distinct(F.flatten(F.collect_list(n)))  # noqa: E731  a few questions a query
+    return each.groupBy("query").agg(all_of("terms").alias("__asked"), all_of("articles").alias("__articles"))
+
+
+def numbered_questions(active: DataFrame, c: Columns) -> tuple[DataFrame, DataFrame]:
+    """(ask, question) of the texts that differ, and (ask, query, position), both
+    written: queries that ask the same are searched for once."""
+    a = active.select(F.col(c.query).alias("query"), F.col(c.position).cast("int").alias("position"), F.col(c.question).alias("question")).where(F.trim(X.text_of(F.col("question"))) != "")
+    texts, _ = S.stored(a.select("question").distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    asked, _ = S.stored(a.join(texts, "question").select("ask", "query", "position"), "asked")
+    return texts, asked
+
+
+def fan_out(sources: Sources, docs: DataFrame, active: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """As lists(), of queries with up to ``most`` questions each (``c.position``, from 1):
+    one list for each index and question, indexes first, then one for each question
+    and table of vectors, questions first. Pins come before either kind, once."""
+    if mode not in MODES:
+        raise ValueError(f"mode: one of {MODES}")
+    texts, asked = numbered_questions(active, c)
+    every, out = (sources, *sources.more), []
+    if pins is not None:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("position"))
+        out.append(pins.select("query", F.lit(0).alias("list"), rank.alias("rank"), "doc", F.lit("document").alias("source")))
+
+    def put(found: DataFrame, number: Column, kind: str) -> None:
+        ranked = found.select(F.col("query").alias("ask"), "rank", "doc").join(asked, "ask")
+        out.append(ranked.select("query", number.cast("int").alias("list"), "rank", "doc", F.lit(kind).alias("source")))
+
+    at = F.col("position") - 1
+    if mode in ("bm25", "hybrid"):
+        for n, s in enumerate(every):
+            if s.index is not None:
+                put(_lexical(s, docs, texts, "ask", "question", c, k), 1 + n * most + at, "bm25")
+    if mode in ("vector", "hybrid"):
+        q = VO.hash_embed(texts, "ask", X.tokens(F.col("question"))).withColumnRenamed("id", "query")
+        for n, s in enumerate(every):
+            if s.vectors is not None:
+                near = (VO.approximate if s.ann else VO.top_k)(s.vectors, q, k, id_col="id")
+                put(near.withColumnRenamed("id", "doc"), 1 + len(every) * most + at * len(every) + n, "vector")
+    if not out:
+        raise ValueError("no index and no vectors to search")
+    both = out[0]
+    for x in out[1:]:
+        both = both.unionByName(x)
+    return both
+
+
+def _lexical(s: Sources, docs: DataFrame, questions: DataFrame, query: str, question: str, c: Columns, k: int) -> DataFrame:
+    if s.kind == "bm25":
+        return L.bm25(s.index, questions, query, question, k)
+    where = [F.col(n).cast("string") for n in (c.source, "doc_number", "document_title") if n in docs.columns]
+    return L.full_text_of_named(s.index, questions, query, question, k, docs, F.concat_ws(" ", *where), F.col(c.text), c.doc)
 
 
 def search(sources: Sources, docs: DataFrame, questions: DataFrame, c: Columns, k: int = 5, mode: str = "hybrid", pins: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
-    """The k best documents of each question: lists, fusion, rerank, threshold, pins."""
+    """The k best documents of each query: lists, fusion, rerank, threshold, pins. With
+    ``c.position`` a query has several questions (see active_questions()), whose lists
+    are fused."""
     per_list, most, reranked = max(6 * k, 30), max(8 * k, 40), max(3 * k, 12)
-    fused = candidates(lists(sources, questions, c, per_list, mode, pins), most)
-    out = R.threshold(rerank(fused, docs, questions, c, reranked, issues), k)
+    ranked = lists(sources, questions, c, per_list, mode, pins, docs) if c.position is None else fan_out(sources, docs, questions, c, per_list, mode, pins)
+    fused = candidates(ranked, most)
+    out = R.threshold(rerank(fused, docs, questions, c, reranked, issues, sources.terms), k)
     return R.promote_pins(out, pins, k) if pins is not None else out
 
 
+def retrieval_plan(questions: DataFrame, issues: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, mode: str = "auto", most_rewrites: int = 3, most: int = 3) -> DataFrame:
+    """(query, position, question, rewrite_source): what is asked for each query: itself,
+    then what its matched rules add, then what ``rewrite`` makes of it, those that
+    differ, ``most`` in all. Queries are rewritten only if the mode is not ``none`` and
+    their rules are not sure. questions: (query, question); issues: as rules.plan()
+    gives them; rewrite: from (query, question) to (query, seq, rewrite)."""
+    q = questions.select("query", "question").join(issues, "query", "left")
+    none = F.array().cast("array<string>")
+    q = q.select("query", "question", F.coalesce("expanded", none).alias("expanded"), F.coalesce("high_confidence", F.lit(False)).alias("sure"))
+    source = RU.rewrite_source(F.lit("none" if rewrite is None else mode), F.col("sure"), F.size("expanded") > 0)
+    planned = q.withColumn("rewrite_source", source)
+    rows = planned.select("query", F.lit(0).alias("o"), F.lit(0).cast("long").alias("seq"), "question", "rewrite_source")
+    rows = rows.unionByName(planned.select("query", F.lit(1).alias("o"), F.posexplode("expanded").alias("seq", "question"), "rewrite_source"))
+    if rewrite is not None and mode != "none":
+        open_ = planned.where(F.col("rewrite_source").startswith("llm"))
+        made = RU.sane_rewrites(rewrite(open_.select("query", "question")).join(open_.select("query", "question", "rewrite_source"), "query"))
+        first = made.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("seq"))).where(F.col("n") <= most_rewrites)
+        rows = rows.unionByName(first.select("query", F.lit(2).alias("o"), F.col("n").cast("long").alias("seq"), F.col("rewrite").alias("question"), "rewrite_source"))
+    ordered = rows.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("o", "seq"))).withColumnRenamed("question", "asked")
+    return R.distinct_questions(ordered, "asked", ["query"], "n", most).select("query", "position", "question", "rewrite_source")
+
+
 def active_questions(planned: DataFrame, graph: DataFrame, most: int = 3) -> DataFrame:
     """(query, position, question): a plan's questions, then a graph's, cut together to
     the first ``most`` that differ. Both: (query, seq, question)."""

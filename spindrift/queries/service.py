@@ -456,14 +456,22 @@ def r04b_single_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("SELECT vec_id AS query, vec_id AS id FROM embeddings WHERE vec_id % 50 = 0")
 def v05_ann_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search by vectors of the table itself: each finds itself first."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    from ..functions.vector import normalize
-
-    unit = e.select("vec_id", normalize(F.col("embedding")).alias("embedding"))
-    found = V.approximate(unit, unit.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query"), 10)
+    e = read(spark, sf_dir, "embeddings")
+    found = V.approximate(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query"), 10)
     return found.where("rank = 1").select("query", "id")
 
 
+@Q.add()
+def v05_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of the stored index against exact search, for every vector whose id
+    is divisible by 50, and the shares of codes met and of vectors scored exactly."""
+    from ..operators import ann
+
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    return ann.recall(ann.build(e, "vec_id"), V.top_k(e, q, 10), q, 10)
+
+
 @Q.add("SELECT count(*) AS count, 64 AS dimension, 'hash' AS provider, 'md5-64' AS model FROM documents WHERE len(" + toks("text") + ") > 0")
 def v07_stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written once, and what their manifest says."""
