@@ -24,7 +24,8 @@ The pipeline stage links, besides, all texts whose sets of five-word shingles ha
 a Jaccard similarity of ``SIMILAR`` at least. Of two such texts, at least one of the
 first n - ceil(SIMILAR n) + 1 shingles of each agree in any order common to all, so
 these shingles are shuffled and every candidate lies in one of their buckets. The
-order only decides the work: shingles frequent in a sample come last. Candidates
+order only decides the work: shingles frequent in a sample come last, by counts in a
+fixed number of bins. Candidates
 whose shingles, counted modulo two in bins, differ too often to be similar are left
 out, and all others are compared by whole texts. Buckets stream through their task in
 an order that differs by bucket. One of up to ``SMALL`` texts gives all its pairs at
@@ -43,7 +44,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,12 +65,18 @@ TRIALS, LARGE = 48, 512
 FRONTIER = 1_000_000
 #: Words of a shingle of the pipeline stage, and its least similarity.
 WORDS, SIMILAR = 5, 0.8
-#: One text in SAMPLED is asked for frequent shingles; most of those that are held.
-SAMPLED, FREQUENT = 16, 50_000
+#: One text in SAMPLED is asked for frequent shingles, counted in so many bins; counts
+#: below LEAST are left out.
+SAMPLED, BINS, LEAST = 16, 1 << 20, 4
+#: Rows of a bucket, as estimated, from which on it is dealt into several of about so
+#: many; most of these. A row's place has its part of a bucket in the bits from PART on.
+SPLIT, MOST_PARTS, PART = 512, 30_000, 48
 #: Most texts of a bucket that gives all its pairs at once; the first of a larger one
 #: that its others meet, and the rounds of that; rows of a bucket that no task holds
 #: whole.
 SMALL, FIRST, ROUNDS, HOT = 24, 6, ((0,), (1, 2, 3, 4, 5)), 50_000
+#: Bytes of parities of such a bucket, and of those that a task holds at a time.
+HOT_BYTES, HELD_BYTES = 64_000_000, 32_000_000
 #: Most rows whose numbers are broadcast (as longs: 32 MB) to the table of texts.
 FEW = 2_000_000
 
@@ -385,15 +392,13 @@ def needed(n: int) -> int:
 BUCKET = ["token", "node", "n", "at"]
 
 
-def _starts(frequent: np.ndarray | None):  # noqa: ANN202
-    """(token, node, n, at) of the first shingles of each text; of all without an
-    order."""
-    order = None if frequent is None else np.sort(frequent[:, 0])
-    weight = None if frequent is None else frequent[np.argsort(frequent[:, 0]), 1]
+def _starts(counts: np.ndarray | None):  # noqa: ANN202
+    """(token, node, n, at, parts) of the first shingles of each text, rare ones first;
+    of all without counts. parts: how many the bucket is dealt into, 0 if it is not."""
 
     def batch(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held) if held else np.empty((0, len(BUCKET)), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], BUCKET)
+        rows = np.concatenate(held) if held else np.empty((0, len(BUCKET) + 1), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], [*BUCKET, "parts"])
 
     def run(batches):  # noqa: ANN001, ANN202
         seen: set[int] = set()
@@ -408,18 +413,20 @@ def _starts(frequent: np.ndarray | None):  # noqa: ANN202
                 seen.add(node)
                 tokens = shingle_set(text)
                 n = len(tokens)
-                if order is not None and n:
-                    if len(order):
-                        at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
-                        tokens = tokens[np.argsort(np.where(order[at] == tokens, weight[at], 0), kind="stable")]
-                    tokens = tokens[: n - needed(n) + 1]
+                parts = np.zeros(n, np.int64)
+                if counts is not None and n:
+                    weight = counts[tokens & (BINS - 1)]
+                    order = np.argsort(weight, kind="stable")[: n - needed(n) + 1]
+                    tokens, weight = tokens[order], weight[order].astype(np.int64) * SAMPLED
+                    parts = np.where(weight > SPLIT, np.minimum(-(-weight // SPLIT), MOST_PARTS), 0)
                 k = len(tokens)
-                held.append(np.stack([tokens, np.full(k, node), np.full(k, n), np.arange(k)], axis=1))
+                held.append(np.stack([tokens, np.full(k, node), np.full(k, n), np.arange(k), parts], axis=1))
                 size += k
                 if size > CHUNK // 4:
                     yield batch(held)
                     held, size = [], 0
         yield batch(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -428,7 +435,9 @@ class Buckets:
     """Takes up rows (token, node, n, at, place) in order of token and place, equal
     for copies alone, and gives, row by row: pairs of small buckets as (null, a, .., b),
     and rows of larger ones with the texts that they are to meet, null where these
-    cannot be similar."""
+    cannot be similar. Each part of a bucket that is dealt counts as a larger one, and
+    its first rows are the same in all parts: places below ``FIRST``, which stand
+    there for rows that some part has anyway and are not given themselves."""
 
     names = [*BUCKET, *(f"p{k}" for k in range(FIRST))]
 
@@ -445,7 +454,7 @@ class Buckets:
             same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
             rows = rows[np.r_[True, ~same]]  # copies of a text
         if self.pivots is not None:
-            more = int(np.searchsorted(rows[:, 0] != self.pivots[0, 0], True)) if len(rows) else 0
+            more = int(np.searchsorted((rows[:, 0] != self.pivots[0, 0]) | (rows[:, 4] >> PART != self.pivots[0, 4] >> PART), True)) if len(rows) else 0
             fresh = rows[:more][rows[:more, 4] > self.last]
             self.last = int(fresh[-1, 4]) if len(fresh) else self.last
             yield self._large(fresh, np.broadcast_to(self.pivots, (len(fresh), *self.pivots.shape)))
@@ -455,7 +464,8 @@ class Buckets:
         if not len(rows):
             self.held = rows
             return
-        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        part = rows[:, 4] >> PART
+        starts = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (part[1:] != part[:-1])])
         sizes = np.diff(np.r_[starts, len(rows)])
         cut = len(rows) if last else int(starts[-1])
         if not last and sizes[-1] > SMALL:
@@ -466,7 +476,7 @@ class Buckets:
         starts, sizes = starts[whole], sizes[whole]
         rows = rows[:cut]
         owner = np.repeat(np.arange(len(starts)), sizes)
-        large = (sizes > SMALL)[owner]
+        large = (sizes > SMALL)[owner] | (rows[:, 4] >> PART > 0)
         if large.any():
             firsts = rows[np.minimum(starts[:, None] + np.arange(FIRST), len(rows) - 1)]
             yield self._large(rows[large], firsts[owner[large]])
@@ -487,6 +497,8 @@ class Buckets:
 
     def _large(self, rows: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
         """pivots: [row, place, column]."""
+        own = (rows[:, 4] >> PART == 0) | (rows[:, 4] & ((1 << PART) - 1) >= FIRST)
+        rows, pivots = rows[own], pivots[own]
         meet = []
         for k in range(FIRST):
             y = pivots[:, k] if k < pivots.shape[1] else rows
@@ -505,6 +517,7 @@ def _bucket_batches(batches):  # noqa: ANN001, ANN202
             yield from state.take(np.concatenate(held))
             held, size = [], 0
     yield from state.take(np.concatenate(held) if held else np.empty((0, 5), np.int64), last=True)
+    pa.default_memory_pool().release_unused()
 
 
 def enough_left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -550,19 +563,22 @@ def _pairs(batches):  # noqa: ANN001, ANN202
                 found, held = [np.empty((0, 2), np.int64)], 0
         yield out(found, odds, rows)
 
-    kept, parities = np.empty((0, 5), np.int64), np.empty(0, object)
+    kept, parities, size = np.empty((0, 5), np.int64), np.empty(0, object), 0
     for batch in batches:
         if not batch.num_rows:
             continue
         kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)])
         parities = np.concatenate([parities, np.array([None, *batch.columns[5].to_pylist()], object)[1:]])
-        last = np.flatnonzero(kept[:, 0] != kept[-1, 0]) if len(kept) >= CHUNK // 4 else []
+        size += batch.columns[5].nbytes
+        last = np.flatnonzero(kept[:, 0] != kept[-1, 0]) if len(kept) >= CHUNK // 4 or size >= HELD_BYTES else []
         if len(last):  # whole buckets, which arrive in order
             cut = int(last[-1]) + 1
             yield from run(kept[:cut], parities[:cut])
             kept, parities = kept[cut:], parities[cut:]
+            size = sum(map(len, parities))
     if len(kept):
         yield from run(kept, parities)
+    pa.default_memory_pool().release_unused()
 
 
 def left_over() -> Column:
@@ -583,23 +599,33 @@ def star_pairs(buckets: DataFrame, places: tuple[int, ...]) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def all_pairs(buckets: DataFrame, group: DataFrame, hot: int) -> DataFrame:
+def length_class(n: str) -> Column:
+    """Of two similar sets, the classes differ by one at most, rounding or not."""
+    return F.floor(F.log(1.000001 / SIMILAR, F.greatest(F.col(n), F.lit(1)).cast("double"))).cast("int")
+
+
+def all_pairs(buckets: DataFrame, group: DataFrame, hot: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(a, b), a < b: all candidates of a large bucket that are in different groups.
     group: (node, group, odd)."""
     dealt = materialise(buckets.where("token IS NOT NULL").join(group, "node").select(*BUCKET, "group", "odd"), "dealt")
-    counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"))
-    several = materialise(counted.where("groups > 1").select("token", "major", "rows"), "several")
-    few = dealt.join(several.where(F.col("rows") <= hot).select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
+    counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c"), F.sum(F.length("odd")).alias("size"))
+    counted = counted.groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"), F.sum("size").alias("size"))
+    held = (F.col("rows") <= hot) & (F.col("size") <= hot_bytes)
+    several = materialise(counted.where("groups > 1").select("token", "major", held.alias("held")), "several")
+    few = dealt.join(several.where("held").select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
     pairs = few.mapInArrow(_pairs, "a long, b long").distinct()
-    large = several.where(F.col("rows") > hot)
+    large = several.where("NOT held")
+    minor = None
     if not large.isEmpty():
-        # of two groups, one is not the bucket's largest
-        minor = materialise(dealt.join(large, "token").where(F.col("group") != F.col("major")).select("token", *second("group", "odd")), "minor")
-        more = dealt.join(minor, "token").where((F.col("group") != F.col("group2")) & left_over())
+        # of two groups, one is not the bucket's largest; both sides have the lengths of
+        # similar texts
+        rest = dealt.join(large, "token").where(F.col("group") != F.col("major"))
+        minor = materialise(rest.select("token", *second("group", "odd"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: length_class("n") + d)).alias("class")), "minor")
+        more = dealt.withColumn("class", length_class("n")).join(minor, ["token", "class"]).where((F.col("group") != F.col("group2")) & left_over())
         more = more.where(parities_udf("odd", "odd2"))
         pairs = pairs.unionByName(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
     out = materialise(pairs, "pairs")
-    discard(dealt, several)
+    discard(dealt, several, minor)
     return out
 
 
@@ -614,15 +640,35 @@ def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often shingles come in a sample of the texts, counted in ``BINS`` bins by their
+    hashes, which are as many at any size. They order the shingles of all texts alike:
+    a shingle that shares its bin with a frequent one comes later than it need."""
+    form = ", ".join(f"{c} long" for c in (*BUCKET, "parts"))
+    asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
+    found = asked.groupBy(F.col("token").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("c")).where(F.col("c") >= LEAST).toArrow()
+    counts = np.zeros(BINS, np.int32)
+    counts[found["bin"].to_numpy()] = np.minimum(found["c"].to_numpy(), 1 << 30)
+    return counts
+
+
 def similar_buckets(numbered: DataFrame) -> DataFrame:
-    """What Buckets gives for the first shingles that two texts at least share."""
+    """What Buckets gives for the first shingles that two texts at least share. Buckets
+    that are large by their counts are dealt into parts by text; some texts of the
+    sample are the first ones of all parts, so that links join the parts as well."""
     texts = numbered.select("node", "text")
-    form = ", ".join(f"{c} long" for c in BUCKET)
-    asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(None), form)
-    counts = asked.groupBy("token").agg(F.count("*").alias("c")).where("c >= 4").orderBy(F.desc("c"), "token").limit(FREQUENT)
-    frequent = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
-    dealt = texts.mapInArrow(_starts(frequent), form).repartition("token")
-    dealt = dealt.withColumn("place", F.xxhash64("token", "node")).sortWithinPartitions("token", "place")
+    counts = frequencies(texts)
+    form = ", ".join(f"{c} long" for c in (*BUCKET, "parts"))
+    mixed = F.pmod(F.xxhash64("token", "node"), F.lit((1 << PART) - FIRST)) + FIRST
+    part = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), F.col("parts")) + 1).otherwise(F.lit(0).cast("long"))
+    at = lambda part, place: F.shiftleft(part, PART).bitwiseOR(place)
+    dealt = texts.mapInArrow(_starts(counts), form).select(*BUCKET, part.alias("part"), mixed.alias("place"))
+    if (counts.astype(np.int64) * SAMPLED > SPLIT).any():
+        asked = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).mapInArrow(_starts(counts), form).where("parts > 0").distinct()
+        first = asked.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy(mixed, "node"))).where(F.col("k") <= FIRST)
+        every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))).alias("part")
+        dealt = dealt.unionByName(first.select(*BUCKET, every, (F.col("k") - 1).cast("long").alias("place")))
+    dealt = dealt.repartition("token", "part").select(*BUCKET, at(F.col("part"), F.col("place")).alias("place")).sortWithinPartitions("token", "place")
     return materialise(dealt.mapInArrow(_bucket_batches, ", ".join(f"{c} long" for c in Buckets.names)), "buckets")
 
 
@@ -639,7 +685,7 @@ def similar_links(numbered: DataFrame, edges: DataFrame, hot: int = HOT) -> Data
     nodes = numbered.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("odd").alias("odd"))
     used = buckets.select("node").unionByName(buckets.where("token IS NULL").select(F.col("p0").alias("node"))).distinct()
     nodes = materialise(nodes.join(used, "node", "left_semi"), "nodes")
-    for places in [*ROUNDS, None]:
+    for places in [*ROUNDS, None]:  # the last one has all that is left
         labels = components(edges)
         known = labels.select(F.col("node").alias("fp"), "label")
         group = materialise(nodes.select("node", "fp", "odd").join(known, "fp", "left").select("node", "odd", F.coalesce("label", "fp").alias("group")), "groups")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from spindrift.llm import audio, bpe, linededup, packing, quality, secrets, simhash
 from tests.llm.conftest import EDGE
@@ -228,8 +229,44 @@ def test_similar_pairs_of_hot_buckets(spark):
         for u, b, m, _ in rows:
             if t == u and a < b and a % 9 != b % 9 and odd(a) == odd(b) and min(n, m) >= 0.8 / 1.8 * (n + m) - 1e-9:
                 want.add((a, b))
-    runs = [{tuple(r) for r in simhash.all_pairs(buckets, group, hot).collect()} for hot in (10**6, 5)]
-    assert runs[0] == runs[1] == want
+    limits = ((10**6, 10**9), (5, 10**9), (10**6, 100))  # by rows, and by bytes of parities
+    runs = [{tuple(r) for r in simhash.all_pairs(buckets, group, *limit).collect()} for limit in limits]
+    assert runs[0] == runs[1] == runs[2] == want
+
+
+def test_length_classes(spark):
+    """Classes of sizes that similar texts may have are neighbours."""
+    n = spark.range(1, 3000).select(F.col("id").alias("n"), simhash.length_class("id").alias("c")).collect()
+    c = {r.n: r.c for r in n}
+    assert all(abs(c[k] - c[m]) <= 1 for k in c for m in (k, int(k * 1.25)) if m in c)
+
+
+def test_parts_of_a_hot_bucket():
+    """A bucket dealt into parts: every row once, with the first rows of its part, which
+    are the same in all parts; the rows that stand for them are not given."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for part in (1, 2, 3):
+        place = lambda k: part << simhash.PART | k  # noqa: B023, E731
+        rows += [[7, 1000 + k, 60, 0, place(k)] for k in range(simhash.FIRST)]
+        rows += [[7, 100 * part + k, 60, 0, place(simhash.FIRST + int(p))] for k, p in enumerate(np.sort(rng.choice(10**6, 5 * part, replace=False)))]
+    for step in (1, 4, 1000):
+        state, got = simhash.Buckets(), []
+        for k in range(0, len(rows), step):
+            got += [x for b in state.take(np.array(rows[k : k + step], np.int64)) for x in b.to_pylist()]
+        got += [x for b in state.take(np.empty((0, 5), np.int64), last=True) for x in b.to_pylist()]
+        assert sorted(x["node"] for x in got) == sorted(100 * p + k for p in (1, 2, 3) for k in range(5 * p))
+        assert all([x[f"p{k}"] for k in range(simhash.FIRST)] == [1000 + k for k in range(simhash.FIRST)] for x in got)
+
+
+def test_near_dedup_of_dealt_buckets(spark, monkeypatch):
+    """A group of near copies whose buckets are dealt into many parts is one component."""
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+    rows = [(k, " ".join(f"x{k}" if j == k % 118 else w for j, w in enumerate(base))) for k in range(1500)] + [(5000 + k, " ".join(f"own{k}x{j}" for j in range(30))) for k in range(50)]
+    kept = simhash.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, *range(5000, 5050)]
 
 
 @pytest.mark.parametrize("step", [1, 7, 50, 10**6])
