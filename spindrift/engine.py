@@ -7,6 +7,7 @@ models that write answers or rewrite questions are given as functions.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .operators import sessions as S
 from .operators import tables as T
 from .operators import uploads as U
 from .plans import hybrid as H
-from .stores import Table
+from .stores import Conflict, Table, discard, stored
 
 CHUNKS = (
     "chunk_id string, source_file string, vbpl_id string, doc_number string, doc_type string, document_title string, article_number string, clause_number string, point_number string, "
@@ -37,6 +38,18 @@ class Engine:
         self.sessions, self.jobs = Table(spark, root, "sessions", S.SESSION), Table(spark, root, "jobs", J.SCHEMA + ", seq long")
         self.manifest, self.uploads = Table(spark, root, "manifest", MANIFEST), Table(spark, root, "uploads", UPLOADS)
 
+    @staticmethod
+    def _update(table: Table, change: Callable[[DataFrame], DataFrame]) -> None:
+        """What ``change`` makes of the latest rows, and again of later ones if another
+        writer has been faster, so that no update is lost."""
+        while True:
+            n = table.version()
+            try:
+                table.replace(change(table.read(n)), n)
+                return
+            except Conflict:
+                continue
+
     # --- questions -----------------------------------------------------------
 
     def _columns(self) -> H.Columns:
@@ -46,19 +59,28 @@ class Engine:
         """Index and vectors of the chunks as they are now, built if they are new."""
         return H.stored_sources(self.chunks.read(), self._columns(), kind)
 
-    def search(self, questions: DataFrame, settings: Mapping | None = None) -> DataFrame:
-        """questions: (query, question). The best chunks of each, with their columns."""
+    def search(self, questions: DataFrame, settings: Mapping | None = None, pins: DataFrame | None = None) -> DataFrame:
+        """questions: (query, question), or (query, position, question) as a plan gives
+        them; pins: (query, position, doc). The best chunks of each query, with their
+        columns."""
         s = config.settings(settings)
-        chunks = self.chunks.read()
-        found = H.search(self.build(), chunks, questions, self._columns(), s["top_k"], s["mode"])
+        chunks, c = self.chunks.read(), self._columns()
+        if "position" in questions.columns:
+            c = replace(c, position="position")
+        found = H.search(self.build(), chunks, questions, c, s["top_k"], s["mode"], pins)
         return found.withColumnRenamed("doc", "chunk_id").join(chunks, "chunk_id")
 
     def sources(self, questions: DataFrame, settings: Mapping | None = None) -> DataFrame:
         """As an API shows what was found."""
-        return K.map_sources(self.search(questions, settings), self.records.read().select("text_file", "vbpl_id", "doc_type", "doc_number", "title", "source_url", "issue_date"))
+        return self._sources(self.search(questions, settings))
+
+    def _sources(self, found: DataFrame) -> DataFrame:
+        return K.map_sources(found, self.records.read().select("text_file", "vbpl_id", "doc_type", "doc_number", "title", "source_url", "issue_date"))
 
     def contexts(self, questions: DataFrame, settings: Mapping | None = None) -> DataFrame:
-        found = self.search(questions, settings)
+        return self._contexts(self.search(questions, settings))
+
+    def _contexts(self, found: DataFrame) -> DataFrame:
         fields = {c: F.col(c) for c in ("document_title", "doc_number", "source_file", "article_number", "clause_number", "target_article", "rerank")}
         return H.context(found, fields, F.col("text"))
 
@@ -66,13 +88,16 @@ class Engine:
         """One question: sources, the context, what the given model makes of it with
         its warnings, and both messages in the session."""
         q = self.spark.createDataFrame([(0, question)], "query long, question string")
-        sources = [r.asDict() for r in self.sources(q, settings).orderBy("rank").collect()]
-        row = self.contexts(q, settings).first()
+        found, _ = stored(self.search(q, settings), "found")  # searched for once, read twice
+        sources = [r.asDict() for r in self._sources(found).orderBy("rank").collect()]
+        row = self._contexts(found).first()
+        discard(found)
         said = self.answer(question, row["context"] if row else "") if self.answer else ""
         numbers = F.array(*[F.lit(s["document_number"]) for s in sources if s["document_number"]]).cast("array<string>")
         warnings = self.spark.range(1).select(S.citation_warnings(F.lit(said), numbers)).first()[0]
         new = [(session, "user", question, at, 0), (session, "assistant", said, at, 1)]
-        self.sessions.replace(S.appended(self.sessions.read(), self.spark.createDataFrame(new, "session_id string, role string, content string, timestamp string, seq long")))
+        said_rows = self.spark.createDataFrame(new, "session_id string, role string, content string, timestamp string, seq long")
+        self._update(self.sessions, lambda rows: S.appended(rows, said_rows))
         return {"answer": said, "sources": sources, "warnings": warnings}
 
     def debug(self, questions: DataFrame, k: int = 5) -> dict[str, DataFrame]:
@@ -85,10 +110,10 @@ class Engine:
 
     def change_session(self, session: str, title: str | None = None, pinned: bool | None = None, archived: bool | None = None) -> None:
         change = self.spark.createDataFrame([(session, title, pinned, archived)], "session_id string, title string, pinned boolean, archived boolean")
-        self.sessions.replace(S.patched(self.sessions.read(), change))
+        self._update(self.sessions, lambda rows: S.patched(rows, change))
 
     def delete_session(self, session: str) -> None:
-        self.sessions.replace(self.sessions.read().where(F.col("session_id") != session))
+        self._update(self.sessions, lambda rows: rows.where(F.col("session_id") != session))
 
     def conversation(self, session: str) -> DataFrame:
         return S.conversation(self.sessions.read().where(F.col("session_id") == session), F.to_timestamp("updated_at")).orderBy("position")
@@ -111,7 +136,7 @@ class Engine:
 
     def run_job(self, kind: str, steps: list[Callable[[], object]]) -> dict:
         """Steps such as a crawl or the building of an index, as a job of the table."""
-        report = lambda job: self.jobs.replace(J.upsert(self.jobs.read(), self.spark.createDataFrame([tuple(job.values())], J.SCHEMA)))
+        report = lambda job: self._update(self.jobs, lambda rows: J.upsert(rows, self.spark.createDataFrame([tuple(job.values())], J.SCHEMA)))
         return J.run(kind, steps, report)
 
     # --- uploads -------------------------------------------------------------------
@@ -124,13 +149,13 @@ class Engine:
             "id", "file_name", "workspace", F.lit("other").alias("document_type"), F.when(ok, "ocr_complete").otherwise("failed").alias("status"), F.lit(100).alias("progress"),
             F.when(~ok, "no text could be read").alias("error"), "text", "confidence",
         )
-        self.uploads.replace(T.upsert(self.uploads.read(), state, ["id"]))
+        self._update(self.uploads, lambda rows: T.upsert(rows, state, ["id"]))
 
     def review(self, changes: DataFrame) -> None:
         """New texts or types of uploads (id, text, document_type)."""
         c = changes.select("id", F.col("text").alias("__t"), F.col("document_type").alias("__d"))
-        j = self.uploads.read().join(c, "id", "left")
-        self.uploads.replace(j.withColumns({"text": F.coalesce("__t", "text"), "document_type": F.coalesce("__d", "document_type")}))
+        new = {"text": F.coalesce("__t", "text"), "document_type": F.coalesce("__d", "document_type")}
+        self._update(self.uploads, lambda rows: rows.join(c, "id", "left").withColumns(new))
 
     def embed(self, ids: list[str], force: bool = False) -> None:
         """Reviewed uploads into the corpus (if public) and the manifest."""
@@ -141,7 +166,7 @@ class Engine:
         self.chunks.replace(T.complete(chunks, self.chunks.schema))
         self.manifest.replace(manifest)
         done = ready.select("id", F.lit("ready").alias("status"), F.lit(0).alias("seq"), F.lit(100).alias("progress"), F.lit(None).cast("string").alias("error"))
-        self.uploads.replace(U.advanced(up, done))
+        self._update(self.uploads, lambda rows: U.advanced(rows, done))
 
     def processed(self) -> DataFrame:
         return U.processed(self.manifest.read())
@@ -151,4 +176,4 @@ class Engine:
         chunks, manifest = U.removed(self.chunks.read(), self.manifest.read(), gone)
         self.chunks.replace(chunks)
         self.manifest.replace(manifest)
-        self.uploads.replace(T.delete(self.uploads.read(), gone, ["id"]))
+        self._update(self.uploads, lambda rows: T.delete(rows, gone, ["id"]))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..stores import stored
 
 ARTICLE = r"(?iu)^\s*(?:điều|dieu|article)\s+(\d+[a-z]?)\b"
 CLAUSE = r"^\s*(\d+[a-z]?)\s*[.)]\s+"
@@ -89,12 +90,15 @@ def clause_parts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -
 
 
 def unique_ids(chunks: DataFrame, id_col: str = "chunk_id", seq: str = "seq", mark: str = "dup") -> DataFrame:
-    """Later rows of an id get ``:dup:n``; an id that already ends so is kept apart by
-    a second pass over what then collides."""
-    for _ in range(2):
+    """Later rows of an id get ``:dup:n``; where that is the id of another row, or ends up
+    so, the later of these is marked again, until all ids differ. Each pass is over
+    written rows, and there are as many as marks one upon another."""
+    while True:
         n = F.row_number().over(Window.partitionBy(id_col).orderBy(seq))
-        chunks = chunks.withColumn("__n", n).withColumn(id_col, F.when(F.col("__n") > 1, F.concat(F.col(id_col), F.lit(f":{mark}:"), F.col("__n").cast("string"))).otherwise(F.col(id_col))).drop("__n")
-    return chunks
+        marked = chunks.withColumn("__n", n).withColumn(id_col, F.when(F.col("__n") > 1, F.concat(F.col(id_col), F.lit(f":{mark}:"), F.col("__n").cast("string"))).otherwise(F.col(id_col))).drop("__n")
+        chunks, _ = stored(marked, "unique-ids")
+        if chunks.groupBy(id_col).count().where("count > 1").isEmpty():
+            return chunks
 
 
 def merge_parts(chunks: DataFrame, id_col: str = "chunk_id", seq: str = "seq", text: str = "text") -> DataFrame:

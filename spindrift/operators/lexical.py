@@ -48,7 +48,7 @@ def build_index(docs: DataFrame, id_col: str, analyzed: Column) -> Index:
 
 
 #: Version of the index's form; a stored one of another version is built anew.
-VERSION = 1
+VERSION = 2
 #: Most terms of a batch of questions that are broadcast to the postings.
 FEW_TERMS = 200_000
 
@@ -63,8 +63,12 @@ def stored_index(docs: DataFrame, id_col: str, analyzed: Column, name: str) -> I
     def make() -> dict[str, DataFrame]:
         base, _ = S.stored(docs.select(F.col(id_col).alias("doc"), analyzed.alias("terms")).withColumn("dl", F.size("terms")), "terms")
         postings = base.select("doc", "dl", F.explode("terms").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-        written = S.kept(spark, f"{key}-postings", lambda: {"postings": postings.repartition("term").sortWithinPartitions("term")})["postings"]
-        return {"dictionary": document_frequencies(written), "stats": corpus_stats(base.select("dl"))}
+        # by range of term and document, so that a frequent term is in several tasks and files
+        dealt = postings.repartitionByRange("term", "doc").sortWithinPartitions("term")
+        written = S.kept(spark, f"{key}-postings", lambda: {"postings": dealt})["postings"]
+        stats, _ = S.stored(corpus_stats(base.select("dl")), "stats")
+        S.discard(base)
+        return {"dictionary": document_frequencies(written), "stats": stats}
 
     more = S.kept(spark, key, make)
     postings = S.kept(spark, f"{key}-postings", dict)["postings"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from ..stores import exists, read_text, write_text
 
@@ -165,26 +165,37 @@ def uploaded_files(spark: SparkSession, path: str, engine=None) -> DataFrame:  #
 
 
 class _Page(InputPartition):
-    def __init__(self, number: int) -> None:
-        self.number = number
+    """Rows ``first`` to ``last`` (exclusive, None: all) of a page."""
+
+    def __init__(self, number: int, first: int = 0, last: int | None = None) -> None:
+        self.number, self.first, self.last = number, first, last
 
 
 class PagedSource(DataSource):
-    """``format("paged")``: a list that is served in pages, read a partition a page.
-    Options: ``fetch``, the name ``module:function`` of what takes (page, size) and the
-    filters by name, and returns rows as dicts, or them as ``items`` with the ``total``
-    of all pages; ``size``; ``filters``, a JSON object such as types and states; and
-    ``pages``, their number, which else the total decides."""
+    """``format("paged")``: a list that is served in pages, read a partition a page, as a
+    table or as a stream. Options: ``fetch``, the name ``module:function`` of what takes
+    (page, size) and the filters by name, and returns rows as dicts, or them as ``items``
+    with the ``total`` of all pages; ``size``; ``filters``, a JSON object such as types and
+    states; ``pages``, their number, which else the total decides; ``columns``, fields of
+    the items as further columns (DDL); and ``pushed``, a JSON object from such a column
+    to the filter that serves equality with one or several values of it.
+
+    A stream's offset is a number of items: the list grows at its end, and what is added
+    to a page that was read in part is read later, once. It needs a total."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "page int, item string"
+        more = self.options.get("columns")
+        return "page int, item string" + (f", {more}" if more else "")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _PagedReader(self.options)
+        return (_PushingReader if self.options.get("pushed") else _PagedReader)(self.options, schema)
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _PagedStream(self.options, schema)
 
 
 def named(function: str) -> Callable:
@@ -194,15 +205,24 @@ def named(function: str) -> Callable:
     return getattr(importlib.import_module(module), name)
 
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
+class _Pages:
+    """What batch and stream have in common."""
+
+    def __init__(self, options: dict, schema: T.StructType) -> None:
         self.pages, self.size, self.fetch = int(options.get("pages", -1)), int(options.get("size", 20)), options["fetch"]
-        self.filters = json.loads(options.get("filters") or "{}")
+        self.filters, self.serves = json.loads(options.get("filters") or "{}"), json.loads(options.get("pushed") or "{}")
+        self.more = [(f.name, f.dataType) for f in schema.fields[2:]]
 
     def _page(self, number: int) -> tuple[list[dict], int | None]:
         found = named(self.fetch)(number, self.size, **self.filters)
         return (found["items"], found.get("total")) if isinstance(found, dict) else (found, None)
 
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for row in self._page(partition.number)[0][partition.first : partition.last]:
+            yield partition.number, json.dumps(row, ensure_ascii=False, sort_keys=True), *[row.get(n) if not isinstance(k, T.StringType) or row.get(n) is None else str(row[n]) for n, k in self.more]
+
+
+class _PagedReader(_Pages, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         pages = self.pages
         if pages < 0:
@@ -210,9 +230,36 @@ class _PagedReader(DataSourceReader):
             pages = -(-(len(rows) if total is None else total) // self.size)
         return [_Page(n) for n in range(pages)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in self._page(partition.number)[0]:
-            yield partition.number, json.dumps(row, ensure_ascii=False, sort_keys=True)
+
+class _PushingReader(_PagedReader):
+    """Spark has this class only where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
+        """Equality with one or several values of a column that the service filters by is
+        left to it; all else Spark does."""
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            name = self.serves.get(column)
+            if name is None or name in self.filters:
+                yield f
+            else:
+                self.filters[name] = [f.value] if isinstance(f, EqualTo) else list(f.value)
+
+
+class _PagedStream(_Pages, DataSourceStreamReader):
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"items": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        rows, total = self._page(0)
+        return {"items": len(rows) if total is None else total}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, last, size = start["items"], end["items"], self.size
+        return [_Page(n, max(0, first - n * size), min(size, last - n * size)) for n in range(first // size, -(-last // size))] if last > first else []
+
+    def commit(self, end: dict) -> None:
+        pass  # a served list forgets nothing
 
 
 def details(ids: DataFrame, fetch: str, schema: str, id_col: str = "id") -> DataFrame:

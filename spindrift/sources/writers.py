@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..stores import stored, write_text
+from ..stores import remove, stored, swap, write_text
 
 
 #: Columns of exported records, in order.
@@ -44,8 +45,18 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, bom: b
 
 
 def write_json(df: DataFrame, path: str, append: bool = False, by: list[str] | None = None) -> None:
-    w = finite(df).write.mode("append" if append else "overwrite")
-    (w.partitionBy(*by) if by else w).json(path)
+    """Lines of JSON. What is overwritten stays whole until all of the new is written
+    beside it, and the job may read it; then the one takes the other's name."""
+    target = path if append else f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    w = finite(df).write.mode("append")
+    try:
+        (w.partitionBy(*by) if by else w).json(target)
+    except Exception:
+        if not append:
+            remove(df.sparkSession, target)
+        raise
+    if not append:
+        swap(df.sparkSession, target, path)
 
 
 def finite(df: DataFrame) -> DataFrame:
