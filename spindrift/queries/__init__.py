@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chunking, evaluation, extras, lexical, ranking, service, tables, vectors
+from . import chunking, evaluation, extras, lexical, ranking, service, streams, tables, vectors
 from .base import Query
 
-MODULES = (lexical, vectors, ranking, chunking, evaluation, tables, service, extras)
+MODULES = (lexical, vectors, ranking, chunking, evaluation, tables, service, extras, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -59,7 +59,19 @@ def e09_expected_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("case_id", F.size("expected").cast("long").alias("expected")).join(g, "case_id", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
 
 
-@Q.add()
+#: Each result takes the expected document that it is, else the first one that is left.
+NDCG = (
+    CASES.replace("WITH bm", "WITH RECURSIVE bm")
+    + """, e AS (SELECT query, list(doc::VARCHAR ORDER BY doc::VARCHAR) AS free, count(*) AS n FROM ex GROUP BY query),
+st AS (SELECT query, 0 AS r, free, n, 0.0E0 AS dcg FROM e UNION ALL
+  SELECT st.query, r + 1, CASE WHEN list_contains(free, bm.doc::VARCHAR) THEN list_filter(free, lambda x: x <> bm.doc::VARCHAR) WHEN bm.doc IS NOT NULL THEN free[2:] ELSE free END, n,
+    dcg + CASE WHEN list_contains(free, bm.doc::VARCHAR) THEN 7.0E0 WHEN bm.doc IS NOT NULL AND len(free) > 0 THEN 1.0E0 ELSE 0.0E0 END / log2(r + 2.0E0)
+  FROM st LEFT JOIN bm ON bm.query = st.query AND bm.rank = r + 1 WHERE r < 5)
+SELECT query AS case_id, round(least(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 7.0E0 / log2(i + 1.0E0))), 1.0E0), 3) AS ndcg_at_5 FROM st WHERE r = 5"""
+)
+
+
+@Q.add(NDCG)
 def e06_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(spark, sf_dir).select("case_id", "ndcg_at_5")
 

@@ -62,10 +62,12 @@ LETTER = "A-Za-z\\x{C0}-\\x{1EF9}"
 IDS_SQL = f"list_distinct(list_transform(regexp_extract_all(t, '\\b\\d{{1,4}}\\s*[/-]\\s*\\d{{4}}\\s*[/-]\\s*[{LETTER}]+(?:\\s*[-/]\\s*[{LETTER}0-9]+)*\\b'), lambda x: {identifier_form('x')}))"
 
 
-@Q.add(f"WITH {HARD_SQL} SELECT k, array_to_string(list_sort({IDS_SQL}), ' ') AS ids, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(t), '(?:điều|\\bdieu|\\barticle)\\s+(\\d+[a-z]?)\\b', 1), lambda x: x))), ' ') AS articles FROM h")
+@Q.add(f"WITH {HARD_SQL}, p AS (SELECT doc_id, coalesce(text, '') || ' | ' || h.t AS t FROM documents JOIN h ON h.k = doc_id % {len(HARD)}) SELECT doc_id, array_to_string(list_sort({IDS_SQL}), ' ') AS ids, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(t), '(?:điều|\\bdieu|\\barticle)\\s+(\\d+[a-z]?)\\b', 1), lambda x: x))), ' ') AS articles FROM p")
 def x08_extract_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers (X08) and articles (X09) of hard cases."""
-    return hard(spark).select("k", F.array_join(F.array_sort(X.identifiers(F.col("t"))), " ").alias("ids"), F.array_join(F.array_sort(X.article_numbers(F.col("t"))), " ").alias("articles"))
+    """Identifiers (X08) and articles (X09) of documents, each with a hard case."""
+    d = read(spark, sf_dir, "documents")
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), F.array(*map(F.lit, HARD))[(F.col("doc_id") % len(HARD)).cast("int")])
+    return d.select("doc_id", F.array_join(F.array_sort(X.identifiers(t)), " ").alias("ids"), F.array_join(F.array_sort(X.article_numbers(t)), " ").alias("articles"))
 
 
 @Q.add(f"""

@@ -370,13 +370,13 @@ def x18_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", X.safe_name(n).alias("safe"), G.safe_stem(n).alias("stem"), G.slug_title(F.translate(n, " ", "-")).alias("titled"))
 
 
-@Q.add("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'law' WHEN 1 THEN 'decree' WHEN 2 THEN 'circular' WHEN 3 THEN 'resolution' WHEN 4 THEN 'decision' ELSE 'other' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 9999) || '/2015/NĐ-CP' WHEN 1 THEN (o_orderkey % 9999) || '/2001/TT-BTC' ELSE (o_orderkey % 9999) || '-QD/TTG' END AS number FROM orders WHERE o_orderkey % 9999 > 0")
+@Q.add("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'law' WHEN 1 THEN 'decree' WHEN 2 THEN 'circular' WHEN 3 THEN 'resolution' WHEN 4 THEN 'decision' ELSE 'other' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 9999 + 1) || '/2015/NĐ-CP' WHEN 1 THEN (o_orderkey % 9999 + 1) || '/2001/TT-BTC' ELSE (o_orderkey % 9999 + 1) || '-QD/TTG' END AS number FROM orders")
 def x25_types_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document types and numbers out of files' names."""
-    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 9999).cast("string")
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 9999 + 1).cast("string")
     slug = F.element_at(F.array(*map(F.lit, ("law-output/luat/x.txt", "12_nghi-dinh-so-1", "a/thong_tu/b", "nghi_quyet_5", "0003-quyet-dinh", "other/5"))), (k % 6 + 1).cast("int"))
     name = F.when(k % 3 == 0, F.concat(n, F.lit("_2015_N_CP_x.txt"))).when(k % 3 == 1, F.concat(F.lit("so_"), n, F.lit("-2001-TT-BTC"))).otherwise(F.concat(n, F.lit("-QD-TTg.json")))
-    return read(spark, sf_dir, "orders").where("o_orderkey % 9999 > 0").select("o_orderkey", G.detected_type(slug).alias("kind"), G.number_from_slug(name).alias("number"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", G.detected_type(slug).alias("kind"), G.number_from_slug(name).alias("number"))
 
 
 @Q.add("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 900 + 1) || '/2019/QH14' WHEN 1 THEN (o_orderkey % 900 + 1) || '/2001/TT' ELSE '' END AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'Luật Đất Đai' ELSE 'Tệp ' || o_orderkey END AS title FROM orders")
@@ -486,12 +486,12 @@ def s09_stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).dictionary.select("term", "df")
 
 
-@Q.add("SELECT h.k, list_contains(['1', '3'], (h.k % 4)::VARCHAR) AS odd FROM h".replace("SELECT h.k", f"WITH {HARD_SQL} SELECT h.k"))
+@Q.add("SELECT doc_id AS k, doc_id % 2 = 1 AS odd FROM documents")
 def j19_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first processed upload with an id."""
-    done = hard(spark).where("k % 2 = 1").select(F.col("k").alias("id"), F.lit("ready").alias("status"))
-    entries = hard(spark).select(F.col("k").alias("id"), F.lit("processing").alias("status"))
-    return U.tracked(entries, done).select(F.col("id").alias("k"), (F.col("status") == "ready").alias("odd"))
+    """The processed upload with the id of each that is tracked."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    done = d.where("id % 2 = 1").select("id", F.lit("ready").alias("status"))
+    return U.tracked(d.select("id", F.lit("processing").alias("status")), done).select(F.col("id").alias("k"), (F.col("status") == "ready").alias("odd"))
 
 
 @Q.add(f"""
