@@ -75,6 +75,8 @@ SPLIT, MOST_PARTS, PART = 512, 30_000, 48
 #: that its others meet, and the rounds of that; rows of a bucket that no task holds
 #: whole.
 SMALL, FIRST, ROUNDS, HOT = 24, 6, ((0,), (1, 2, 3, 4, 5)), 50_000
+#: Rows that a dealt bucket has in several parts, over its rows, at most.
+REPEATED = 4
 #: Bytes of parities of such a bucket, and of those that a task holds at a time.
 HOT_BYTES, HELD_BYTES = 64_000_000, 32_000_000
 #: Most rows whose numbers are broadcast (as longs: 32 MB) to the table of texts.
@@ -533,8 +535,8 @@ def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches):  # noqa: ANN001, ANN202
-    """Candidates (a, b), a < b, of buckets (token, node, n, at, group, odd): all pairs
-    whose parities allow that they are similar."""
+    """Candidates (a, b), a < b, of buckets (token, node, n, at, group, copy, odd): all
+    pairs whose parities allow that they are similar, but of two copies."""
 
     def out(found: list[np.ndarray], odds: np.ndarray, rows: np.ndarray):  # noqa: ANN202
         at = np.concatenate(found)
@@ -555,7 +557,7 @@ def _pairs(batches):  # noqa: ANN001, ANN202
             # by size: once a text is too large, all further ones are
             on = (x[:, 0] == y[:, 0]) & (x[:, 2] >= SIMILAR * y[:, 2] - 1e-9)
             at, x, y = at[on], x[on], y[on]
-            ok = may_be_similar(x, y)
+            ok = may_be_similar(x, y) & ((x[:, 5] == 0) | (y[:, 5] == 0))
             found.append(np.stack([at[ok], at[ok] + step], axis=1))
             held += int(ok.sum())
             if held > CHUNK:
@@ -563,13 +565,13 @@ def _pairs(batches):  # noqa: ANN001, ANN202
                 found, held = [np.empty((0, 2), np.int64)], 0
         yield out(found, odds, rows)
 
-    kept, parities, size = np.empty((0, 5), np.int64), np.empty(0, object), 0
+    kept, parities, size = np.empty((0, 6), np.int64), np.empty(0, object), 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)])
-        parities = np.concatenate([parities, np.array([None, *batch.columns[5].to_pylist()], object)[1:]])
-        size += batch.columns[5].nbytes
+        kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]], axis=1)])
+        parities = np.concatenate([parities, np.array([None, *batch.columns[6].to_pylist()], object)[1:]])
+        size += batch.columns[6].nbytes
         last = np.flatnonzero(kept[:, 0] != kept[-1, 0]) if len(kept) >= CHUNK // 4 or size >= HELD_BYTES else []
         if len(last):  # whole buckets, which arrive in order
             cut = int(last[-1]) + 1
@@ -609,10 +611,19 @@ def all_pairs(buckets: DataFrame, group: DataFrame, hot: int, hot_bytes: int = H
     group: (node, group, odd)."""
     dealt = materialise(buckets.where("token IS NOT NULL").join(group, "node").select(*BUCKET, "group", "odd"), "dealt")
     counted = dealt.groupBy("token", "group").agg(F.count("*").alias("c"), F.sum(F.length("odd")).alias("size"))
-    counted = counted.groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("groups"), F.sum("c").alias("rows"), F.sum("size").alias("size"))
-    held = (F.col("rows") <= hot) & (F.col("size") <= hot_bytes)
-    several = materialise(counted.where("groups > 1").select("token", "major", held.alias("held")), "several")
-    few = dealt.join(several.where("held").select("token"), "token", "left_semi").repartition("token").sortWithinPartitions("token")
+    most = F.struct("c", "group")
+    counted = counted.groupBy("token").agg(F.max_by("group", most).alias("major"), F.max("c").alias("c"), F.count("*").alias("groups"), F.sum("c").alias("rows"), F.sum("size").alias("size"))
+    # a bucket that is dealt has the rows outside its largest group in all its parts
+    parts = F.ceil(F.col("rows") / SPLIT).cast("long")
+    held = (F.col("rows") <= hot) & (F.col("size") <= hot_bytes) & ((F.col("rows") - F.col("c")) * (parts - 1) <= F.col("rows") * REPEATED)
+    several = materialise(counted.where("groups > 1").select("token", "major", held.alias("held"), parts.alias("parts")), "several")
+    own, minor_row = F.pmod(F.xxhash64("node"), F.col("parts")), (F.col("group") != F.col("major")) & (F.col("parts") > 1)
+    few = dealt.join(several.where("held").select("token", "major", "parts"), "token")
+    few = few.withColumns({"own": own, "part": F.explode(F.when(minor_row, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own)))})
+    # two buckets of one key have more candidates than they need, and lose none
+    key = F.when(F.col("parts") > 1, F.xxhash64("token", "part")).otherwise(F.col("token"))
+    few = few.select(key.alias("token"), *BUCKET[1:], "group", (F.col("part") != F.col("own")).cast("long").alias("copy"), "odd")
+    few = few.repartition("token").sortWithinPartitions("token")
     pairs = few.mapInArrow(_pairs, "a long, b long").distinct()
     large = several.where("NOT held")
     minor = None

@@ -216,7 +216,7 @@ def test_keep_first_similar_texts(spark):
     assert kept == set(np.unique(label).tolist())
 
 
-def test_similar_pairs_of_hot_buckets(spark):
+def test_similar_pairs_of_hot_buckets(spark, monkeypatch):
     """Joins find what a task finds that holds a bucket whole."""
     rng = np.random.default_rng(9)
     rows = [(int(t), node, int(rng.integers(5, 30)), 0) for node in range(120) for t in rng.choice(8, 3, replace=False)]
@@ -232,6 +232,10 @@ def test_similar_pairs_of_hot_buckets(spark):
     limits = ((10**6, 10**9), (5, 10**9), (10**6, 100))  # by rows, and by bytes of parities
     runs = [{tuple(r) for r in simhash.all_pairs(buckets, group, *limit).collect()} for limit in limits]
     assert runs[0] == runs[1] == runs[2] == want
+    monkeypatch.setattr(simhash, "SPLIT", 10)  # dealt into parts, in the tasks or, where too much would repeat, by joins
+    for repeated in (10**6, 2):
+        monkeypatch.setattr(simhash, "REPEATED", repeated)
+        assert {tuple(r) for r in simhash.all_pairs(buckets, group, *limits[0]).collect()} == want
 
 
 def test_length_classes(spark):
