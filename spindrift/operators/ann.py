@@ -123,7 +123,7 @@ def build(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding", ce
     def make() -> dict[str, DataFrame]:
         rows = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # bounded
         if not rows:
-            q = Quantiser(np.zeros((1, 1)), np.zeros((1, 1, PART)), 1)
+            q = Quantiser(np.zeros((0, 0)), np.zeros((0, 1, PART)), 1)
         else:
             q = fit(np.array([r["v"] for r in rows], np.float64), cells)
         codes = v.mapInArrow(_coded(q), "cell int, id long, code binary")
@@ -180,7 +180,7 @@ def candidates(index: Cells, questions: DataFrame, many: int, probes: int | None
     if len(rows) > MOST:
         raise ValueError(f"at most {MOST} questions a batch; split the questions")
     form, q = "query long, id long, score double, met long", index.quantiser
-    if not rows:
+    if not rows or not len(q.centres):
         return questions.sparkSession.createDataFrame([], form)
     names, asked = np.array([r["q"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
     order = np.argsort(-(asked @ q.centres.T), axis=1)[:, : probes or q.probes]

@@ -147,7 +147,8 @@ def restrict_to_document(ranked: DataFrame, query_text: Column, haystack: Column
     marked = ranked.withColumn("match", F.coalesce(match, F.lit(False))).withColumn("overlap", X.content_overlap(text, X.content_tokens(query_text)))
     some = F.max("match").over(Window.partitionBy("query"))
     kept = marked.withColumn("some", some).where("match OR NOT some")
-    order = Window.partitionBy("query").orderBy(F.when(F.col("some"), -F.col("overlap")).otherwise(0.0), F.desc("score"), F.asc("doc"))
+    before = [F.asc("rank")] if "rank" in ranked.columns else [F.desc("score"), F.asc("doc")]
+    order = Window.partitionBy("query").orderBy(*[F.when(F.col("some"), -F.col(c)).otherwise(0.0) for c in ("overlap", "score")], *before)
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("some")
 
 

@@ -6,13 +6,20 @@ batches of questions; lists are short, as each was cut before it came here.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import legal as G
 from ..functions import text as X
+from .vectors import blocks_of
 
-#: Most distinct articles that chunks with a target are compared with.
+#: Most distinct articles that are broadcast at a time to chunks with a target.
 MOST_ARTICLES = 10_000
 #: Shares of the features in the rerank score.
 WEIGHTS = {"rrf": 0.38, "lexical": 0.20, "article": 0.12, "issue": 0.15, "coverage": 0.05, "pinned": 0.10}
@@ -115,6 +122,44 @@ def feature_rerank(fused: DataFrame, k: int, lexical: Column, article: Column, i
     return x.withColumn("rank", _rank([F.desc("rerank"), F.asc("fused_rank")])).where(F.col("rank") <= k)
 
 
+Scorer = Callable[[list[tuple[str, str]]], list[float]]
+
+
+def model_scores(question: Column, text: Column, load: Callable[[], Scorer], batch: int = 64) -> Column:
+    """Raw scores of pairs by a model that ``load`` gives, which a worker calls once for all
+    its pairs; pairs of all questions go to it together, ``batch`` at a time. Null where
+    it cannot be loaded, fails, or gives no finite number."""
+
+    @F.arrow_udf(T.DoubleType())
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            model = load()
+        except Exception:  # noqa: BLE001  whatever it is, the features rank instead
+            model = None
+        for q, t in batches:
+            pairs, out = list(zip(q.to_pylist(), t.to_pylist())), []
+            for k in range(0, len(pairs), batch):
+                some = [(a or "", b or "") for a, b in pairs[k : k + batch]]
+                try:
+                    found = [float(x) for x in model(some)] if model else []
+                except Exception:  # noqa: BLE001
+                    found = []
+                out += [x if math.isfinite(x) else None for x in found] if len(found) == len(some) else [None] * len(some)
+            yield pa.array(out, pa.float64())
+
+    return run(question, text)
+
+
+def rerank_or_keep(ranked: DataFrame, k: int, raw: str = "raw") -> DataFrame:
+    """model_rerank() of the queries all of whose results have a raw score; the others
+    keep the order and the scores that they have, ``reranked`` tells which."""
+    whole = F.min(F.col(raw).isNotNull()).over(Window.partitionBy("query"))
+    x = ranked.withColumn("reranked", whole)
+    by_model = model_rerank(x.where("reranked").drop("rerank", "fused_rank"), k, F.col(raw))
+    kept = x.where(~F.col("reranked") & (F.col("rank") <= k))
+    return by_model.unionByName(kept, allowMissingColumns=True)
+
+
 def model_rerank(ranked: DataFrame, k: int, raw: Column) -> DataFrame:
     """By a model's raw score, with its value scaled to 0..1 within the question; one
     where all are equal."""
@@ -169,17 +214,17 @@ def pinned_issues(issues: DataFrame, chunks: DataFrame, title: Column, seq: str,
     title that one of its hints names, ``most`` an issue. issues: (query, label,
     preferred_articles, hints); chunks: article_number and, if any, target_article.
     Articles meet by equality; of the few chunks with a target, each meets the
-    articles of the authored rules, whose number is checked."""
+    articles of the authored rules, in blocks of a checked size."""
     wanted = issues.withColumn("article", F.explode(F.array_distinct(F.transform("preferred_articles", X.fold))))
     c = chunks.withColumns({"__title": X.fold(title), "__article": X.fold(F.col("article_number"))})
     equal = c.join(wanted, F.col("__article") == F.col("article"))
     hit = equal
     if "target_article" in chunks.columns:
         articles = wanted.select("article").where("article <> ''").distinct()
-        if articles.limit(MOST_ARTICLES + 1).count() > MOST_ARTICLES:
-            raise ValueError(f"more than {MOST_ARTICLES} preferred articles; split the issues")
+        n = articles.count()
+        blocks = blocks_of(articles, "article", -(-n // MOST_ARTICLES)) if n > MOST_ARTICLES else [articles]
         changed = c.withColumn("__target", X.fold(F.col("target_article"))).where("__target <> ''")
-        named = changed.join(F.broadcast(articles.withColumnRenamed("article", "__named")), F.contains(F.col("__target"), F.col("__named"))).drop("__target")
+        named = reduce(DataFrame.unionByName, [changed.join(F.broadcast(a.withColumnRenamed("article", "__named")), F.contains(F.col("__target"), F.col("__named"))) for a in blocks]).drop("__target")
         hit = equal.unionByName(named.join(wanted, F.col("__named") == F.col("article")).drop("__named"))
     hinted = F.exists(F.transform("hints", X.fold), lambda h: (h != "") & F.contains(F.col("__title"), h))
     once = hit.where(hinted).drop("__title", "__article", "article").dropDuplicates(["query", "label", seq])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vector import cosine
+from .vectors import blocks_of
 
 
-#: Most entries of rules that every question is compared with.
+#: Most entries of rules that are broadcast at a time.
 MOST_ENTRIES = 20_000
 
 
@@ -28,13 +31,12 @@ def rule_entries(rules: DataFrame) -> DataFrame:
 
 def match(questions: DataFrame, entries: DataFrame, rules: DataFrame, least: float = 0.78, most: int = 3) -> DataFrame:
     """(query, label, score, confidence), the best entry a label, at most ``most``
-    labels. Rules are an authored table, whose size is checked before it is broadcast;
+    labels. Rules are an authored table, which is broadcast in blocks of a checked size;
     a question meets all of them."""
-    if entries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} rule entries; search them as vectors")
-    q = questions.select("query", F.col("embedding").alias("qv"))
-    entries = F.broadcast(entries)
-    scored = q.crossJoin(entries.select("label", F.col("embedding").alias("ev"))).select("query", "label", F.round(cosine(F.col("qv"), F.col("ev")), 6).alias("score"))
+    q, n = questions.select("query", F.col("embedding").alias("qv")), entries.count()
+    blocks = blocks_of(entries, "label", -(-n // MOST_ENTRIES)) if n > MOST_ENTRIES else [entries]
+    scored = reduce(DataFrame.unionByName, [q.crossJoin(F.broadcast(e.select("label", F.col("embedding").alias("ev")))) for e in blocks])
+    scored = scored.select("query", "label", F.round(cosine(F.col("qv"), F.col("ev")), 6).alias("score"))
     best = scored.where(F.col("score") >= least).groupBy("query", "label").agg(F.max("score").alias("score"))
     held = best.join(rules.select("label", F.col("confidence").alias("own")), "label", "left")
     held = held.withColumn("confidence", F.least(F.lit(0.99), F.greatest(F.coalesce("own", F.lit(0.9)), F.col("score"))))

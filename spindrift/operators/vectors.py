@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,23 @@ MOST, MOST_BYTES, BLOCK, ROWS = 20_000, 256_000_000, 512, 2048
 
 def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", decimals: int = 6) -> DataFrame:
     """(query, rank, id, score) by inner product; ties go to the smaller id."""
-    n = questions.limit(MOST + 1).count()
-    size = questions.select(F.max(F.size(vec_col))).first()[0] or 0
-    if n > MOST or n * size * 8 > MOST_BYTES:
-        raise ValueError(f"at most {MOST} questions and {MOST_BYTES} bytes of vectors a batch; split the questions")
+    n, size = questions.agg(F.count("*"), F.coalesce(F.max(F.size(vec_col)), F.lit(0))).first()
+    parts = max(-(-n // MOST), -(-n * size * 8 // MOST_BYTES), 1)
+    if parts > 1:  # one scan of the vectors a block of questions
+        blocks = blocks_of(questions, query_col, parts)
+        return reduce(DataFrame.unionByName, [top_k(vectors, q, k, id_col, vec_col, query_col, decimals) for q in blocks])
     scored = _by_columns(vectors, questions, id_col, vec_col, query_col) if n <= FEW else _by_matrix(vectors, questions, k, id_col, vec_col, query_col, decimals)
     scored = scored.withColumn("score", F.round("score", decimals))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
+def blocks_of(rows: DataFrame, key: str, parts: int) -> list[DataFrame]:
+    """Rows in so many parts, and half as many again as these may be uneven."""
+    parts = parts + -(-parts // 2)
+    return [rows.where(F.pmod(F.xxhash64(key, F.lit(parts)), F.lit(parts)) == i) for i in range(parts)]
+
+
 def _by_columns(vectors: DataFrame, questions: DataFrame, id_col: str, vec_col: str, query_col: str) -> DataFrame:
     q = questions.select(F.col(query_col).alias("query"), F.col(vec_col).alias("qv"))
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))

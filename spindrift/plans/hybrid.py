@@ -6,6 +6,7 @@ cut to their best before they are fused; texts join only what has survived fusio
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -243,6 +244,31 @@ def debug(sources: Sources, docs: DataFrame, questions: DataFrame, c: Columns, k
     return {mode: search(sources, docs, questions, c, k, mode) for mode in MODES}
 
 
+def timed(sources: Sources, docs: DataFrame, questions: DataFrame, c: Columns, k: int = 5, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """(mode, stage, rows, ms): what each stage of a search gives and takes, stage by
+    stage: every one is written before the next one reads it, so that its time is its
+    own. Longer than a search, which leaves all of them to one plan."""
+    out = []
+    per_list, most, reranked = max(6 * k, 30), max(8 * k, 40), max(3 * k, 12)
+    for mode in modes:
+        at = None
+        stages = {
+            "lists": lambda _: lists(sources, questions, c, per_list, mode, docs=docs) if c.position is None else fan_out(sources, docs, questions, c, per_list, mode),  # noqa: B023
+            "fused": lambda x: candidates(x, most),
+            "reranked": lambda x: rerank(x, docs, questions, c, reranked, None, sources.terms),
+            "kept": lambda x: R.threshold(x, k),
+        }
+        for stage, make in stages.items():
+            start = time.perf_counter()
+            made, n = S.stored(make(at), "timed")
+            out.append((mode, stage, n, int((time.perf_counter() - start) * 1000)))
+            if at is not None:
+                S.discard(at)
+            at = made
+        S.discard(at)
+    return docs.sparkSession.createDataFrame(out, "mode string, stage string, rows long, ms long")
+
+
 def context(results: DataFrame, fields: dict[str, Column], text: Column) -> DataFrame:
     """(query, context): numbered blocks of reference, score and text, in rank order.
     fields: document_title, doc_number, source_file, article_number, clause_number,

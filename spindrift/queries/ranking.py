@@ -246,7 +246,7 @@ m AS (SELECT r.query, r.named, r.doc, round(score, 4) AS score, rank, contains({
   replace({fold_search('text')}, 'đ', 'd') AS whole, replace({fold_search("regexp_extract(text, '^[^\\r\\n]*')")}, 'đ', 'd') AS head, replace({fold_search('substring(text, 1, 700)')}, 'đ', 'd') AS early
   FROM r JOIN docs USING (doc) JOIN cw USING (query)),
 o AS (SELECT *, bool_or(hit) OVER (PARTITION BY query) AS anyone, list_sum(list_transform(c, lambda t: CASE WHEN contains(head, t) THEN 3.0E0 WHEN contains(early, t) THEN 2.0E0 WHEN contains(whole, t) THEN 1.0E0 ELSE 0.0E0 END)) AS overlap FROM m),
-k AS (SELECT query, doc, score, CASE WHEN named THEN row_number() OVER (PARTITION BY query ORDER BY CASE WHEN anyone THEN -coalesce(overlap, 0) ELSE 0 END, score DESC, doc) ELSE rank END AS rank FROM o WHERE hit OR NOT anyone)
+k AS (SELECT query, doc, score, CASE WHEN named THEN row_number() OVER (PARTITION BY query ORDER BY CASE WHEN anyone THEN -coalesce(overlap, 0) ELSE 0 END, CASE WHEN anyone THEN -score ELSE 0 END, rank) ELSE rank END AS rank FROM o WHERE hit OR NOT anyone)
 SELECT query, rank::INTEGER AS rank, doc, score FROM k WHERE rank <= 5
 """
 
@@ -288,3 +288,36 @@ def r18_retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = RU.plan(b.select("query"), rules.select("query", F.lit(1).alias("rank"), "label", sure.alias("confidence")), rules.select("label", "retrieval_queries"))
     said = read(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("query"), F.col("turn").alias("seq"), F.col("text").alias("rewrite"))
     return H.retrieval_plan(b, issues, lambda open_: said.join(open_.select("query"), "query", "left_semi"))
+
+
+def length_model():  # noqa: ANN201
+    """A stand-in for a model, of which any process can say what it gives."""
+    return lambda pairs: [(len(q) * 31 + len(t) * 17) % 1000 / 1000 for q, t in pairs]
+
+
+@Q.add(
+    RERANK
+    + """, m AS (SELECT rr.query, rr.doc, rr.rank, ((length(b.text) * 31 + length(d.text) * 17) % 1000) / 1000.0E0 AS raw FROM rr JOIN documents d ON d.doc_id = doc JOIN benchmark b ON b.item_id = query WHERE rank <= 12),
+n AS (SELECT *, min(raw) OVER w AS lo, max(raw) OVER w AS hi FROM m WINDOW w AS (PARTITION BY query)),
+o AS (SELECT query, doc, CASE WHEN hi = lo THEN 1.0E0 ELSE round((raw - lo) / (hi - lo), 6) END AS rerank, row_number() OVER (PARTITION BY query ORDER BY raw DESC, rank) AS place FROM n)
+SELECT query, place::INTEGER AS rank, doc, round(rerank, 4) AS rerank, true AS reranked FROM o WHERE place <= 5"""
+)
+def r10_model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all passages scored by a model that is loaded once a worker."""
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    r = reranked(spark, sf_dir).join(d.select(F.col("doc_id").alias("doc"), "text"), "doc").join(b.select(F.col("item_id").alias("query"), F.col("text").alias("question")), "query")
+    scored = r.withColumn("raw", R.model_scores(F.col("question"), F.col("text"), length_model))
+    return R.rerank_or_keep(scored, 5).select("query", "rank", "doc", F.round("rerank", 4).alias("rerank"), "reranked")
+
+
+@Q.add(
+    RERANK
+    + """, x AS (SELECT *, count(*) FILTER (rerank >= 0.15E0) OVER (PARTITION BY query) AS n FROM rr WHERE rank <= 12),
+y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rerank >= 0.15E0 DESC, rank) AS place FROM x QUALIFY place <= greatest(n, 3) AND place <= 5)
+SELECT 'hybrid' AS mode, 'lists' AS stage, count(*) AS rows FROM lists UNION ALL SELECT 'hybrid', 'fused', count(*) FROM fused WHERE rank <= 40
+UNION ALL SELECT 'hybrid', 'reranked', count(*) FROM rr WHERE rank <= 15 UNION ALL SELECT 'hybrid', 'kept', count(*) FROM y"""
+)
+def r20_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage of a search gives; their times are measured besides."""
+    c = H.Columns("doc_id", "text", "item_id", "text", "source")
+    return H.timed(sources(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), c, 5, ("hybrid",)).select("mode", "stage", "rows")
