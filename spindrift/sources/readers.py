@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from ..stores import exists, read_text, write_text
+from .pdf import page_texts
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -139,7 +140,8 @@ def docx_text(content: bytes) -> str:
 
 def uploaded_files(spark: SparkSession, path: str, engine=None) -> DataFrame:  # noqa: ANN001
     """(path, kind, text, confidence) of uploaded files. ``engine``: bytes and kind to
-    (text, confidence), for PDF and images; without one these have null texts."""
+    (text, confidence), for images and for PDF files without any text (scans); without
+    one these have null texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,6 +152,8 @@ def uploaded_files(spark: SparkSession, path: str, engine=None) -> DataFrame:  #
                     text, sure = docx_text(content), 1.0
                 elif kind in ("html", "htm"):
                     text, sure = parse_html(content.decode("utf-8", "replace"))[0], 1.0
+                elif kind == "pdf" and any(pages := page_texts(content) or []):
+                    text, sure = "\n\n".join(pages), 1.0
                 elif kind in ("txt", "md"):
                     text, sure = content.decode("utf-8", "replace"), 1.0
                 else:
