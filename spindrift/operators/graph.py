@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..stores import stored
+from ..stores import discard, stored
 
 
 def last_by(df: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -97,19 +98,24 @@ def audit_totals(audited: DataFrame) -> DataFrame:
     return audited.agg(F.count("*").alias("checks"), F.count_if(F.col("matched") > 0).alias("found"), F.count_if(F.col("matched") == 0).alias("missing"))
 
 
-def flatten_hierarchy(nodes: DataFrame) -> DataFrame:
-    """Nodes (id, parent_id, title) of trees with depth and path, however deep: level
-    by level, each written before the next is joined to it."""
-    level = nodes.where("parent_id IS NULL").select("id", "parent_id", "title", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out, d = None, 0
+def flatten_hierarchy(nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """Nodes (id, parent_id, title) of trees with depth and path, however deep: level by
+    level, each written before the next is joined to it; one table is left. In order of
+    ``path`` each node is before its children, and siblings are by ``order`` and id."""
+    step = F.struct((F.col(order) if order else F.lit(0)).alias("at"), F.col("id").alias("id"))
+    columns = ["id", "parent_id", "title"]
+    level = nodes.where("parent_id IS NULL").select(*columns, F.lit(0).alias("depth"), F.array(step).alias("path"))
+    levels: list[DataFrame] = []
     while True:
         level, written = stored(level, "level")
+        levels.append(level)
         if not written:
-            return level if out is None else out
-        out = level if out is None else out.unionByName(level)
+            break
         up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("p"))
-        d += 1
-        level = nodes.join(up, "parent_id").select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("p", F.array("id")).alias("path"))
+        level = nodes.join(up, "parent_id").select(*columns, F.lit(len(levels)).alias("depth"), F.concat("p", F.array(step)).alias("path"))
+    out, _ = stored(reduce(DataFrame.unionByName, levels), "hierarchy")
+    discard(*levels)
+    return out
 
 
 #: What a node of a table of contents may name its parts.

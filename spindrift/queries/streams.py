@@ -14,6 +14,7 @@ from ..operators import rules as RU
 from ..operators import sessions as S
 from ..operators import uploads as U
 from ..operators import vectors as V
+from ..sources import writers as W
 from ..stores import Table, home
 from ..streaming import ingest
 from ..streaming import uploads as SU
@@ -151,3 +152,37 @@ def u05_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.substring("n_name", 1, 1).alias("provider"), (F.col("n_nationkey") % 2).alias("model"), F.lit(64).alias("dimension"))
     r = read(spark, sf_dir, "region").select(F.lit("hash").alias("provider"), F.lit(None).cast("string").alias("model"), F.lit(64).alias("dimension"))
     return V.check_manifests(n).select(F.lit(0).alias("region"), "*").unionByName(V.check_manifests(r).select(F.lit(9).alias("region"), "*"))
+
+
+@Q.add("""
+WITH a AS (SELECT conv_id * 1000 + turn AS query, string_split(coalesce(text, ''), ' ') AS d, CASE WHEN turn % 3 = 0 THEN 'away' END AS e FROM conversations WHERE role = 'assistant'),
+x AS (SELECT query, list_concat(list_transform(d, lambda w: '{"type":"answer_delta","delta":' || to_json(w) || '}'), [CASE WHEN e IS NULL THEN '{"type":"final","data":{"words":' || len(d) || '}}' ELSE '{"type":"error","error":"away"}' END]) AS v FROM a)
+SELECT query, unnest(range(len(v)))::INTEGER AS seq, unnest(v) AS event FROM x
+""")
+def k17_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as events, a word at a time, then their data or an error."""
+    c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    a = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), words.alias("w"), F.when(F.col("turn") % 3 == 0, "away").alias("e"))
+    return W.answer_events(a, F.col("w"), F.struct(F.size("w").alias("words")), F.col("e"))
+
+
+@Q.add("""
+WITH n AS (SELECT 'r' || r_regionkey AS id, r_regionkey AS a, -1 AS b, -1 AS c, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey, n_nationkey, -1, 1 FROM nation
+  UNION ALL SELECT 'c' || c_custkey, n_regionkey, n_nationkey, c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT id, depth, row_number() OVER (ORDER BY a, b, c) AS place FROM n
+""")
+def x33_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as one tree, in pre-order."""
+    from pyspark.sql import Window
+
+    from ..operators import graph as G
+
+    node = lambda t, i, k, up, p: read(spark, sf_dir, t).select(F.concat(F.lit(i), F.col(k).cast("string")).alias("id"), (F.concat(F.lit(up), F.col(p).cast("string")) if p else F.lit(None).cast("string")).alias("parent_id"), F.lit("t").alias("title"), F.col(k).cast("long").alias("k"))
+    nodes = node("region", "r", "r_regionkey", "", None).unionByName(node("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(node("customer", "c", "c_custkey", "n", "c_nationkey"))
+    tree = G.flatten_hierarchy(nodes, "k")
+    root = F.col("path")[0]["at"]
+    sizes = tree.groupBy(root.alias("root")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a few roots
+    inside = tree.withColumn("root", root).withColumn("i", F.row_number().over(Window.partitionBy("root").orderBy("path")))
+    return inside.join(F.broadcast(before), "root").select("id", "depth", (F.col("before") + F.col("i")).alias("place"))

@@ -120,6 +120,16 @@ def manifest(df: DataFrame, **fields: str | int) -> DataFrame:
     return df.agg(F.count("*").alias("count")).withColumns({k: F.lit(v) for k, v in fields.items()})
 
 
+def answer_events(answers: DataFrame, deltas: Column, data: Column, error: Column) -> DataFrame:
+    """(query, seq, event): an answer as the lines of JSON that a client reads as it comes:
+    a delta for each piece of it, then all of its data, or the error that ended it.
+    Sorted by query and seq, and written a file a query or read a query at a time."""
+    a = answers.select("query", F.coalesce(deltas, F.array().cast("array<string>")).alias("d"), data.alias("data"), error.alias("e"))
+    piece = F.transform("d", lambda x: F.to_json(F.struct(F.lit("answer_delta").alias("type"), x.alias("delta"))))
+    last = F.when(F.col("e").isNull(), F.to_json(F.struct(F.lit("final").alias("type"), F.col("data")))).otherwise(F.to_json(F.struct(F.lit("error").alias("type"), F.col("e").alias("error"))))
+    return a.select("query", F.posexplode(F.concat(piece, F.array(last))).alias("seq", "event"))
+
+
 def answer_stream(df: DataFrame):  # noqa: ANN201
     """Lines of JSON, one row at a time through the driver, for an answer that is read
     as it comes; tables are written by the writers above."""
