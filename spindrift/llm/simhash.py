@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, nested, table, unnested
+from .common import discard, give_back, materialise, nested, table, unnested
 
 SHINGLE = 4
 SEED = 42
@@ -354,7 +354,10 @@ def marks_udf(texts: pa.Array) -> pa.Array:
         node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
         rows.append((majority(hashes_of(words, SHINGLE)), node - (node >> 63 << 64), parity(np.unique(hashes_of(words, WORDS)).view(np.int64))))
     columns = list(zip(*rows)) or [[]] * 3
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["fp", "node", "odd"])
+    made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["fp", "node", "odd"])
+    rows.clear()
+    give_back()
+    return made
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -428,7 +431,7 @@ def _starts(counts: np.ndarray | None):  # noqa: ANN202
                     yield batch(held)
                     held, size = [], 0
         yield batch(held)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -519,7 +522,7 @@ def _bucket_batches(batches):  # noqa: ANN001, ANN202
             yield from state.take(np.concatenate(held))
             held, size = [], 0
     yield from state.take(np.concatenate(held) if held else np.empty((0, 5), np.int64), last=True)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def enough_left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -580,7 +583,7 @@ def _pairs(batches):  # noqa: ANN001, ANN202
             size = sum(map(len, parities))
     if len(kept):
         yield from run(kept, parities)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def left_over() -> Column:
@@ -642,12 +645,14 @@ def all_pairs(buckets: DataFrame, group: DataFrame, hot: int, hot_bytes: int = H
 
 @F.arrow_udf(T.BooleanType())
 def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    sets = lru_cache(256)(shingle_set)
+    sets = lru_cache(64)(shingle_set)
     out = []
     for x, y in zip(each(a), each(b)):
         x, y = sets(x), sets(y)
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+    sets.cache_clear()
+    give_back()
     return pa.array(out, pa.bool_())
 
 
