@@ -199,14 +199,20 @@ def cap_per_group(rows: DataFrame, group: list[str], seq: str, most: int) -> Dat
 def pinned_documents(questions: DataFrame, docs: DataFrame, query_text: str, haystack: Column, group: str, seq: str, most: int = 4) -> DataFrame:
     """Chunks whose ``haystack`` contains the form of a document number that a question
     names, ``most`` of each source. A number's form is digits and then letters: where
-    it is contained, its digits end a run of digits. So chunks meet questions by a
-    join on the ends of their runs, and no question meets every chunk."""
-    wanted = questions.select("query", F.explode(G.legal_numbers(F.col(query_text))).alias("identifier")).withColumn("__run", F.regexp_extract("identifier", r"^\d+", 0))
+    it is contained, its digits end a run of digits. So chunks meet numbers by a join on
+    the ends of their runs, and no question meets every chunk. Each number is looked up
+    once and cut to ``most`` chunks of a source, whoever names it, before it meets its
+    questions: the first ``most`` of all numbers of a question are among these."""
+    wanted = questions.select("query", F.explode(G.legal_numbers(F.col(query_text))).alias("identifier"))
+    numbers = wanted.select("identifier").distinct().withColumn("__run", F.regexp_extract("identifier", r"^\d+", 0))
     named = docs.withColumn("__form", X.identifier_form(haystack))
     ends = lambda run: F.transform(F.sequence(F.lit(5), F.least(F.lit(8), F.length(run))), lambda n: F.right(run, n))
     runs = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("__form", F.lit(r"\d{5,}"), F.lit(0)), ends)))
-    hit = named.withColumn("__run", F.explode(runs)).join(wanted, "__run").where(F.contains(F.col("__form"), F.col("identifier")))
-    return cap_per_group(hit.drop("__run", "__form").dropDuplicates(["query", group, seq]), ["query", group], seq, most)
+    met = named.withColumn("__run", F.explode(runs)).join(numbers, "__run").where(F.contains(F.col("__form"), F.col("identifier"))).drop("__run", "__form")
+    place = F.dense_rank().over(Window.partitionBy("identifier", group).orderBy(seq))  # which Spark limits before its shuffle
+    first = met.withColumn("__n", place).where(F.col("__n") <= most).drop("__n").dropDuplicates(["identifier", group, seq])
+    hit = first.join(wanted, "identifier").drop("identifier")
+    return cap_per_group(hit.dropDuplicates(["query", group, seq]), ["query", group], seq, most)
 
 
 def pinned_issues(issues: DataFrame, chunks: DataFrame, title: Column, seq: str, most: int = 3) -> DataFrame:
