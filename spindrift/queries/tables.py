@@ -7,7 +7,7 @@ from ..operators import graph as G
 from ..operators import sessions as S
 from ..operators import tables as T
 from ..sources import writers
-from ..sources.readers import html_blocks, html_text
+from ..sources.readers import html_blocks, html_text_closed
 from .base import Registry, read, squeeze
 
 Q = Registry()
@@ -96,7 +96,7 @@ b AS (SELECT page_id, string_split(regexp_replace(t, '(?s)<!--.*?-->|<[!/]?[a-zA
 SELECT page_id, array_to_string(list_filter(list_transform(parts, lambda x: {squeeze(PLAIN)}), lambda x: x <> ''), chr(10)) AS text FROM b
 """)
 def x20_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    return read(spark, sf_dir, "pages").select("page_id", html_text_closed(F.col("html")).alias("text"))
 
 
 @Q.add()
