@@ -45,10 +45,11 @@ def match(questions: DataFrame, entries: DataFrame, rules: DataFrame, least: flo
 
 
 def prune(matches: DataFrame, sure: float = 0.9, least: float = 0.78, gap: float = 0.08) -> DataFrame:
-    """Where the best match is sure, weaker ones need to be close to it."""
+    """Where the best match is sure, weaker ones need to be close to it: to six decimals,
+    so that one that is just as far off as the gap stays."""
     best = F.max("confidence").over(Window.partitionBy("query"))
     x = matches.withColumn("best", best)
-    return x.where((F.col("best") < sure) | (F.col("confidence") >= F.greatest(F.lit(least), F.col("best") - gap))).drop("best")
+    return x.where((F.col("best") < sure) | (F.col("confidence") >= F.greatest(F.lit(least), F.round(F.col("best") - gap, 6)))).drop("best")
 
 
 def plan(questions: DataFrame, matches: DataFrame, rules: DataFrame, sure: float = 0.9) -> DataFrame:
