@@ -63,11 +63,12 @@ def stored_terms(docs: DataFrame, c: Columns) -> DataFrame:
     return S.kept(docs.sparkSession, key, make)["terms"]
 
 
-def stored_sources(docs: DataFrame, c: Columns, kind: str = "bm25") -> Sources:
-    """Index and vectors of a table of files, as stored."""
+def stored_sources(docs: DataFrame, c: Columns, kind: str = "bm25", terms: bool = True) -> Sources:
+    """Index and vectors of a table of files, as stored; terms: those of every document as
+    well, which pays where many batches of questions are reranked."""
     t = X.tokens(F.col(c.text)) if kind == "bm25" else X.search_words(F.col(c.text))
     vectors, _ = VO.stored_vectors(docs, lambda: VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text))), "vectors", provider="hash", model="md5-64", id=c.doc)
-    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors, terms=stored_terms(docs, c))
+    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors, terms=stored_terms(docs, c) if terms else None)
 
 
 def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
@@ -109,22 +110,26 @@ def candidates(ranked: DataFrame, k: int) -> DataFrame:
 def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, c: Columns, k: int, issues: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Feature rerank of fused lists, by all questions of a query together. docs may
     have article_number, target_article and document_title; issues: (query, matches);
-    terms: (doc, terms), taken from the texts of the fused documents if not given."""
+    terms: (doc, terms), taken from the texts of the fused documents if not given. What is
+    fused is written and looked up, so that neither terms nor texts are shuffled."""
     has = set(docs.columns)
 
     def of(name: str) -> Column:
         return F.col(name) if name in has else F.lit(None).cast("string")
 
-    q = _asked(questions, c)
-    x = fused.join(q, "query")
+    fused, n = S.stored(fused, "fused")
+    few = F.broadcast if n <= S.FEW else lambda df: df
+    wanted = few(fused.select("doc").distinct())
     if terms is None:
-        terms = docs.join(fused.select(F.col("doc").alias(c.doc)).distinct(), c.doc).select(F.col(c.doc).alias("doc"), R.distinct_terms(body_of(docs.columns, c)).alias("terms"))
-    x = x.join(terms.select("doc", F.col("terms").alias("__terms")), "doc")
+        terms = docs.withColumn("doc", F.col(c.doc)).join(wanted, "doc").select("doc", R.distinct_terms(body_of(docs.columns, c)).alias("terms"))
+    else:
+        terms = terms.join(wanted, "doc")
+    x = fused.join(_asked(questions, c), "query").join(terms.select("doc", F.col("terms").alias("__terms")), "doc")
     none = F.array().cast("array<struct<preferred_articles:array<string>,document_title_hints:array<string>>>")
     if issues is not None or has & {"article_number", "target_article"}:
         title = F.concat_ws(" ", of("document_title"), of("doc_number"), of("doc_type"), F.col(c.source) if c.source else F.lit(None).cast("string"), F.substring(c.text, 1, 400))
         d = docs.select(F.col(c.doc).alias("doc"), of("article_number").alias("__article"), of("target_article").alias("__target"), title.alias("__title"))
-        x = x.join(d, "doc")
+        x = x.join(d.join(wanted, "doc"), "doc")
     else:
         x = x.withColumns({n: F.lit(None).cast("string") for n in ("__article", "__target", "__title")})
     x = x.join(issues, "query", "left").withColumn("matches", F.coalesce("matches", none)) if issues is not None else x.withColumn("matches", none)

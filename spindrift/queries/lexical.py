@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import stores as S
 from ..functions import text as X
 from ..operators import lexical as L
 from ..operators import ranking as R
@@ -87,8 +88,8 @@ def x15_content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents that hold a question verbatim. Questions are a table of bounded size;
-    equal five-word starts are looked up first, so that no document meets all. Of
-    under six words no window is sure to be whole in the text: such questions are
+    equal five-word starts are looked up first, so that no document meets all, and the
+    pairs found, which are few, go to the texts rather than these to them. Of under six words no window is sure to be whole in the text: such questions are
     broadcast and searched in every document."""
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = 4
@@ -96,9 +97,10 @@ def planted(questions: DataFrame, docs: DataFrame) -> DataFrame:
     grams = F.array_distinct(X.let(words, windows))
     q = F.filter(F.split(F.col("question"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # the first word may be the end of a longer one in the text: start from the second
-    asked = questions.where(F.size(q) >= n + 2).select("item_id", "question", F.xxhash64(F.slice(q, 2, n)).alias("g"))
-    held = docs.select("doc_id", F.explode(grams).alias("g")).join(asked, "g").select("doc_id", "item_id", "question").distinct()
-    long = held.join(docs, "doc_id").where(F.contains("text", F.col("question")))
+    asked = S.looked_up(questions.where(F.size(q) >= n + 2).select("item_id", F.xxhash64(F.slice(q, 2, n)).alias("g")), "asked")
+    held = docs.select("doc_id", F.explode(grams).alias("g")).join(asked, "g").select("doc_id", "item_id").distinct()
+    long = docs.join(S.looked_up(held, "held"), "doc_id").join(questions.select("item_id", "question"), "item_id")
+    long = long.where(F.contains("text", F.col("question")))
     short = questions.where(F.size(q) < n + 2).select("item_id", "question")
     return long.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("question"))).select(long.columns))
 

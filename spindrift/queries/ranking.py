@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import stores as S
 from ..functions import text as X
 from ..operators import lexical as L
 from ..operators import ranking as R
@@ -33,7 +34,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, fir
 
 
 def sources(spark: SparkSession, sf_dir: str) -> H.Sources:
-    return H.stored_sources(read(spark, sf_dir, "documents"), H.Columns("doc_id", "text", "item_id", "text", "source"))
+    return H.stored_sources(read(spark, sf_dir, "documents"), H.Columns("doc_id", "text", "item_id", "text", "source"), terms=False)
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
@@ -305,7 +306,7 @@ SELECT query, place::INTEGER AS rank, doc, round(rerank, 4) AS rerank, true AS r
 def r10_model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all passages scored by a model that is loaded once a worker."""
     d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    r = reranked(spark, sf_dir).join(d.select(F.col("doc_id").alias("doc"), "text"), "doc").join(b.select(F.col("item_id").alias("query"), F.col("text").alias("question")), "query")
+    r = d.select(F.col("doc_id").alias("doc"), "text").join(S.looked_up(reranked(spark, sf_dir), "reranked"), "doc").join(b.select(F.col("item_id").alias("query"), F.col("text").alias("question")), "query")
     scored = r.withColumn("raw", R.model_scores(F.col("question"), F.col("text"), length_model))
     return R.rerank_or_keep(scored, 5).select("query", "rank", "doc", F.round("rerank", 4).alias("rerank"), "reranked")
 

@@ -89,6 +89,17 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
+#: Most rows of a table that is broadcast.
+FEW = 200_000
+
+
+def looked_up(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and marked for broadcast if its rows are few, as counted: so a
+    table of texts that it is joined with stays where it is."""
+    out, n = stored(df, name)
+    return F.broadcast(out) if n <= FEW else out
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what stored() has written, once nothing reads it any more."""
     for df in written:
