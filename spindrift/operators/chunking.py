@@ -302,25 +302,35 @@ def merge_short(found: list[Piece], sizes: Sizes = Sizes()) -> list[Piece]:
     return out
 
 
-PIECES = T.ArrayType(
-    T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("chunk_id", "text", "clause_number", "point_number")]
-        + [T.StructField("fallback_split", T.BooleanType()), T.StructField("merged_chunk_ids", T.ArrayType(T.StringType()))]
-    )
-)
+#: Characters of pieces after which a worker hands on what it has cut.
+HANDED = 4_000_000
+
 
+def _cut(rows: DataFrame, sizes: Sizes, measure: Callable[[str], int] = len) -> DataFrame:
+    """(d, k, n, s): each row's struct ``d`` with a piece ``s`` of its text, the k-th of n. A
+    worker has one text and the pieces that it has not handed on, not those of a batch."""
+    names = ("chunk_id", "text", "clause_number", "point_number")
+    kind = pa.struct([(n, pa.string()) for n in names] + [("fallback_split", pa.bool_()), ("merged_chunk_ids", pa.list_(pa.string()))])
+    form = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("fallback_split", T.BooleanType()), T.StructField("merged_chunk_ids", T.ArrayType(T.StringType()))])
 
-def _splitter(sizes: Sizes, measure: Callable[[str], int] = len) -> Callable[..., Column]:
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("chunk_id", "text", "clause_number", "point_number")] + [("fallback_split", pa.bool_()), ("merged_chunk_ids", pa.list_(pa.string()))]))
+    def handed(given: pa.RecordBatch, held: list[tuple[int, int, int, dict]]) -> pa.RecordBatch:
+        at, k, n, s = zip(*held) if held else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([given.column(0).take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(s, kind)], ["d", "k", "n", "s"])
 
-    @F.arrow_udf(PIECES)
-    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        rows = []
-        for i, t in zip(ids.to_pylist(), texts.to_pylist()):
-            rows.append([{"chunk_id": p["id"], "text": p["text"], "clause_number": p["clause"], "point_number": p["point"], "fallback_split": p["cut"], "merged_chunk_ids": p["merged"]} for p in split_chunk(i or "", t or "", sizes, measure)])
-        return pa.array(rows, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size = [], 0
+            for at, (i, t) in enumerate(zip(b.column(1), b.column(2))):
+                found = split_chunk(i.as_py() or "", t.as_py() or "", sizes, measure)
+                for k, p in enumerate(found, 1):
+                    held.append((at, k, len(found), {"chunk_id": p["id"], "text": p["text"], "clause_number": p["clause"], "point_number": p["point"], "fallback_split": p["cut"], "merged_chunk_ids": p["merged"]}))
+                    size += len(p["text"])
+                    if size > HANDED:
+                        yield handed(b, held)
+                        held, size = [], 0
+            yield handed(b, held)
 
-    return run
+    return rows.mapInArrow(run, T.StructType([rows.schema["d"], T.StructField("k", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("s", form)]))
 
 
 def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", text: str = "text", length: Callable[[Column], Column] = F.length, measure: Callable[[str], int] = len) -> DataFrame:
@@ -332,9 +342,10 @@ def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", t
     fits = F.greatest(F.length(text), length(F.col(text))) <= sizes.most
     others = [c for c in chunks.columns if c not in (id_col, text)]
     s = F.col("s")
-    cut = flat.where(~fits).withColumn("p", _splitter(sizes, measure)(F.col(id_col), F.col(text))).select("*", F.posexplode("p").alias("k", "s"))
+    d = F.col("d")
+    cut = _cut(flat.where(~fits).select(F.struct(id_col, *others).alias("d"), F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")), sizes, measure)
     cut = cut.select(
-        s["chunk_id"].alias(id_col), s["text"].alias(text), *others, F.col(id_col).alias("parent_chunk_id"), (F.col("k") + 1).alias("part_index"), F.size("p").alias("part_count"),
+        s["chunk_id"].alias(id_col), s["text"].alias(text), *[d[c].alias(c) for c in others], d[id_col].alias("parent_chunk_id"), F.col("k").alias("part_index"), F.col("n").alias("part_count"),
         s["clause_number"].alias("clause_number"), s["point_number"].alias("point_number"), s["fallback_split"].alias("fallback_split"), s["merged_chunk_ids"].alias("merged_chunk_ids"),
     )
     whole = flat.where(fits).select(id_col, text, *others)
