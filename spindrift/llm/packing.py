@@ -53,8 +53,8 @@ ROUNDS, LAST = 4, 8
 #: Stands for the round in the numbers of sequences that one whole piece fills. A
 #: number is the round, the shard and the bin (below 2 ** BIN_BITS) side by side.
 WHOLE, BIN_BITS = 7, 16
-#: Most words a worker remembers.
-MEMORY = 200_000
+#: Most words a worker remembers; in the pipeline fewer, as its workers hold more.
+MEMORY, LESS_MEMORY = 400_000, 200_000
 
 # --- tokens -----------------------------------------------------------------
 
@@ -69,7 +69,8 @@ class Words(dict):
     text are encoded one by one. A word's last character merges with the end mark
     first, as the vocabulary's word ends do."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
+        self.memory = memory
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -109,7 +110,7 @@ class Words(dict):
         for piece in self._pieces(text):
             ids += [self._ids[r] for r in self._encode(piece.encode() + b"\0")]
         out = array("I", ids).tobytes()
-        if len(self) >= MEMORY:
+        if len(self) >= self.memory:
             self.clear()
         if len(word) <= 64:
             self[word] = out
@@ -122,8 +123,8 @@ class Words(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, memory: int = MEMORY) -> Words:
+    return Words(path, memory)
 
 
 PIECES = "doc_id long, piece int, start long, length long"
@@ -131,7 +132,7 @@ PIECES = "doc_id long, piece int, start long, length long"
 HANDED = 8_000_000
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, ids: bool = True, memory: int = MEMORY) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, and ids (bytes,
     little-endian unsigned 32-bit) or else their ids_crc32."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if ids else pa.int64()]
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = words(path)
+        coder = words(path, memory)
         end = array("I", [END_ID]).tobytes()
         for b in batches:
             rows: list[tuple] = []
@@ -407,8 +408,8 @@ def pack_documents(cut: DataFrame) -> DataFrame:
     return kept.join(places, F.col("__key") == F.col("key")).drop("__key", "key")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    return pack_documents(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False))
+def _packed(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
+    return pack_documents(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False, memory=memory))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,4 +418,4 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the places of all that the stages before have kept."""
-    return _packed(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return _packed(docs, LESS_MEMORY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
