@@ -8,6 +8,10 @@ no question probes. How many cells a question probes is tuned on the sample: as
 hold ``TARGET`` of the nearest neighbours there. Where vectors are clustered that is a
 few; vectors without any structure share no cells with their neighbours, and most cells
 are probed, at the price of their codes, which are a sixteenth of the vectors or less.
+
+Codes do not tell near copies apart. Where more rows than there are candidates may be as
+near to a question as its k-th best, by the error of the codes, the question is crowded,
+and answered by exact search.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import stores as S
 from ..functions.vector import dot
-from .vectors import merged
+from .vectors import first_own, merged, top_k
 
 #: Vectors that the quantisers are fitted on, and of these such that probes are tuned with.
 SAMPLE, ASKED = 16_384, 256
@@ -41,6 +45,8 @@ class Quantiser:
     centres: np.ndarray  # cell, dimension
     books: np.ndarray  # part, code, dimension of the part
     probes: int
+    #: Standard error of a score by codes, measured on the sample.
+    error: float = 0.0
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells and codes of vectors."""
@@ -48,6 +54,10 @@ class Quantiser:
         rest = padded(x - self.centres[cell], self.books.shape[0])
         return cell, np.stack([nearest(part, book) for part, book in zip(np.split(rest, self.books.shape[0], axis=1), self.books)], axis=1).astype(np.uint8)
 
+    def decoded(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        rest = np.concatenate([book[c] for book, c in zip(self.books, code.T)], axis=1)
+        return self.centres[cell] + rest[:, : self.centres.shape[1]]
+
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(axis=1) / 2
@@ -90,7 +100,8 @@ def fit(sample: np.ndarray, cells: int | None = None, seed: int = 7) -> Quantise
     place = np.argsort(order, axis=1)  # the place of each cell among those of a question
     needed = np.sort(np.take_along_axis(place, own[best], axis=1).reshape(-1))
     probes = int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)]) + 1 if len(needed) else 1
-    return Quantiser(centres, books, probes)
+    made = Quantiser(centres, books, probes)
+    return Quantiser(centres, books, probes, float((sample[asked] @ (sample - made.decoded(*made.code(sample))).T).std()))
 
 
 @dataclass(frozen=True)
@@ -118,7 +129,7 @@ def build(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding", ce
     these files, else fitted, coded and stored."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    key = f"{name}-{S.signature(vectors, id_col, vec_col, str(cells), '1')}"
+    key = f"{name}-{S.signature(vectors, id_col, vec_col, str(cells), '2')}"
 
     def make() -> dict[str, DataFrame]:
         rows = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # bounded
@@ -129,14 +140,14 @@ def build(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding", ce
         codes = v.mapInArrow(_coded(q), "cell int, id long, code binary")
         # by range, so that a large cell is several files; sorted, so that others are skipped
         codes = codes.repartitionByRange("cell", "id").sortWithinPartitions("cell")
-        fitted_ = spark.createDataFrame([(bytearray(pickle.dumps((q.centres, q.books, q.probes))),)], "quantiser binary")
+        fitted_ = spark.createDataFrame([(bytearray(pickle.dumps((q.centres, q.books, q.probes, q.error))),)], "quantiser binary")
         return {"codes": codes, "quantiser": fitted_, "vectors": v}
 
     held = S.kept(spark, key, make)
     return Cells(Quantiser(*pickle.loads(held["quantiser"].first()[0])), held["codes"], held["vectors"])  # noqa: S301  written above
 
 
-def _scan(names: np.ndarray, asked: np.ndarray, q: Quantiser, probed: np.ndarray, k: int):  # noqa: ANN202
+def _scan(names: np.ndarray, asked: np.ndarray, q: Quantiser, probed: np.ndarray, k: int, own: bool):  # noqa: ANN202
     """(query, id, score, met): a task's best k candidates of each question by its codes,
     and as id null the number of codes it has met."""
     parts = q.books.shape[0]
@@ -161,7 +172,7 @@ def _scan(names: np.ndarray, asked: np.ndarray, q: Quantiser, probed: np.ndarray
                         who, rows = np.flatnonzero(probed[block, cell]), np.flatnonzero(of == k_)
                         if len(who):
                             scores[np.ix_(who, rows)] = base[block][who, cell][:, None] + sum(table[p][np.ix_(who, codes[rows, p])] for p in range(parts))
-                    best[n] = merged(best[n], scores, ids, k)
+                    best[n] = merged(best[n], first_own(scores, names[block], ids) if own else scores, ids, k)
         for block, found in zip(blocks, best):
             if found is not None:
                 s, i = found
@@ -173,7 +184,7 @@ def _scan(names: np.ndarray, asked: np.ndarray, q: Quantiser, probed: np.ndarray
     return run
 
 
-def candidates(index: Cells, questions: DataFrame, many: int, probes: int | None = None, vec_col: str = "embedding", query_col: str = "query") -> DataFrame:
+def candidates(index: Cells, questions: DataFrame, many: int, probes: int | None = None, vec_col: str = "embedding", query_col: str = "query", own: bool = False) -> DataFrame:
     """(query, id, score, met): the ``many`` best of each question and task by codes;
     rows without an id say how many codes a task has met for a question."""
     rows = questions.select(F.col(query_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("v")).limit(MOST + 1).collect()
@@ -188,19 +199,30 @@ def candidates(index: Cells, questions: DataFrame, many: int, probes: int | None
     np.put_along_axis(probed, order, True, axis=1)
     wanted = np.flatnonzero(probed.any(axis=0)).tolist()
     codes = index.codes if len(wanted) == len(q.centres) else index.codes.where(F.col("cell").isin(wanted))
-    return codes.select("cell", "id", "code").mapInArrow(_scan(names, asked, q, probed, many), form)
+    return codes.select("cell", "id", "code").mapInArrow(_scan(names, asked, q, probed, many, own), form)
 
 
-def search(index: Cells, questions: DataFrame, k: int, many: int | None = None, probes: int | None = None, vec_col: str = "embedding", query_col: str = "query") -> DataFrame:
+def search(index: Cells, questions: DataFrame, k: int, many: int | None = None, probes: int | None = None, vec_col: str = "embedding", query_col: str = "query", own: bool = False) -> DataFrame:
     """(query, rank, id, score): of the ``many`` best by codes (20 k, 100 at least) those
-    with the greatest inner products; ties go to the smaller id."""
-    n = many or max(20 * k, 100)
-    found = candidates(index, questions, n, probes, vec_col, query_col).where(F.col("id").isNotNull())
+    with the greatest inner products; crowded questions (see above) by exact search. Ties
+    go to the smaller id; own: questions are rows of the table, by their ids, and each of
+    them goes before those that tie with it."""
+    n = max(many or max(20 * k, 100), k)
+    found = candidates(index, questions, n, probes, vec_col, query_col, own).where(F.col("id").isNotNull())
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
-    few = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("query", "id")
+    few = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("query", "id", F.col("score").alias("coded"))
     q = questions.select(F.col(query_col).cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("qv"))
-    scored = few.join(index.vectors, "id").join(q, "query").select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    scored = few.join(index.vectors, "id").join(q, "query").select("query", "id", "coded", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+    scored, _ = S.stored(scored, "scored")
+    at = Window.partitionBy("query").orderBy(F.desc("score"), *([F.col("id") != F.col("query")] if own else []), F.asc("id"))
+    ranked = scored.withColumn("rank", F.row_number().over(at))
+    each = ranked.groupBy("query").agg(F.count("*").alias("n"), F.min("coded").alias("least"), F.min(F.when(F.col("rank") <= k, F.col("score"))).alias("kth"))
+    crowded, some = S.stored(each.where((F.col("n") >= n) & (F.col("least") + F.lit(index.quantiser.error) > F.col("kth"))).select("query"), "crowded")
+    out = ranked.where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    if not some:
+        return out
+    exact = top_k(index.vectors, q.join(F.broadcast(crowded), "query"), k, "id", "v", "query", vec_of="qv", own=own)  # at most MOST
+    return out.join(F.broadcast(crowded), "query", "left_anti").unionByName(exact)
 
 
 def recall(index: Cells, exact: DataFrame, questions: DataFrame, k: int, probes: int | None = None, vec_col: str = "embedding", query_col: str = "query") -> DataFrame:

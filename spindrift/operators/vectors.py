@@ -28,16 +28,22 @@ FEW = 32
 MOST, MOST_BYTES, BLOCK, ROWS = 20_000, 256_000_000, 512, 2048
 
 
-def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", decimals: int = 6) -> DataFrame:
-    """(query, rank, id, score) by inner product; ties go to the smaller id."""
+def top_k(
+    vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", decimals: int = 6, vec_of: str | None = None, own: bool = False
+) -> DataFrame:
+    """(query, rank, id, score) by inner product; ties go to the smaller id. vec_of: the
+    questions' column of vectors, if not ``vec_col``; own: questions are rows of the
+    table, by their ids, and each of them goes before those that tie with it."""
+    if vec_of is not None:
+        questions = questions.select(query_col, F.col(vec_of).alias(vec_col))
     n, size = questions.agg(F.count("*"), F.coalesce(F.max(F.size(vec_col)), F.lit(0))).first()
     parts = max(-(-n // MOST), -(-n * size * 8 // MOST_BYTES), 1)
     if parts > 1:  # one scan of the vectors a block of questions
         blocks = blocks_of(questions, query_col, parts)
-        return reduce(DataFrame.unionByName, [top_k(vectors, q, k, id_col, vec_col, query_col, decimals) for q in blocks])
-    scored = _by_columns(vectors, questions, id_col, vec_col, query_col) if n <= FEW else _by_matrix(vectors, questions, k, id_col, vec_col, query_col, decimals)
+        return reduce(DataFrame.unionByName, [top_k(vectors, q, k, id_col, vec_col, query_col, decimals, None, own) for q in blocks])
+    scored = _by_columns(vectors, questions, id_col, vec_col, query_col) if n <= FEW else _by_matrix(vectors, questions, k, id_col, vec_col, query_col, decimals, own)
     scored = scored.withColumn("score", F.round("score", decimals))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), *([F.col("id") != F.col("query")] if own else []), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
@@ -53,7 +59,7 @@ def _by_columns(vectors: DataFrame, questions: DataFrame, id_col: str, vec_col:
     return v.crossJoin(F.broadcast(q)).select("query", "id", dot(F.col("qv"), F.col("v")).alias("score"))  # at most FEW questions
 
 
-def _by_matrix(vectors: DataFrame, questions: DataFrame, k: int, id_col: str, vec_col: str, query_col: str, decimals: int) -> DataFrame:
+def _by_matrix(vectors: DataFrame, questions: DataFrame, k: int, id_col: str, vec_col: str, query_col: str, decimals: int, own: bool = False) -> DataFrame:
     rows = questions.select(query_col, vec_col).collect()  # at most MOST, checked above
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
@@ -66,7 +72,8 @@ def _by_matrix(vectors: DataFrame, questions: DataFrame, k: int, id_col: str, ve
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1).T
                 for n in range(len(best)):
-                    best[n] = merged(best[n], np.round(matrix[n * BLOCK : (n + 1) * BLOCK] @ v, decimals), ids, k)
+                    scores = np.round(matrix[n * BLOCK : (n + 1) * BLOCK] @ v, decimals)
+                    best[n] = merged(best[n], first_own(scores, names[n * BLOCK : (n + 1) * BLOCK], ids) if own else scores, ids, k)
         for n, found in enumerate(best):
             if found is not None:
                 s, i = found
@@ -75,6 +82,12 @@ def _by_matrix(vectors: DataFrame, questions: DataFrame, k: int, id_col: str, ve
     return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "query long, id long, score double")
 
 
+def first_own(scores: np.ndarray, names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Scores by question and row, those of a question's own row raised by less than they
+    are rounded to, so that it goes before its equals."""
+    return np.where(names[:, None] == ids, scores + 1e-9, scores)
+
+
 def merged(best: tuple[np.ndarray, np.ndarray] | None, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best scores a row, and their ids, of those so far and new ones; ties go
     to smaller ids. Only what reaches the k-th best score is sorted."""
@@ -164,12 +177,14 @@ def rows_of(metadata: DataFrame, places: DataFrame, place: str = "vec_idx") -> D
     return places.where(F.col(place) >= 0).join(metadata, place)
 
 
-def approximate(vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query") -> DataFrame:
+def approximate(
+    vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query", own: bool = False
+) -> DataFrame:
     """As top_k(), but by the stored index of ``vectors`` (see ann.py): of each question
     the ``candidates`` (20 k, 100 at least) that are best by their codes are compared."""
     from . import ann
 
-    return ann.search(ann.build(vectors, id_col, vec_col), questions, k, candidates, None, vec_col, query_col)
+    return ann.search(ann.build(vectors, id_col, vec_col), questions, k, candidates, None, vec_col, query_col, own)
 
 
 def merge_indexes(indexes: list[tuple[str, DataFrame]], id_col: str = "id") -> DataFrame:
