@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,27 +105,29 @@ def merged(best: tuple[np.ndarray, np.ndarray] | None, s: np.ndarray, ids: np.nd
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _hashed(tokens: pa.Array, sizes: pa.Array) -> pa.Array:
+def _hashed(tokens: pa.Array, counts: pa.Array, sizes: pa.Array) -> pa.Array:
+    """counts: how often each token comes; null: as often as it is listed."""
     size = sizes[0].as_py() if len(sizes) else 0
-    known: dict[str, int] = {}
     out = np.zeros((len(tokens), size))
-    for k, words in enumerate(tokens):
-        for t in words.as_py() or ():
-            b = known.get(t)
-            if b is None:
-                b = known[t] = int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % size
-            out[k, b] += 1
+    for start in range(0, len(tokens), ROWS):
+        some, times = tokens.slice(start, ROWS), counts.slice(start, ROWS)
+        words = some.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % size for t in words.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(some)), pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False))
+        weights = None if times.null_count else times.flatten().to_numpy(zero_copy_only=False)
+        out[start : start + ROWS] = np.bincount(row * size + bucket[words.indices.to_numpy(zero_copy_only=False)], weights, len(some) * size).reshape(-1, size)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     out /= np.where(length == 0, 1, length)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * size, pa.int32()), pa.array(out.ravel()))
 
 
-def hash_embed(docs: DataFrame, id_col: str, terms, size: int = 64) -> DataFrame:  # noqa: ANN001
+def hash_embed(docs: DataFrame, id_col: str, terms, size: int = 64, counts: Column | None = None) -> DataFrame:  # noqa: ANN001
     """A deterministic stand-in for an embedding service: unit vectors of hashed
     token counts, (id, embedding), a row a document with any token. Nothing is
-    shuffled."""
-    some = docs.select(F.col(id_col).alias("id"), terms.alias("t")).where(F.size("t") > 0)
-    return some.select("id", _hashed(F.col("t"), F.lit(size)).alias("embedding"))
+    shuffled. counts: of terms that are listed once each, how often they come."""
+    n = F.lit(None).cast("array<long>") if counts is None else counts
+    some = docs.select(F.col(id_col).alias("id"), terms.alias("t"), n.alias("n")).where(F.size("t") > 0)
+    return some.select("id", _hashed(F.col("t"), F.col("n"), F.lit(size)).alias("embedding"))
 
 
 def embed(docs: DataFrame, id_col: str, text: Column, model: Callable[[list[str]], list[list[float]]], provider: str = "openai", limit: int = 6000, batch: int = 100) -> DataFrame:

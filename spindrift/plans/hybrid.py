@@ -67,8 +67,11 @@ def stored_sources(docs: DataFrame, c: Columns, kind: str = "bm25", terms: bool
     """Index and vectors of a table of files, as stored; terms: those of every document as
     well, which pays where many batches of questions are reranked."""
     t = X.tokens(F.col(c.text)) if kind == "bm25" else X.search_words(F.col(c.text))
-    vectors, _ = VO.stored_vectors(docs, lambda: VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text))), "vectors", provider="hash", model="md5-64", id=c.doc)
-    return Sources(L.stored_index(docs, c.doc, t, f"index-{kind}"), kind, vectors, terms=stored_terms(docs, c) if terms else None)
+    index = L.stored_index(docs, c.doc, t, f"index-{kind}")
+    # an index of the same tokens has them counted already
+    made = lambda: VO.hash_embed(index.documents, "doc", F.col("terms"), counts=F.col("tfs")) if kind == "bm25" else VO.hash_embed(docs, c.doc, X.tokens(F.col(c.text)))
+    vectors, _ = VO.stored_vectors(docs, made, "vectors", provider="hash", model="md5-64", id=c.doc)
+    return Sources(index, kind, vectors, terms=stored_terms(docs, c) if terms else None)
 
 
 def lists(sources: Sources, questions: DataFrame, c: Columns, k: int, mode: str = "hybrid", pins: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
