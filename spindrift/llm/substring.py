@@ -16,7 +16,8 @@ travel in pieces of ``PIECE`` words with a margin, so that a long text that many
 is never sent whole. A repeat may be with another document than the anchor's first one:
 the windows with an anchor that differ from those of the first are grouped by a hash of
 128 bits and held against the smallest id of their group. Two such windows are equal only
-if neither equals the first one's, so that nothing is missed.
+if neither equals the first one's, so that nothing is missed. A window is looked up for
+its own anchor alone, which equal windows share, not for every anchor inside it.
 
 Defined results: words are runs of anything but the six ASCII spaces, unchanged. A null
 text has none. Exact copies of a text are held against each other as wholes. A null id is
@@ -74,6 +75,16 @@ def anchors(words: list[bytes], length: int = LENGTH, seed: int = SEED_WORDS) ->
     return hashes[at].view(np.int64), at
 
 
+def own_anchors(words: list[bytes], windows: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> np.ndarray:
+    """Positions of the anchors of windows, given by their first words."""
+    inside = windows[:, None] + np.arange(length - seed + 1)
+    joined, (starts, ends) = b" ".join(words), bounds(words)
+    at = np.unique(inside)
+    hashes = np.zeros(len(words), np.uint64)
+    hashes[at] = [xxhash.xxh64_intdigest(joined[i:j]) for i, j in zip(starts[at].tolist(), ends[at + seed - 1].tolist())]
+    return windows + hashes[inside].argmin(axis=1)
+
+
 def _anchor_batches(length: int, seed: int):  # noqa: ANN202
     def batch(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held) if held else np.empty((0, 4), np.int64)
@@ -142,7 +153,7 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def extend(mine: list[bytes], other: list[bytes], p: np.ndarray, q: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seeds at ``p`` of one list of words and ``q`` of another: starts and ends of the
-    repeats around them, and starts of the windows that have one of these anchors and
+    repeats around them, and starts of the windows whose anchor is one of these and that
     differ from the other's."""
     reach, names = length - seed, {}
     a, b = (np.array([names.setdefault(w, len(names)) for w in words], np.int64) for words in (mine, other))
@@ -159,6 +170,8 @@ def extend(mine: list[bytes], other: list[bytes], p: np.ndarray, q: np.ndarray,
     inside = (windows >= 0) & (windows + length <= len(mine))
     equal = whole[:, None] & (np.arange(reach + 1) <= left[:, None]) & (windows + length <= (p + seed + right)[:, None])
     rest = np.setdiff1d(windows[inside & ~equal], windows[inside & equal])
+    if len(rest):
+        rest = rest[np.isin(own_anchors(mine, rest, length, seed), p)]
     return starts, ends, rest
 
 

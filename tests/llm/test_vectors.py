@@ -241,3 +241,25 @@ def test_anchors_are_shared():
 
 def test_vectors_are_the_edge_cases():
     assert any(v is None for _, v, _ in VECTORS) and any(i is None for i, _, _ in VECTORS)
+
+
+def test_windows_are_looked_up_once(spark, monkeypatch):
+    """A window that has several anchors inside, of several first texts, is one row."""
+    rng = random.Random(4)
+    parts = [[f"w{rng.randint(0, 10**6)}" for _ in range(40)] for _ in range(8)]
+    docs = [sum(parts[k : k + 2], []) for k in range(7)]
+    docs += [sum([x if rng.random() < 0.5 else x[:20] + [f"n{k}"] + x[21:] for x in parts], []) for k in range(10)]
+    rows, looked_up = [(k, " ".join(d)) for k, d in enumerate(docs)], []
+
+    def seen(df, name):
+        out = materialise(df, name)
+        if name == "extended":
+            looked_up.extend(map(tuple, out.where("a IS NOT NULL").select("id", "h", "start").collect()))
+        return out
+
+    materialise = substring.materialise
+    monkeypatch.setattr(substring, "materialise", seen)
+    got = substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__kept.*").collect()
+    mine = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got]
+    assert sorted(map(repr, mine)) == sorted(map(repr, plain_repeats(rows, 50)))
+    assert looked_up and len(set(looked_up)) == len(looked_up)
