@@ -17,7 +17,10 @@ is never sent whole. A repeat may be with another document than the anchor's fir
 the windows with an anchor that differ from those of the first are grouped by a hash of
 128 bits and held against the smallest id of their group. Two such windows are equal only
 if neither equals the first one's, so that nothing is missed. A window is looked up for
-its own anchor alone, which equal windows share, not for every anchor inside it.
+its own anchor alone, which equal windows share, not for every anchor inside it. Of such
+windows of a text those that start within ``LENGTH`` words are a stretch: if its first and
+its last one are repeats, all words between go with them, and these two alone are looked
+up; those inside are only where one of the two is not.
 
 Defined results: words are runs of anything but the six ASCII spaces, unchanged. A null
 text has none. Exact copies of a text are held against each other as wholes. A null id is
@@ -175,13 +178,24 @@ def extend(mine: list[bytes], other: list[bytes], p: np.ndarray, q: np.ndarray,
     return starts, ends, rest
 
 
+def stretches(windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the first and the last one of its stretch, by their first words,
+    which are in order. The windows at either end cover together all that lie between."""
+    cuts, at = [0], 0
+    while at < len(windows):
+        at = int(np.searchsorted(windows, windows[at] + length, "right"))
+        cuts.append(at)
+    sizes = np.diff(cuts)
+    return np.repeat(windows[cuts[:-1]], sizes), np.repeat(windows[np.array(cuts[1:], np.int64) - 1], sizes)
+
+
 def _extend_batches(length: int, seed: int):  # noqa: ANN202
-    """Rows (id, h, start, end, a, b): a repeat, if a and b are null, else the hash of
-    a window that is to be looked up."""
-    kinds = {"id": pa.int64(), "h": pa.int64(), "start": pa.int64(), "end": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+    """Rows (id, h, start, end, a, b, lo, hi): a repeat, if all from a on are null, else
+    the hash of a window that is to be looked up, and its stretch."""
+    kinds = dict.fromkeys(("id", "h", "start", "end", "a", "b", "lo", "hi"), pa.int64())
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds.values())], list(kinds))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds.values())], list(kinds))
 
     def run(batches):  # noqa: ANN001, ANN202
         out: list[tuple] = []
@@ -194,12 +208,13 @@ def _extend_batches(length: int, seed: int):  # noqa: ANN202
                 at = np.array([(s["pos"], s["fpos"]) for s in seeds], np.int64)
                 starts, ends, rest = extend(words, other.split(), at[:, 0] - base, at[:, 1] - fbase, length, seed)
                 if fid < i:
-                    out += [(i, h, s + base, e + base, None, None) for s, e in zip(starts.tolist(), ends.tolist())]
+                    out += [(i, h, s + base, e + base, None, None, None, None) for s, e in zip(starts.tolist(), ends.tolist())]
                 if len(rest):
                     first, last = bounds(words)
-                    for s, x, y in zip(rest.tolist(), first[rest].tolist(), last[rest + length - 1].tolist()):
+                    lo, hi = stretches(rest + base, length)
+                    for s, x, y, u, v in zip(rest.tolist(), first[rest].tolist(), last[rest + length - 1].tolist(), lo.tolist(), hi.tolist()):
                         d = xxhash.xxh3_128_digest(mine[x:y])
-                        out.append((i, h, s + base, s + base + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        out.append((i, h, s + base, s + base + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), u, v))
                 if len(out) >= BATCH:
                     yield batch(out)
                     out = []
@@ -265,6 +280,22 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return keyed.join(few(copies), "key", "left"), copies
 
 
+def looked_up(windows: DataFrame, least: DataFrame, length: int = LENGTH) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(id, h, start, end) that cover the words of all ``windows`` that ``least`` has of a
+    smaller id, and the written tables that they read. windows: a row each, with its
+    stretch (see stretches()); least: (a, b, least)."""
+    least, known = few(least), F.col("id") > F.col("least")
+    span = ["id", "h", "start", "end"]
+    at_end = (F.col("start") == F.col("lo")) | (F.col("start") == F.col("hi"))
+    ends = materialise(windows.where(at_end).join(least, ["a", "b"]).where(known).select(*span, "lo", "hi"), "ends")
+    whole = ends.groupBy("id", "h", "lo", "hi").agg(F.count("*").alias("n")).where(F.col("n") == F.when(F.col("lo") == F.col("hi"), 1).otherwise(2))
+    whole = materialise(whole.select("id", "h", "lo", "hi"), "stretches")
+    inside = windows.where(~at_end).join(few(whole).drop("hi"), ["id", "h", "lo"], "left_anti")
+    inside = inside.join(least, ["a", "b"]).where(known)
+    covered = whole.select("id", "h", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    return covered.unionByName(ends.select(*span)).unionByName(inside.select(*span)), (ends, whole)
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS, size: int = PIECE) -> DataFrame:
     """(id, h, starts, ends), written: the words of each text that lie in a window which
     a text with a smaller id has as well. texts: id, h, text; ids not null."""
@@ -285,15 +316,15 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS, size
     pieces = materialise(cut.dropDuplicates(["id", "h", "c"]), "pieces")
     theirs = pieces.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("c").alias("fc"), F.col("base").alias("fbase"), F.col("words").alias("fwords"))
     both = pairs.join(pieces, ["id", "h", "c"]).join(theirs, ["fid", "fh", "fc"])
-    found = materialise(both.mapInArrow(_extend_batches(length, seed), "id long, h long, start long, end long, a long, b long"), "extended")
+    found = materialise(both.mapInArrow(_extend_batches(length, seed), "id long, h long, start long, end long, a long, b long, lo long, hi long"), "extended")
     open_ = found.where("a IS NOT NULL")
     least = open_.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("last")).where(F.col("least") < F.col("last"))
     least = materialise(least.select("a", "b", "least"), "windows")
-    more = open_.join(least, ["a", "b"]).where(F.col("id") > F.col("least"))
-    spans = found.where("a IS NULL").select("id", "h", "start", "end").unionByName(more.select("id", "h", "start", "end"))
+    more, written = looked_up(open_, least, length)
+    spans = found.where("a IS NULL").select("id", "h", "start", "end").unionByName(more)
     grouped = spans.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     out = materialise(grouped.select("id", "h", merged_udf("spans").alias("m")).select("id", "h", "m.*"), "repeats")
-    discard(held, firsts, pairs, wanted, pieces, found, least)
+    discard(held, firsts, pairs, wanted, pieces, found, least, *written)
     return out
 
 

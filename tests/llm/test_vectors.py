@@ -263,3 +263,33 @@ def test_windows_are_looked_up_once(spark, monkeypatch):
     mine = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got]
     assert sorted(map(repr, mine)) == sorted(map(repr, plain_repeats(rows, 50)))
     assert looked_up and len(set(looked_up)) == len(looked_up)
+
+
+def test_stretches():
+    w = np.array([3, 4, 9, 53, 54, 103, 104, 300])
+    lo, hi = substring.stretches(w, 50)
+    assert lo.tolist() == [3, 3, 3, 3, 54, 54, 54, 300] and hi.tolist() == [53, 53, 53, 53, 104, 104, 104, 300]
+    assert [x.tolist() for x in substring.stretches(w[:0], 50)] == [[], []]
+
+
+def test_shared_changes_are_looked_up_at_their_ends(spark, monkeypatch):
+    """Near copies that share their changes: a few rows a change, not one a window."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    kinds = [base[:at] + [f"n{at}"] + base[at + 1 :] for at in (120, 180, 240)]
+    rows, written = [(0, " ".join(base))] + [(1 + k, " ".join([f"own{k}"] + kinds[k % 3])) for k in range(60)], {}
+
+    def seen(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    materialise = substring.materialise
+    monkeypatch.setattr(substring, "materialise", seen)
+    monkeypatch.setattr(substring, "discard", lambda *_: None)
+    got = substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__kept.*").collect()
+    mine = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got]
+    assert sorted(map(repr, mine)) == sorted(map(repr, plain_repeats(rows, 50)))
+    windows, least = written["extended"].where("a IS NOT NULL"), written["windows"]
+    single = windows.join(least, ["a", "b"]).where("id > least").count()
+    spans, _ = substring.looked_up(windows, least)
+    assert 0 < 5 * spans.count() < single
