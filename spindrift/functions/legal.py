@@ -68,9 +68,9 @@ def _composed(texts: pa.Array) -> pa.Array:
 
 
 def composed(c: Column) -> Column:
-    """Canonical composition. Texts without any sign beyond U+02FF, of which none needs
-    it, stay in the JVM."""
-    return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
+    """Canonical composition. Texts that have signs up to U+02FF, composed Latin letters
+    and common punctuation alone, of which none needs it, stay in the JVM."""
+    return F.coalesce(_composed(F.when(c.rlike(r"[\x{300}-\x{1DFF}\x{1F00}-\x{200F}\x{2028}-\x{10FFFF}]"), c)), c)
 
 
 def prepared_lines(c: Column) -> Column:
@@ -78,7 +78,8 @@ def prepared_lines(c: Column) -> Column:
     follow a sentence's end begin lines of their own."""
     clauses = F.regexp_replace(X.text_of(c), r"(?U)(?<=[.;:])\s+(?=\d+[.)]\s+)", "\n")
     points = F.regexp_replace(clauses, r"(?iU)(?<=[;:])\s+(?=[a-zđ][.)]\s+)", "\n")
-    return F.filter(F.transform(F.split(points, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), _strip), lambda x: x != "")
+    cut = X.let(points, lambda t: F.when(t.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85  ]"), F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).otherwise(F.split(t, "\n")))
+    return F.filter(F.transform(cut, _strip), lambda x: x != "")
 
 
 def title_case(c: Column) -> Column:

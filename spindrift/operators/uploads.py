@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import legal as G
@@ -14,6 +16,9 @@ from . import tables as T
 ARTICLE = r"(?iu)^Điều\s+(\d+[A-Za-z]?)\.\s*(.*)$"
 CLAUSE = r"^(\d+)[.)]\s+"
 HEADINGS = {"part": r"(?iu)^Phần\s+", "chapter": r"(?iu)^Chương\s+", "section": r"(?iu)^Mục\s+", "subsection": r"(?iu)^Tiểu mục\s+"}
+#: Any of these headings; how a line begins that may be one, or an article's.
+HEADING = "|".join(HEADINGS.values())
+MARKED = r"(?iu)^(?:Điều|Phần|Chương|Mục|Tiểu)\s"
 MOST = 1800
 #: States of an upload, in the order that they may follow one another.
 STATES = {"processing": ("ocr_complete", "failed"), "ocr_complete": ("ready", "failed"), "ready": ("ocr_complete",), "failed": ("processing",)}
@@ -31,54 +36,86 @@ def packed(paragraphs: Column, most: int) -> Column:
     return F.aggregate(paragraphs, start, step, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["held"]))))
 
 
-def sections(uploads: DataFrame, id_col: str = "upload_id") -> DataFrame:
-    """(id, segment, lines, headings..): lines from one article to the next under the
-    headings that precede it; lines before the first article go. A text without any
-    article is one section, 0."""
-    lines = uploads.select(id_col, F.posexplode(G.prepared_lines(F.col("text"))).alias("seq", "line"))
-    tests = {k: F.col("line").rlike(p) for k, p in HEADINGS.items()}
-    b = C.segments(C.carry_headings(lines, tests, id_col, "seq", "line"), F.col("line").rlike(ARTICLE), id_col, "seq")
-    b = b.withColumn("__any", F.max("segment").over(Window.partitionBy(id_col)))
-    heading = tests["part"] | tests["chapter"] | tests["section"] | tests["subsection"]
-    b = b.where((F.col("__any") == 0) | ((F.col("segment") > 0) & ~heading))
-    held = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
-    at = [F.when(F.col("__any") > 0, F.col(k)) for k in HEADINGS]
-    g = b.select(id_col, "segment", "seq", "line", *[c.alias(k) for c, k in zip(at, HEADINGS)])
-    return g.groupBy(id_col, "segment").agg(held.alias("lines"), *[F.min_by(k, "seq").alias(k) for k in HEADINGS])
+def runs(items: Column, starts: Column) -> Column:
+    """Slices of an array, from each of the positions in ``starts`` to the next."""
+    return X.let(starts, lambda all_: F.transform(all_, lambda s, i: F.slice(items, s + 1, F.coalesce(F.get(all_, i + 1), F.size(items)) - s)))
+
+
+def headings_before(marks: Column, kind: str) -> Column:
+    """For each article in ``marks`` (line, kind) the last heading of ``kind`` before it: as
+    many of these precede an article as its place among both is behind that among articles."""
+    both = F.filter(marks, lambda m: m["kind"].isin("article", kind))
+    at = F.filter(F.transform(both, lambda m, i: F.when(m["kind"] == "article", i)), lambda i: i.isNotNull())
+    own = F.filter(marks, lambda m: m["kind"] == kind)
+    return X.let(own, lambda h: F.transform(at, lambda i, j: F.get(h, i - j - 1)["line"]))
+
+
+def cut_sections(lines: Column) -> Column:
+    """(segment, lines, headings..) of a text's lines, in time that grows as they do: lines
+    from one article to the next under the headings that precede it; lines before the first
+    article go. A text without any article is one section, 0."""
+    kind = lambda x: reduce(lambda c, k: c.when(x.rlike(k[1]), k[0]), HEADINGS.items(), F.when(x.rlike(ARTICLE), "article"))
+    none = [F.lit(None).cast("string").alias(k) for k in HEADINGS]
+    row = lambda segment, held, *above: F.struct(segment.alias("segment"), held.alias("lines"), *above)
+
+    def articles(own: Column, marks: Column) -> Column:
+        cut = runs(own, F.transform(F.filter(marks, lambda m: m["kind"] == "article"), lambda m: m["at"]))
+        under = F.arrays_zip(cut.alias("run"), *[headings_before(marks, k).alias(k) for k in HEADINGS])
+        plain = lambda run: F.filter(run, lambda x: ~x.rlike(HEADING))
+        headed = F.transform(under, lambda u, i: row(i + 1, plain(u["run"]), *[u[k].alias(k) for k in HEADINGS]))
+        bare = F.transform(cut, lambda run, i: row(i + 1, run, *none))
+        return F.when(F.exists(marks, lambda m: m["kind"] != "article"), headed).otherwise(bare)
+
+    def cut(own: Column) -> Column:
+        seen = F.transform(own, lambda x, i: F.when(x.rlike(MARKED), F.struct(i.alias("at"), x.alias("line"), kind(x).alias("kind"))))
+        some = X.let(F.filter(seen, lambda m: m["kind"].isNotNull()), lambda marks: F.when(F.exists(marks, lambda m: m["kind"] == "article"), articles(own, marks)).otherwise(F.array(row(F.lit(0), own, *none))))
+        return F.when(F.size(own) > 0, some)
+
+    return X.let(lines, cut)
+
+
+def sections(uploads: DataFrame) -> DataFrame:
+    """Uploads, a row for each section of their text in its place, with the title that the
+    text has. A text is cut in its row: nothing is shuffled."""
+    u = uploads.withColumn("text", X.uploaded_text(G.composed(F.col("text"))))
+    u = u.withColumn("lines", G.prepared_lines(F.col("text")))
+    others = [c for c in uploads.columns if c != "text"]
+    return u.select(*others, G.detected_title(F.col("lines"), F.col("file_name")).alias("document_title"), F.explode(cut_sections(F.col("lines"))).alias("s")).select(*others, "document_title", "s.*")
 
 
 def chunks(uploads: DataFrame, most: int = MOST, id_col: str = "upload_id") -> DataFrame:
     """Chunks of reviewed uploads (upload_id, file_name, text, workspace, confidence):
     whole articles, else their clauses under the article's heading, else pieces of
     whole lines; what is still too long is split as any chunk is."""
-    u = uploads.withColumn("text", X.uploaded_text(G.composed(F.col("text"))))
-    s = sections(u, id_col).withColumn("n", F.greatest(F.col("segment"), F.lit(1)))
-    head = F.get("lines", 0)
-    s = s.withColumn("head", F.when(F.col("segment") > 0, head)).withColumn("whole", F.array_join("lines", "\n"))
-    base = F.concat(F.col(id_col), F.lit(":article:"), F.col("n").cast("string"))
-    fits = s.where(F.length("whole") <= most).select(id_col, "n", "head", *HEADINGS, base.alias("chunk_id"), F.lit(None).cast("string").alias("clause_number"), F.col("whole").alias("text"))
-    x = s.where(F.length("whole") > most).select(id_col, "n", "head", *HEADINGS, F.posexplode("lines").alias("seq", "line")).where(F.col("head").isNull() | (F.col("seq") > 0))
-    x = x.withColumn("__k", F.concat_ws(":", id_col, F.col("n").cast("string")))
-    x = C.segments(x, F.col("line").rlike(CLAUSE), "__k", "seq")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"])
-    g = x.groupBy("__k", id_col, "n", "segment").agg(lines.alias("lines"), F.min("head").alias("head"), *[F.min(k).alias(k) for k in HEADINGS])
-    g = g.withColumn("c", F.row_number().over(Window.partitionBy("__k").orderBy("segment")))
-    body = F.array_join("lines", "\n")
-    g = g.withColumn("clause_number", F.nullif(F.regexp_extract(F.get("lines", 0), CLAUSE, 1), F.lit("")))
+    u = uploads.select(id_col, "file_name", "text", "workspace", "confidence")
+    n = F.greatest(F.col("segment"), F.lit(1))
+    base = F.concat(F.col(id_col), F.lit(":article:"), n.cast("string"))
+    size = F.length(F.array_join("lines", "\n"))
+
+    def found(df: DataFrame) -> DataFrame:
+        return sections(df).withColumn("head", F.when(F.col("segment") > 0, F.get("lines", 0)))
+
+    clean = F.regexp_replace(F.array_join("lines", "\n"), r"(?U)[\s&&[^\n]]{2,}|[\s&&[^ \n]]", " ")  # lines have none at their ends
+    fits = found(u).where(size <= most).select("*", base.alias("chunk_id"), clean.alias("text"), F.lit(None).cast("string").alias("__clause"))
+    # a section can only be longer if its text is; composed, that has three times its signs at most
+    x = found(u.where(F.length("text") * 3 > most)).where(size > most).withColumn("lines", F.when(F.col("head").isNull(), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))))
+    x = x.repartition(id_col, "segment")  # what follows is read twice
+    starts = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | x.rlike(CLAUSE), i)), lambda i: i.isNotNull())
+    g = x.select("*", F.posexplode(runs(F.col("lines"), starts)).alias("c", "clause"))
+    g = g.withColumn("__clause", F.nullif(F.regexp_extract(F.get("clause", 0), CLAUSE, 1), F.lit("")))
+    body = F.array_join("clause", "\n")
     g = g.withColumn("body", F.when(F.col("head").isNotNull() & ~body.startswith(F.col("head")), F.concat("head", F.lit("\n"), body)).otherwise(body))
     parts = F.filter(F.transform(F.split("body", "\n"), lambda p: F.trim(p)), lambda p: p != "")
     g = g.select("*", F.posexplode(F.when(F.length("body") <= most, F.array("body")).otherwise(packed(parts, most))).alias("p", "text"))
     part = F.when(F.length("body") > most, F.concat(F.lit(":part:"), (F.col("p") + 1).cast("string"))).otherwise("")
-    cut = g.select(id_col, "n", "head", *HEADINGS, F.concat(base, F.lit(":clause:"), F.col("c").cast("string"), part).alias("chunk_id"), "clause_number", "text")
+    cut = g.select("*", F.concat(base, F.lit(":clause:"), (F.col("c") + 1).cast("string"), part).alias("chunk_id"))
     # a chunk that is split again keeps its clause where its pieces have none
-    all_ = fits.unionByName(cut).withColumnRenamed("clause_number", "__clause")
-    out = C.split(all_, C.Sizes(most=most))
-    about = u.select(id_col, "file_name", "workspace", F.col("confidence").alias("ocr_confidence"), G.detected_title(G.prepared_lines(F.col("text")), F.col("file_name")).alias("document_title"))
-    names = about.withColumn("source_file", F.concat(F.col(id_col), F.lit("_"), G.safe_stem(F.col("file_name")), F.lit(".txt"))).drop("file_name")
+    out = fits.unionByName(C.split(cut.select(*fits.columns), C.Sizes(most=most)), allowMissingColumns=True)
     number, named = F.regexp_extract("head", ARTICLE, 1), F.trim(F.regexp_extract("head", ARTICLE, 2))
-    return out.join(names, id_col).select(
-        "chunk_id", "source_file", F.lit("upload_legal").alias("mode"), F.nullif(number, F.lit("")).alias("article_number"), F.nullif(named, F.lit("")).alias("article_title"),
-        F.coalesce("clause_number", "__clause").alias("clause_number"), "point_number", "text", F.length("text").alias("text_length"), "document_title", *HEADINGS, id_col, "workspace", "ocr_confidence",
+    source = F.concat(F.col(id_col), F.lit("_"), G.safe_stem(F.col("file_name")), F.lit(".txt"))
+    return out.select(
+        "chunk_id", source.alias("source_file"), F.lit("upload_legal").alias("mode"), F.nullif(number, F.lit("")).alias("article_number"), F.nullif(named, F.lit("")).alias("article_title"),
+        F.coalesce("clause_number", "__clause").alias("clause_number"), "point_number", "text", F.length("text").alias("text_length"), "document_title", *HEADINGS, id_col, "workspace", F.col("confidence").alias("ocr_confidence"),
         "parent_chunk_id", "part_index", "part_count",
     )
 

@@ -33,8 +33,11 @@ ORDERS = ITEMS + """, blocks AS (SELECT l_orderkey AS doc, l_linenumber * 2 AS s
   UNION ALL SELECT o_orderkey, 1, 'Part ' || o_orderpriority FROM orders)"""
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
+def items(spark: SparkSession, sf_dir: str, *dealt: int | str) -> DataFrame:
+    """dealt: into how many parts and by which of the key rows are dealt, once for this and
+    for what follows."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    return (l.repartition(*dealt) if dealt else l).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
 
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

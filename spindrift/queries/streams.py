@@ -6,7 +6,7 @@ import json
 import uuid
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as K
@@ -79,10 +79,14 @@ WITH {ITEMS} SELECT l_orderkey || ':article:' || row_number() OVER (PARTITION BY
 """)
 def c09_upload_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads with a title and articles that fit a chunk each."""
-    n, p = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
-    line = F.concat(F.lit("Điều "), n, F.lit(". Tên "), p, F.lit("\n1. khoản "), p, F.lit("\n\n  dòng "))
-    body = items(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("n"), line.alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
-    text = F.concat(F.lit("LUẬT ĐẤT ĐAI\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))  # so many as they are: little is shuffled for what texts cost
+    body = items(spark, sf_dir, dealt, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+
+    def line(r: Column) -> Column:
+        n, p = r["l_linenumber"].cast("string"), r["l_partkey"].cast("string")
+        return F.concat(F.lit("Điều "), n, F.lit(". Tên "), p, F.lit("\n1. khoản "), p, F.lit("\n\n  dòng "))
+
+    text = F.concat(F.lit("LUẬT ĐẤT ĐAI\n"), F.array_join(F.transform("x", line), "\n"))
     up = body.select(F.col("l_orderkey").cast("string").alias("upload_id"), F.lit("f.txt").alias("file_name"), text.alias("text"), F.lit("public").alias("workspace"), F.lit(1.0).alias("confidence"))
     return U.chunks(up).select("chunk_id", "article_number", "article_title", "text")
 
