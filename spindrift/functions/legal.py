@@ -73,13 +73,18 @@ def composed(c: Column) -> Column:
     return F.coalesce(_composed(F.when(c.rlike(r"[\x{300}-\x{1DFF}\x{1F00}-\x{200F}\x{2028}-\x{10FFFF}]"), c)), c)
 
 
+#: White space, and signs that end lines, but spaces and newlines.
+RARE_SPACE = r"[\t\x0b-\r\x1c-\x1e\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def prepared_lines(c: Column) -> Column:
     """Lines, stripped, without empty ones; numbered clauses and lettered points that
     follow a sentence's end begin lines of their own."""
     clauses = F.regexp_replace(X.text_of(c), r"(?U)(?<=[.;:])\s+(?=\d+[.)]\s+)", "\n")
-    points = F.regexp_replace(clauses, r"(?iU)(?<=[;:])\s+(?=[a-zđ][.)]\s+)", "\n")
-    cut = X.let(points, lambda t: F.when(t.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85  ]"), F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).otherwise(F.split(t, "\n")))
-    return F.filter(F.transform(cut, _strip), lambda x: x != "")
+    points = X.let(clauses, lambda t: F.when(t.rlike("[;:]"), F.regexp_replace(t, r"(?iU)(?<=[;:])\s+(?=[a-zđ][.)]\s+)", "\n")).otherwise(t))
+    every = lambda t: F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), _strip)
+    cut = X.let(points, lambda t: F.when(t.rlike(RARE_SPACE), every(t)).otherwise(F.transform(F.split(t, "\n"), lambda x: F.trim(x))))
+    return F.filter(cut, lambda x: x != "")
 
 
 def title_case(c: Column) -> Column:

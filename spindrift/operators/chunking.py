@@ -307,8 +307,9 @@ HANDED = 4_000_000
 
 
 def _cut(rows: DataFrame, sizes: Sizes, measure: Callable[[str], int] = len) -> DataFrame:
-    """(d, k, n, s): each row's struct ``d`` with a piece ``s`` of its text, the k-th of n. A
-    worker has one text and the pieces that it has not handed on, not those of a batch."""
+    """(d, k, n, s): each row's struct ``d`` with a piece ``s`` of its text, the k-th of n, or
+    none if it has no text. A worker has one text and the pieces that it has not handed on,
+    not those of a batch."""
     names = ("chunk_id", "text", "clause_number", "point_number")
     kind = pa.struct([(n, pa.string()) for n in names] + [("fallback_split", pa.bool_()), ("merged_chunk_ids", pa.list_(pa.string()))])
     form = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("fallback_split", T.BooleanType()), T.StructField("merged_chunk_ids", T.ArrayType(T.StringType()))])
@@ -321,6 +322,9 @@ def _cut(rows: DataFrame, sizes: Sizes, measure: Callable[[str], int] = len) ->
         for b in batches:
             held, size = [], 0
             for at, (i, t) in enumerate(zip(b.column(1), b.column(2))):
+                if not t.is_valid:
+                    held.append((at, None, None, None))
+                    continue
                 found = split_chunk(i.as_py() or "", t.as_py() or "", sizes, measure)
                 for k, p in enumerate(found, 1):
                     held.append((at, k, len(found), {"chunk_id": p["id"], "text": p["text"], "clause_number": p["clause"], "point_number": p["point"], "fallback_split": p["cut"], "merged_chunk_ids": p["merged"]}))
@@ -333,20 +337,24 @@ def _cut(rows: DataFrame, sizes: Sizes, measure: Callable[[str], int] = len) ->
     return rows.mapInArrow(run, T.StructType([rows.schema["d"], T.StructField("k", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("s", form)]))
 
 
-def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", text: str = "text", length: Callable[[Column], Column] = F.length, measure: Callable[[str], int] = len) -> DataFrame:
+def split(chunks: DataFrame, sizes: Sizes = Sizes(), id_col: str = "chunk_id", text: str = "text", length: Callable[[Column], Column] = F.length, measure: Callable[[str], int] = len, once: bool = False) -> DataFrame:
     """Chunks of at most ``sizes.most`` characters, other columns repeated, with
     parent_chunk_id, part_index, part_count and what split_chunk() says. ``length``
     and ``measure``: a length of one's own, in the JVM for all and in Python for what
-    is too long."""
+    is too long. ``once``: for chunks that cost much to make, all go by the workers, those
+    that fit as they are, so that they are made once; else these pass the workers by."""
     flat = chunks.withColumn(text, X.clean_lines(F.col(text))).where(F.col(text) != "")
     fits = F.greatest(F.length(text), length(F.col(text))) <= sizes.most
     others = [c for c in chunks.columns if c not in (id_col, text)]
     s = F.col("s")
     d = F.col("d")
-    cut = _cut(flat.where(~fits).select(F.struct(id_col, *others).alias("d"), F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")), sizes, measure)
+    long = flat.select(F.struct(id_col, *others, F.when(fits, F.col(text)).alias("__whole")).alias("d"), F.col(id_col).cast("string").alias("i"), F.when(~fits, F.col(text)).alias("t"))
+    cut = _cut(long if once else long.where(F.col("t").isNotNull()), sizes, measure)
     cut = cut.select(
-        s["chunk_id"].alias(id_col), s["text"].alias(text), *[d[c].alias(c) for c in others], d[id_col].alias("parent_chunk_id"), F.col("k").alias("part_index"), F.col("n").alias("part_count"),
+        F.coalesce(s["chunk_id"], d[id_col]).alias(id_col), F.coalesce(s["text"], d["__whole"]).alias(text), *[d[c].alias(c) for c in others], F.when(s.isNotNull(), d[id_col]).alias("parent_chunk_id"), F.col("k").alias("part_index"), F.col("n").alias("part_count"),
         s["clause_number"].alias("clause_number"), s["point_number"].alias("point_number"), s["fallback_split"].alias("fallback_split"), s["merged_chunk_ids"].alias("merged_chunk_ids"),
     )
+    if once:
+        return cut
     whole = flat.where(fits).select(id_col, text, *others)
     return whole.unionByName(cut, allowMissingColumns=True)

@@ -99,7 +99,6 @@ def chunks(uploads: DataFrame, most: int = MOST, id_col: str = "upload_id") -> D
     fits = found(u).where(size <= most).select("*", base.alias("chunk_id"), clean.alias("text"), F.lit(None).cast("string").alias("__clause"))
     # a section can only be longer if its text is; composed, that has three times its signs at most
     x = found(u.where(F.length("text") * 3 > most)).where(size > most).withColumn("lines", F.when(F.col("head").isNull(), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))))
-    x = x.repartition(id_col, "segment")  # what follows is read twice
     starts = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | x.rlike(CLAUSE), i)), lambda i: i.isNotNull())
     g = x.select("*", F.posexplode(runs(F.col("lines"), starts)).alias("c", "clause"))
     g = g.withColumn("__clause", F.nullif(F.regexp_extract(F.get("clause", 0), CLAUSE, 1), F.lit("")))
@@ -110,7 +109,7 @@ def chunks(uploads: DataFrame, most: int = MOST, id_col: str = "upload_id") -> D
     part = F.when(F.length("body") > most, F.concat(F.lit(":part:"), (F.col("p") + 1).cast("string"))).otherwise("")
     cut = g.select("*", F.concat(base, F.lit(":clause:"), (F.col("c") + 1).cast("string"), part).alias("chunk_id"))
     # a chunk that is split again keeps its clause where its pieces have none
-    out = fits.unionByName(C.split(cut.select(*fits.columns), C.Sizes(most=most)), allowMissingColumns=True)
+    out = fits.unionByName(C.split(cut.select(*fits.columns), C.Sizes(most=most), once=True), allowMissingColumns=True)
     number, named = F.regexp_extract("head", ARTICLE, 1), F.trim(F.regexp_extract("head", ARTICLE, 2))
     source = F.concat(F.col(id_col), F.lit("_"), G.safe_stem(F.col("file_name")), F.lit(".txt"))
     return out.select(
