@@ -98,7 +98,7 @@ def chunks(uploads: DataFrame, most: int = MOST, id_col: str = "upload_id") -> D
     clean = F.regexp_replace(F.array_join("lines", "\n"), r"(?U)[\s&&[^\n]]{2,}|[\s&&[^ \n]]", " ")  # lines have none at their ends
     fits = found(u).where(size <= most).select("*", base.alias("chunk_id"), clean.alias("text"), F.lit(None).cast("string").alias("__clause"))
     # a section can only be longer if its text is; composed, that has three times its signs at most
-    x = found(u.where(F.length("text") * 3 > most)).where(size > most).withColumn("lines", F.when(F.col("head").isNull(), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))))
+    x = found(u.where(F.length("text") * 3 > most)).where(size > most).withColumn("lines", F.when(F.col("head").isNull() | (F.size("lines") == 1), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))))
     starts = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | x.rlike(CLAUSE), i)), lambda i: i.isNotNull())
     g = x.select("*", F.posexplode(runs(F.col("lines"), starts)).alias("c", "clause"))
     g = g.withColumn("__clause", F.nullif(F.regexp_extract(F.get("clause", 0), CLAUSE, 1), F.lit("")))
